@@ -1,0 +1,19 @@
+"""Size checks that decide between an in-memory plan and one that never gathers a group."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SINGLE_GROUP_SETTING = "spark.gridsense.singleGroupBytes"
+SINGLE_GROUP_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's own estimate for the plan's output; no job is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """True if the whole input is small, so that even a single group holding all of it is."""
+    limit = int(df.sparkSession.conf.get(SINGLE_GROUP_SETTING, str(SINGLE_GROUP_BYTES)))
+    return estimated_bytes(df) <= limit
