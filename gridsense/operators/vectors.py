@@ -12,25 +12,27 @@ NEIGHBOURS = 5
 SHOWN = 100
 
 
-def mean_vector(df: DataFrame, vector: str, size: int) -> DataFrame:
-    """One row with the element-wise mean (column ``vector``), combined map-side."""
+def mean_vector(df: DataFrame, vector: str, size: int) -> list[float]:
+    """The element-wise mean of a column of vectors: a job that combines map-side to one row."""
     elements = [F.avg(F.get(field(vector), F.lit(i))) for i in range(size)]
-    return df.agg(F.array(*elements).alias("vector"))
+    return df.agg(F.array(*elements).alias("mean")).first()["mean"]
 
 
-def squared_distance(vector: Column, query: Column) -> Column:
+def squared_distance(vector: Column, query: list[float]) -> Column:
     """Squared Euclidean distance, in doubles."""
-    gaps = F.zip_with(vector, query, lambda a, b: a.cast("double") - b.cast("double"))
-    return F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap * gap)
+    target = F.array(*(F.lit(float(x)) for x in query))
 
+    def squared_gap(a: Column, b: Column) -> Column:
+        return (a.cast("double") - b) * (a.cast("double") - b)
 
-def nearest(df: DataFrame, query: list[float] | Column, vector: str, key: str, k: int = NEIGHBOURS) -> DataFrame:
+    return F.aggregate(F.zip_with(vector, target, squared_gap), F.lit(0.0), lambda total, part: total + part)
+
+
+def nearest(df: DataFrame, query: list[float], vector: str, key: str, k: int = NEIGHBOURS) -> DataFrame:
     """The k rows nearest to the query vector, with ``vector_score`` (smaller is nearer).
 
     Each task keeps its own k best; only those meet.
     """
-    if not isinstance(query, Column):
-        query = F.array(*(F.lit(float(x)) for x in query))
     scored = df.where(field(vector).isNotNull()).withColumn("vector_score", squared_distance(field(vector), query))
     return scored.orderBy(F.col("vector_score"), field(key)).limit(k)
 
