@@ -27,6 +27,7 @@ class Measure:
     column: str | None
     alias: str
     share: float = 0.5
+    approximate: bool = False
 
 
 def quantile_share(value: object) -> float:
@@ -40,7 +41,9 @@ def quantile_share(value: object) -> float:
     return share
 
 
-def named_measures(wanted: list[tuple[str, str | None]], share: float = 0.5) -> list[Measure]:
+def named_measures(
+    wanted: list[tuple[str, str | None]], share: float = 0.5, approximate: bool = False
+) -> list[Measure]:
     """Output names ``{function}_{column}``, numbered from 2 where one repeats."""
     used: dict[str, int] = {}
     measures = []
@@ -48,7 +51,7 @@ def named_measures(wanted: list[tuple[str, str | None]], share: float = 0.5) ->
         name = "count" if column is None else f"{function}_{column}"
         used[name] = used.get(name, 0) + 1
         alias = name if used[name] == 1 else f"{name}_{used[name]}"
-        measures.append(Measure(function, column, alias, share))
+        measures.append(Measure(function, column, alias, share, approximate))
     return measures
 
 
@@ -65,6 +68,7 @@ def _expression(measure: Measure, cls: ColumnClass | None, grouped: bool) -> Col
     absent = _absent(column, cls)
     number = cls.number(column)
     total = F.sum(number)
+    distinct = F.approx_count_distinct if measure.approximate else F.count_distinct
     build = {
         "sum": lambda: F.coalesce(total, F.lit(0)) if grouped else total,
         "avg": lambda: F.avg(number),
@@ -76,7 +80,7 @@ def _expression(measure: Measure, cls: ColumnClass | None, grouped: bool) -> Col
         "quantile": lambda: F.percentile(number, measure.share),
         "mode": lambda: F.mode(number, True),
         "count": lambda: F.count(F.when(~absent, column)),
-        "distinct_count": lambda: F.count_distinct(F.when(~absent, column)),
+        "distinct_count": lambda: distinct(F.when(~absent, column)),
         "null_count": lambda: F.count_if(absent),
         "null_pct": lambda: F.round(
             F.coalesce(100 * F.try_divide(F.count_if(absent), F.count(F.lit(1))), F.lit(0.0)), 4

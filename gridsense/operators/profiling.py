@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,6 @@ TEXT_COLUMN_AVERAGE = 80
 LONG_CELL = 60
 LONG_SHARE = 0.3
 SAMPLES = 5
-PROBES = 64
 
 
 def _text_names(df: DataFrame) -> list[str]:
@@ -91,33 +92,35 @@ def _described(df: DataFrame) -> DataFrame:
     return df.agg(*measured).select(F.inline(F.array(*cells)))
 
 
-def _cells(df: DataFrame, names: list[str]) -> DataFrame:
-    pairs = [F.struct(F.lit(c).alias("column"), field(c).cast("string").alias("value")) for c in names]
-    return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+def _least_of_batches(names: list[str], count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {name: pa.array([], pa.string()) for name in names}
+        for batch in batches:
+            for at, name in enumerate(names):
+                fresh = batch.column(at).cast(pa.string()).drop_null()
+                if len(kept[name]) == count:
+                    fresh = fresh.filter(pc.less(fresh, kept[name][-1]))
+                merged = pc.unique(pa.concat_arrays([kept[name], pc.unique(fresh)]))
+                kept[name] = merged.take(pc.array_sort_indices(merged)[:count])
+        columns = [name for name in names for _ in range(len(kept[name]))]
+        values = [value for name in names for value in kept[name].to_pylist()]
+        yield pa.RecordBatch.from_pydict({"column": pa.array(columns, pa.string()), "value": pa.array(values, pa.string())})
+
+    return least
 
 
 def smallest_values(df: DataFrame, names: list[str], count: int = SAMPLES) -> DataFrame:
     """``column, samples``: the smallest distinct values of each column, in order.
 
-    The least value of each of a few hash probes bounds the answer from above, so the second
-    pass sees only the handful of values below the bound. No pass shuffles more than
-    ``PROBES`` values per column and partition plus that handful.
+    One pass. Each task keeps only ``count`` values per column, so that is all that is
+    shuffled. (A distinct would shuffle whole text columns, and a grouped minimum of text
+    would sort them.)
     """
-    cells = _cells(df, names)
-    probe = F.pmod(F.xxhash64("value"), F.lit(PROBES))
-    least = cells.groupBy("column", probe.alias("probe")).agg(F.min("value").alias("value"))
-    sorted_least = F.sort_array(F.collect_list("value"))
-    bound = F.when(F.size(sorted_least) >= count, F.element_at(sorted_least, count))
-    bounds = least.groupBy("column").agg(bound.alias("bound"))
-    below = (
-        cells.join(F.broadcast(bounds), "column")
-        .where(F.col("bound").isNull() | (F.col("value") <= F.col("bound")))
-        .select("column", "value")
-        .distinct()
-    )
+    texts = df.select(*(field(c).cast("string").alias(c) for c in names))
+    least = texts.mapInArrow(_least_of_batches(names, count), "column string, value string").distinct()
     place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     return (
-        below.withColumn("place", place)
+        least.withColumn("place", place)
         .where(F.col("place") <= count)
         .groupBy("column")
         .agg(F.sort_array(F.collect_list("value")).alias("samples"))

@@ -27,7 +27,7 @@ def _sliced(values: DataFrame, slices: int) -> DataFrame:
     The cut points are approximate, which affects balance only: counts per slice are exact.
     """
     shares = [i / slices for i in range(1, slices)]
-    cuts = sorted(set(values.approxQuantile(VALUE, shares, 1 / (4 * slices))))
+    cuts = sorted(set(values.approxQuantile(VALUE, shares, 1 / (4 * slices)))) if shares else []
     if not cuts:
         return values.withColumn(SLICE, F.lit(0.0))
     edges = [float("-inf"), *cuts, float("inf")]

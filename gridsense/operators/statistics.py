@@ -48,7 +48,7 @@ def value_counts(
     )
     order = [F.desc("count"), F.asc("value")]
     if top_k is None:
-        return counts.orderBy("column", *order)
+        return counts
     if len(columns) == 1:
         return counts.orderBy(*order).limit(top_k)
     place = F.row_number().over(Window.partitionBy("column").orderBy(*order))
@@ -133,14 +133,17 @@ def extremes(df: DataFrame, metric: str, cls: ColumnClass, largest: bool) -> Dat
     return df.where(F.abs(value - peak) <= tolerance)
 
 
-def describe(df: DataFrame, columns: list[str], classes: dict[str, ColumnClass]) -> DataFrame:
+def describe(
+    df: DataFrame, columns: list[str], classes: dict[str, ColumnClass], approximate: bool = False
+) -> DataFrame:
     """One row per column: counts, distinct values and the range of numbers or dates."""
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
     columns = columns or df.columns[:DESCRIBED_COLUMNS]
     measured, cells = [F.count(F.lit(1)).alias("rows")], []
     for at, name in enumerate(columns):
         column, cls = field(name), classes[name]
         present = F.when(~F.isnan(column), column) if coerce.is_float(cls.dtype) else column
-        measured.append(F.count_distinct(present).alias(f"u{at}"))
+        measured.append(distinct(present).alias(f"u{at}"))
         number = day = None
         if cls.numbers:
             number = cls.number(column)

@@ -23,8 +23,8 @@ def _text(column: Column) -> Column:
     return coerce.plain_number(column.cast("double"))
 
 
-def _scalar_rows(df: DataFrame, measures: list[Measure], filters: str) -> DataFrame:
-    """One row per measure: ``operation, column, value, _summary``."""
+def _scalar_rows(df: DataFrame, measures: list[Measure], filters: str, issues: list[str]) -> DataFrame:
+    """One row per measure: ``operation, column, value, _summary``; one more for what failed."""
     cells = []
     for m in measures:
         value = field(m.alias)
@@ -40,14 +40,23 @@ def _scalar_rows(df: DataFrame, measures: list[Measure], filters: str) -> DataFr
                 F.coalesce(done, failed).alias("_summary"),
             )
         )
+    if issues:
+        cells.append(
+            F.struct(
+                F.lit(None).cast("string").alias("operation"),
+                F.lit(None).cast("string").alias("column"),
+                F.lit(None).cast("double").alias("value"),
+                F.lit(f"Partial result. Not computed: {' | '.join(issues)}").alias("_summary"),
+            )
+        )
     kept = [field(c) for c in df.columns if c not in {m.alias for m in measures}]
     return df.select(*kept, F.inline(F.array(*cells)))
 
 
-def summarise(kind: str, df: DataFrame, measures: list[Measure], filters: str) -> DataFrame:
+def summarise(kind: str, df: DataFrame, measures: list[Measure], filters: str, issues: list[str]) -> DataFrame:
     """Add ``_summary`` to a result of the given kind."""
     if kind == "scalar":
-        return _scalar_rows(df, measures, filters)
+        return _scalar_rows(df, measures, filters, issues)
     if kind in ("max", "min"):
         metric = df.columns[-1]
         sentence = F.concat(F.lit(f"{WORDS[kind]} of {metric}: "), _text(field(metric)))

@@ -1,8 +1,9 @@
 """What the cells of a column can be read as.
 
-Typed columns need no look at the data. For text columns (numbers? dates?) and whole
-numbers that might be YYYYMMDD days, one aggregate over just the columns in question
-decides. It combines map-side to one row, so its cost is one pruned scan.
+Typed columns need no look at the data. For text columns (numbers? dates?) one aggregate
+over just the columns in question decides; it combines map-side to one row, so its cost is
+one pruned scan. Whole numbers that might be YYYYMMDD days need only a search for one value
+that is not.
 """
 
 from __future__ import annotations
@@ -93,39 +94,45 @@ def depends_on_data(dtype: T.DataType, operator: str, value: object) -> bool:
     return ordered or dated or any(number_of(v) is not None for v in values)
 
 
-def _counts(name: str, dtype: T.DataType, at: int) -> list[Column]:
+def _counts(name: str, at: int) -> list[Column]:
     column = field(name)
-    if coerce.is_whole(dtype):
-        inside = column.between(coerce.FIRST_DAY_NUMBER, coerce.LAST_DAY_NUMBER)
-        return [
-            F.count(column).alias(f"filled_{at}"),
-            F.count_if(inside).alias(f"days_{at}"),
-        ]
     return [
-        F.count(F.lit(1)).alias(f"rows_{at}"),
         F.count(coerce.number_from_text(column)).alias(f"numbers_{at}"),
         F.count(coerce.time_from_text(column)).alias(f"times_{at}"),
     ]
 
 
-def _read(row: dict, dtype: T.DataType, at: int) -> ColumnClass:
-    if coerce.is_whole(dtype):
-        filled = row[f"filled_{at}"]
-        return day_numbers(dtype) if filled and filled == row[f"days_{at}"] else typed(dtype)
-    rows, numbers, times = (row[f"{kind}_{at}"] for kind in ("rows", "numbers", "times"))
+def _read(dtype: T.DataType, rows: int, numbers: int, times: int) -> ColumnClass:
     share = {"number": numbers / rows if rows else 0.0, "time": times / rows if rows else 0.0}
     sort_as = next((kind for kind, part in share.items() if part >= SORT_SHARE), "text")
     return ColumnClass(dtype, numbers > 0, times > 0, sort_as)
 
 
+def _all_day_numbers(df: DataFrame, name: str) -> bool:
+    """No value outside the YYYYMMDD range.
+
+    Other columns are found out by their first rows; for day numbers the range test is
+    answered by file statistics.
+    """
+    column = field(name)
+    outside = (column < coerce.FIRST_DAY_NUMBER) | (column > coerce.LAST_DAY_NUMBER)
+    return df.where(outside).select(F.lit(1)).limit(1).isEmpty()
+
+
 def classify(df: DataFrame, names: Iterable[str]) -> dict[str, ColumnClass]:
-    """Look at the data of the named columns: one aggregate job, none if types tell all."""
+    """Look at the data of the named columns, as far as their types leave questions open.
+
+    All text columns share one aggregate job over just those columns.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
-    names = list(dict.fromkeys(names))
-    open_names = [n for n in names if coerce.is_text(types[n]) or coerce.is_whole(types[n])]
     found = {n: typed(types[n]) for n in names}
-    if open_names:
-        wanted = [c for at, n in enumerate(open_names) for c in _counts(n, types[n], at)]
-        row = df.agg(*wanted).first().asDict()
-        found.update({n: _read(row, types[n], at) for at, n in enumerate(open_names)})
+    for name in found:
+        if coerce.is_whole(types[name]) and _all_day_numbers(df, name):
+            found[name] = day_numbers(types[name])
+    texts = [n for n in found if coerce.is_text(types[n])]
+    if texts:
+        wanted = [c for at, n in enumerate(texts) for c in _counts(n, at)]
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *wanted).first()
+        for at, name in enumerate(texts):
+            found[name] = _read(types[name], row["rows"], row[f"numbers_{at}"], row[f"times_{at}"])
     return found

@@ -41,7 +41,12 @@ class Aggregation:
 
 @dataclass(frozen=True)
 class Intent:
-    """A validated request. ``limit=None`` keeps the whole result."""
+    """A validated request.
+
+    ``limit=None`` keeps the whole result. ``approximate`` allows estimated distinct counts,
+    which need no shuffle of the values. ``row_key`` names the column that fixes the order of
+    otherwise equal rows.
+    """
 
     operations: tuple[str, ...] = ("none",)
     columns: tuple[str, ...] = ()
@@ -55,6 +60,7 @@ class Intent:
     bins: Any = 10
     percentile: Any = 0.5
     regex: bool = False
+    approximate: bool = False
     row_key: str | None = None
     named: tuple[str, ...] = field(default=())
 
@@ -78,6 +84,7 @@ class Intent:
             bins=request.get("bins", 10),
             percentile=request.get("percentile", request.get("quantile", 0.5)),
             regex=bool(request.get("regex", False)),
+            approximate=bool(request.get("approximate", False)),
             row_key=request.get("row_key"),
             named=tuple(op for op in names.operations_in(spoken) if op not in ("none", "filter")),
         )

@@ -41,23 +41,43 @@ class Result:
     issues: list[str] = attribute(default_factory=list)
     filters: str = ""
     measures: list[aggregates.Measure] = attribute(default_factory=list)
+    order: list[Column] = attribute(default_factory=list)
+    matched: list[DataFrame] = attribute(default_factory=list)
 
     @property
     def df(self) -> DataFrame:
         return next(iter(self.parts.values()))
 
     def rows(self, limit: int = DEFAULT_ROWS) -> list[dict[str, Any]]:
-        """The first rows on the driver, for display."""
-        return [row.asDict(recursive=True) for row in self.df.limit(limit).collect()]
+        """The first rows on the driver, for display.
+
+        Groups and frequencies are put in order here only: ``df`` itself does not pay for a
+        sort that nobody asked for.
+        """
+        df = self.df.orderBy(*self.order) if self.order else self.df
+        return [row.asDict(recursive=True) for row in df.limit(limit).collect()]
 
     def summary_rows(self) -> DataFrame:
-        """The answer with a ``_summary`` sentence per row."""
+        """The answer with a ``_summary`` sentence per row; a last row tells what failed."""
         kind, df = next(iter(self.parts.items()))
-        return summaries.summarise(kind, df, self.measures, self.filters)
+        return summaries.summarise(kind, df, self.measures, self.filters, self.issues)
+
+    def sentences(self) -> DataFrame:
+        """``operation, _summary`` over all parts of an answer to several operations."""
+        told = [
+            summaries.summarise(kind, df, self.measures, self.filters, []).select(
+                *(["operation"] if kind == "scalar" else [F.lit(kind).alias("operation")]), "_summary"
+            )
+            for kind, df in self.parts.items()
+            if kind not in ("rows", "grouped")
+        ]
+        if not told:
+            raise QueryIssue("Plain rows and groups have no sentences.")
+        return reduce(DataFrame.unionByName, told)
 
     def no_rows_matched(self) -> bool:
-        """Runs a job: whether the plain result is empty."""
-        return self.df.isEmpty()
+        """Runs a job: whether the filters left no row at all."""
+        return all(df.isEmpty() for df in self.matched)
 
 
 def run(
@@ -101,7 +121,9 @@ def _federated(sheets: Mapping[str, DataFrame], intent: Intent, classes: Mapping
         parts[kind] = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     first = next(iter(results.values()))
     issues = skipped + [issue for r in results.values() for issue in r.issues]
-    return Result(parts, issues, first.filters, first.measures)
+    matched = [df for r in results.values() for df in r.matched]
+    order = [F.col(SHEET), *first.order] if first.order else []
+    return Result(parts, issues, first.filters, first.measures, order, matched)
 
 
 def _schema_line(name: str, df: DataFrame) -> str:
@@ -120,6 +142,7 @@ class _Plan:
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.known = {k: v for k, v in classes.items() if k in self.types}
         self.issues: list[str] = []
+        self.order: list[Column] = []
         on_sheet = [c for c in intent.filters if str(c.column).lower() == SHEET] if virtual_sheet else []
         self.sheet_filters = on_sheet
         self.filters = [c for c in intent.filters if c not in on_sheet]
@@ -209,7 +232,11 @@ class _Plan:
             parts = {"rows": self._rows(rows)}
         else:
             parts, measures = self._computed(rows, lenient)
-        return Result(parts, self.issues, described, measures)
+        if next(iter(parts)) == "value_counts":
+            self.order = [F.col("column"), F.desc("count"), F.col("value")]
+        elif next(iter(parts)) == "histogram":
+            self.order = [F.col("bin")]
+        return Result(parts, self.issues, described, measures, self.order, [rows])
 
     def _sorted(self, df: DataFrame, classes: dict[str, ColumnClass], ties: list[str]) -> DataFrame:
         """Order by the request (nulls last), ties in a fixed order, then keep the limit."""
@@ -268,7 +295,11 @@ class _Plan:
             *(label.alias(name) for name, label in labels.items()), *(field(m.alias) for m in measures)
         )
         classes.update({f.name: typed(f.dataType) for f in shown.schema.fields if f.name not in classes})
-        return self._sorted(self._after(shown, classes), classes, list(labels))
+        kept = self._after(shown, classes)
+        if not self.intent.sort and self.intent.limit is None:
+            self.order = [field(name).asc_nulls_last() for name in labels]
+            return kept
+        return self._sorted(kept, classes, list(labels))
 
     def _grouped_measures(self, keys: list[str]) -> list[aggregates.Measure]:
         grouped = [resolve(self.df.columns, k.column) for k in self.intent.group_by]
@@ -288,7 +319,7 @@ class _Plan:
         usable = [(fn, c) for fn, c in pairs if self._computable(fn, c)]
         if not usable:
             raise self.refuse("None of the requested columns has numeric values.")
-        return aggregates.named_measures(usable, self._share(usable))
+        return aggregates.named_measures(usable, self._share(usable), self.intent.approximate)
 
     def _share(self, pairs: list[tuple[str, str | None]]) -> float:
         wanted = any(function == "quantile" for function, _ in pairs)
@@ -329,7 +360,7 @@ class _Plan:
                 if not columns:
                     self.issues.append(f"{op}: no target column was resolved from the request")
 
-        measures = aggregates.named_measures(pairs, self._share(pairs))
+        measures = aggregates.named_measures(pairs, self._share(pairs), self.intent.approximate)
         if measures:
             present = [m for m in measures if m.column is None or m.column in self.types]
             scalar = aggregates.aggregate(rows, [], present, self.classes) if present else rows.agg(
@@ -356,7 +387,7 @@ class _Plan:
 
     def _whole_column(self, rows: DataFrame, op: str, columns: list[str]) -> DataFrame | None:
         if op == "profile":
-            return statistics.describe(rows, columns, self.classes)
+            return statistics.describe(rows, columns, self.classes, self.intent.approximate)
         if not columns:
             self.issues.append(f"{op}: no target column was resolved from the request")
             return None

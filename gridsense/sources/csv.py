@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,10 +103,13 @@ def read_csv(
     encoding: str = "UTF-8",
     multi_line: bool | None = None,
     tokens: tuple[str, ...] = NA_TOKENS,
-    infer: bool = True,
+    types: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """A delimited file or folder with a header row.
 
+    ``types`` names column types where they are known; with it no scan is spent on inference,
+    columns it does not mention stay text, and cells that do not fit become null.
+
     Unless given, the delimiter is sniffed and multi-line mode is used only if some cell
     needs it, because a file read in that mode cannot be split.
     """
@@ -117,4 +121,8 @@ def read_csv(
         path, header=True, sep=sep, quote='"', escape='"', encoding=encoding, multiLine=multi_line
     )
     cells = blank_tokens(raw, tokens)
-    return infer_types(cells) if infer else cells
+    if types is None:
+        return infer_types(cells)
+    return cells.select(
+        *(F.trim(field(c)).try_cast(types[c]).alias(c) if c in types else field(c) for c in cells.columns)
+    )
