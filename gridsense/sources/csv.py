@@ -13,6 +13,8 @@ from gridsense.functions.names import field
 
 DELIMITERS = (",", ";", "\t", "|")
 SNIFFED_LINES = 20
+# Other spellings of the character sets that the reader accepts.
+CHARSETS = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "ascii": "US-ASCII", "utf8": "UTF-8", "utf-8-sig": "UTF-8"}
 WHOLE_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
 
 # Cells read as missing.
@@ -117,9 +119,8 @@ def read_csv(
         sep = sniff_delimiter(spark, path)
     if multi_line is None:
         multi_line = has_multiline_cells(spark, path)
-    raw = spark.read.csv(
-        path, header=True, sep=sep, quote='"', escape='"', encoding=encoding, multiLine=multi_line
-    )
+    charset = CHARSETS.get(encoding.lower(), encoding)
+    raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', encoding=charset, multiLine=multi_line)
     cells = blank_tokens(raw, tokens)
     if types is None:
         return infer_types(cells)
