@@ -9,10 +9,9 @@ from pyspark.sql import types as T
 from gridsense.functions.literals import NUMBER_PATTERN
 
 WHITE_SPACE = " \t\n\r\f\v"
-ISO_START = r"^\s*\d{4}[-/]\d{1,2}"
-NUMERIC_DATE = r"^\s*\d{1,2}[/.-]\d{1,2}[/.-]\d{4}"
+ISO_DATE = r"^\s*\d{4}[-/]\d{1,2}"
+NUMERIC_DATE = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\b"
 WORDED_DATE = r"(?i)^\s*(\d{1,2}[ -][a-z]{3,9}[ ,-]+\d{4}|[a-z]{3,9} \d{1,2},? \d{4})\s*$"
-CLOCK = "[ H:mm[:ss]]"
 
 # Whole numbers in this range may be calendar days written YYYYMMDD.
 FIRST_DAY_NUMBER, LAST_DAY_NUMBER = 19000101, 21001231
@@ -65,14 +64,12 @@ def time_from_text(column: Column) -> Column:
     """The moment written in a text cell, else null.
 
     Year-first spellings are unambiguous. The rest is day-first, and month-first only
-    where the day-first reading is impossible (12/25/2023).
+    where the day-first reading is impossible (12/25/2023). Numeric spellings are turned
+    year-first, because reading those needs no format pattern.
     """
-    slashed = F.translate(column, ".-", "//")
+    day_first = F.regexp_replace(column, NUMERIC_DATE, "$3-$2-$1")
+    month_first = F.regexp_replace(column, NUMERIC_DATE, "$3-$1-$2")
     worded = F.trim(F.regexp_replace(column, r"[\s,-]+", " "))
-    day_first = F.coalesce(
-        F.try_to_timestamp(slashed, F.lit(f"d/M/yyyy{CLOCK}")),
-        F.try_to_timestamp(slashed, F.lit(f"M/d/yyyy{CLOCK}")),
-    )
     named = F.coalesce(
         *(
             F.try_to_timestamp(worded, F.lit(layout))
@@ -80,15 +77,20 @@ def time_from_text(column: Column) -> Column:
         )
     )
     return (
-        F.when(column.rlike(ISO_START), F.translate(column, "/", "-").try_cast("timestamp_ntz"))
-        .when(column.rlike(NUMERIC_DATE), day_first.cast("timestamp_ntz"))
+        F.when(column.rlike(ISO_DATE), F.translate(column, "/", "-").try_cast("timestamp_ntz"))
+        .when(
+            column.rlike(NUMERIC_DATE),
+            F.coalesce(day_first.try_cast("timestamp_ntz"), month_first.try_cast("timestamp_ntz")),
+        )
         .when(column.rlike(WORDED_DATE), named.cast("timestamp_ntz"))
     )
 
 
 def time_from_day_number(column: Column) -> Column:
     """20230105 → 2023-01-05; impossible days become null."""
-    return F.try_to_date(column.cast("long").cast("string"), "yyyyMMdd").cast("timestamp_ntz")
+    digits = column.cast("long").cast("string")
+    parts = [F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 10)]
+    return F.concat_ws("-", *parts).try_cast("date").cast("timestamp_ntz")
 
 
 def normalise_text(column: Column) -> Column:

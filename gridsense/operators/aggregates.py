@@ -11,7 +11,6 @@ from gridsense.errors import QueryIssue
 from gridsense.functions import coerce, literals
 from gridsense.functions.names import field
 from gridsense.operators import ranked
-from gridsense.operators.sizing import fits_one_task
 from gridsense.plans.classes import ColumnClass
 
 NUMERIC_FUNCTIONS = ("sum", "avg", "max", "min", "median", "mode", "std", "variance", "quantile")
@@ -76,9 +75,6 @@ def _expression(measure: Measure, cls: ColumnClass | None, grouped: bool) -> Col
         "min": lambda: F.min(number),
         "std": lambda: F.stddev_samp(number),
         "variance": lambda: F.var_samp(number),
-        "median": lambda: F.percentile(number, 0.5),
-        "quantile": lambda: F.percentile(number, measure.share),
-        "mode": lambda: F.mode(number, True),
         "count": lambda: F.count(F.when(~absent, column)),
         "distinct_count": lambda: distinct(F.when(~absent, column)),
         "null_count": lambda: F.count_if(absent),
@@ -89,7 +85,7 @@ def _expression(measure: Measure, cls: ColumnClass | None, grouped: bool) -> Col
     return build()
 
 
-def _spread(df: DataFrame, keys: list[str], measure: Measure, cls: ColumnClass) -> DataFrame:
+def _ranked(df: DataFrame, keys: list[str], measure: Measure, cls: ColumnClass) -> DataFrame:
     value = cls.number(field(measure.column))
     if measure.function == "mode":
         return ranked.mode(df, keys, value, measure.alias)
@@ -103,24 +99,21 @@ def aggregate(
     measures: list[Measure],
     classes: dict[str, ColumnClass],
 ) -> DataFrame:
-    """One row per key (or one row in all) with every measure, in one pass where possible.
+    """One row per key (or one row in all) with every measure.
 
-    Medians, quantiles and modes join the single pass only if the whole input is small;
-    otherwise each gets the spread-out plan of ``ranked`` and is joined by key.
+    All measures that combine map-side share one pass. Medians, quantiles and modes need the
+    values in order; each has its own plan (``ranked``), joined by key.
     """
     apart = [m for m in measures if m.function in RANKED_FUNCTIONS]
-    if apart and fits_one_task(df.select(*map(field, dict.fromkeys([*keys, *(m.column for m in apart)])))):
-        apart = []
     direct = [m for m in measures if m not in apart]
     grouped = bool(keys)
 
     result = None
-    if direct or grouped:
+    if direct:
         expressions = [_expression(m, classes.get(m.column), grouped).alias(m.alias) for m in direct]
-        rows = df.groupBy(*map(field, keys))
-        result = rows.agg(*expressions) if expressions else df.select(*map(field, keys)).distinct()
+        result = df.groupBy(*map(field, keys)).agg(*expressions)
     for measure in apart:
-        one = _spread(df, keys, measure, classes[measure.column])
+        one = _ranked(df, keys, measure, classes[measure.column])
         if result is None:
             result = one
         elif grouped:

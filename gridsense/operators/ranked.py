@@ -1,8 +1,8 @@
 """Exact quantiles and modes whose memory does not grow with the largest group.
 
-``percentile`` and ``mode`` keep every distinct value of a group in one task. These plans
-spread a group over many tasks instead: values are counted first, and only one narrow
-slice of each group is ever sorted.
+``percentile`` and ``mode`` keep every distinct value of a group in one task. Here a small
+input is sorted per group (a sort can spill), and of a large one only the narrow slice of
+each group that holds the wanted rank.
 """
 
 from __future__ import annotations
@@ -12,69 +12,95 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsense.functions.names import field
+from gridsense.operators.sizing import estimated_bytes, one_task_bytes
 
 VALUE, SLICE, COPIES = "__value", "__slice", "__copies"
-SLICES = 1024
+MOST_SLICES = 4096
+MOST_BROADCAST_ROWS = 10_000
 
 
 def _values(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    return df.select(*map(field, keys), value.cast("double").alias(VALUE)).where(F.col(VALUE).isNotNull())
+    return df.select(*map(field, keys), value.cast("double").alias(VALUE))
 
 
-def _sliced(values: DataFrame, slices: int) -> DataFrame:
-    """Tag each value with a slice of the overall value range, about equally filled.
+def slices_for(values: DataFrame) -> int:
+    """One slice if everything fits one task, else enough that a slice does."""
+    return max(1, min(MOST_SLICES, -(-estimated_bytes(values) // max(1, one_task_bytes(values)))))
 
-    The cut points are approximate, which affects balance only: counts per slice are exact.
-    """
-    shares = [i / slices for i in range(1, slices)]
-    cuts = sorted(set(values.approxQuantile(VALUE, shares, 1 / (4 * slices)))) if shares else []
-    if not cuts:
-        return values.withColumn(SLICE, F.lit(0.0))
-    edges = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=edges, inputCol=VALUE, outputCol=SLICE).transform(values)
 
+def _interpolated(ranked: DataFrame, keys: list[str], alias: str) -> DataFrame:
+    """From ranked values (0-based rank of the last copy) to the value at the wanted place."""
+    ends = ranked.groupBy(*map(field, keys)).agg(
+        F.min(F.when(F.col("__rank") >= F.floor("__place"), F.col(VALUE))).alias("__a"),
+        F.min(F.when(F.col("__rank") >= F.ceil("__place"), F.col(VALUE))).alias("__b"),
+        F.max(F.col("__place") - F.floor("__place")).alias("__part"),
+    )
+    between = F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")
+    return ends.select(*map(field, keys), between.alias(alias))
 
-def quantile(
-    df: DataFrame, keys: list[str], value: Column, share: float, alias: str, slices: int = SLICES
-) -> DataFrame:
-    """One row per key with the linearly interpolated quantile.
 
-    Copies of a value collapse map-side. The position of the wanted rank is found among at
-    most ``slices`` counts per key, then only the slice holding it is ranked.
+def _sorted_whole(values: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Every value ranked within its key, missing ones last; rank and count share one window."""
+    ordered = Window.partitionBy(*map(field, keys)).orderBy(F.col(VALUE).asc_nulls_last())
+    everything = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = (F.count(VALUE).over(everything) - 1) * F.lit(share)
+    return values.withColumn("__rank", F.row_number().over(ordered) - 1).withColumn("__place", place)
+
+
+def _small_if_possible(wanted: DataFrame) -> DataFrame:
+    """The wanted slices as a broadcast table if they are few, else left to a shuffled join."""
+    rows = wanted.take(MOST_BROADCAST_ROWS + 1)
+    if len(rows) > MOST_BROADCAST_ROWS:
+        return wanted
+    return F.broadcast(wanted.sparkSession.createDataFrame(rows, wanted.schema))
+
+
+def _sorted_slices(values: DataFrame, keys: list[str], share: float, slices: int) -> DataFrame:
+    """Rank only the slices that hold the wanted place of each key.
+
+    The cut points are approximate, which affects balance only: rows per slice are counted
+    exactly. Those counts, at most ``slices`` per key, tell the slices to keep; copies of a
+    value collapse before the one shuffle that moves values.
     """
-    counted = (
-        _sliced(_values(df, keys, value), slices)
-        .groupBy(*map(field, keys), SLICE, VALUE)
-        .agg(F.count(F.lit(1)).alias(COPIES))
-    )
+    cuts = sorted(set(values.approxQuantile(VALUE, [i / slices for i in range(1, slices)], 1 / (4 * slices))))
+    edges = [float("-inf"), *cuts, float("inf")]
+    sliced = values.withColumn(SLICE, F.lit(0.0))
+    if cuts:
+        sliced = Bucketizer(splits=edges, inputCol=VALUE, outputCol=SLICE).transform(values)
     per_key = Window.partitionBy(*map(field, keys))
-    fills = (
-        counted.groupBy(*map(field, keys), SLICE)
-        .agg(F.sum(COPIES).alias("__filled"))
+    wanted = (
+        sliced.groupBy(*map(field, keys), SLICE)
+        .agg(F.count(F.lit(1)).alias("__filled"))
         .withColumn("__upto", F.sum("__filled").over(per_key.orderBy(SLICE)))
         .withColumn("__place", (F.sum("__filled").over(per_key) - 1) * F.lit(share))
-        .withColumn("__low", F.floor("__place"))
-        .withColumn("__high", F.ceil("__place"))
         .withColumn("__before", F.col("__upto") - F.col("__filled"))
+        .where((F.col("__upto") > F.floor("__place")) & (F.col("__before") <= F.ceil("__place")))
+        .select(*map(field, keys), SLICE, "__before", "__place")
     )
-    wanted = fills.where(
-        (F.col("__upto") > F.col("__low")) & (F.col("__before") <= F.col("__high"))
-    ).select(*map(field, keys), SLICE, "__before", "__place", "__low", "__high")
-    in_slice = Window.partitionBy(*map(field, keys), SLICE).orderBy(VALUE)
-    ranked = counted.join(wanted, [*keys, SLICE]).withColumn(
-        "__rank", F.col("__before") + F.sum(COPIES).over(in_slice)
-    )
-    ends = ranked.groupBy(*map(field, keys)).agg(
-        F.min(F.when(F.col("__rank") > F.col("__low"), F.col(VALUE))).alias("__a"),
-        F.min(F.when(F.col("__rank") > F.col("__high"), F.col(VALUE))).alias("__b"),
-        F.max(F.col("__place") - F.col("__low")).alias("__part"),
+    kept = (
+        sliced.join(_small_if_possible(wanted), [*keys, SLICE])
+        .groupBy(*map(field, keys), SLICE, VALUE, "__before", "__place")
+        .agg(F.count(F.lit(1)).alias(COPIES))
     )
-    between = F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")
-    return ends.select(*map(field, keys), between.alias(alias))
+    in_slice = Window.partitionBy(*map(field, keys), SLICE).orderBy(VALUE)
+    return kept.withColumn("__rank", F.col("__before") + F.sum(COPIES).over(in_slice) - 1)
+
+
+def quantile(
+    df: DataFrame, keys: list[str], value: Column, share: float, alias: str, slices: int | None = None
+) -> DataFrame:
+    """One row per key with the linearly interpolated quantile, null for a key without values."""
+    values = _values(df, keys, value)
+    slices = slices or slices_for(values)
+    if slices == 1:
+        return _interpolated(_sorted_whole(values, keys, share), keys, alias)
+    filled = values.where(F.col(VALUE).isNotNull())
+    found = _interpolated(_sorted_slices(filled, keys, share, slices), keys, alias)
+    return values.select(*map(field, keys)).distinct().join(found, keys, "left") if keys else found
 
 
 def mode(df: DataFrame, keys: list[str], value: Column, alias: str) -> DataFrame:
     """One row per key with its most frequent value, the smallest one on ties."""
     counted = _values(df, keys, value).groupBy(*map(field, keys), VALUE).agg(F.count(F.lit(1)).alias(COPIES))
-    first = F.min(F.struct((-F.col(COPIES)).alias("rarity"), F.col(VALUE)))
-    return counted.groupBy(*map(field, keys)).agg(first.getField(VALUE).alias(alias))
+    candidate = F.when(F.col(VALUE).isNotNull(), F.struct((-F.col(COPIES)).alias("rarity"), F.col(VALUE)))
+    return counted.groupBy(*map(field, keys)).agg(F.min(candidate).getField(VALUE).alias(alias))

@@ -1,11 +1,11 @@
-"""Size checks that decide between an in-memory plan and one that never gathers a group."""
+"""Size checks that decide between a plan per group and one that splits groups."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-SINGLE_GROUP_SETTING = "spark.gridsense.singleGroupBytes"
-SINGLE_GROUP_BYTES = 64 * 1024 * 1024
+ONE_TASK_SETTING = "spark.gridsense.oneTaskBytes"
+ONE_TASK_BYTES = 64 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -13,7 +13,6 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """True if the whole input is small, so that even a single group holding all of it is."""
-    limit = int(df.sparkSession.conf.get(SINGLE_GROUP_SETTING, str(SINGLE_GROUP_BYTES)))
-    return estimated_bytes(df) <= limit
+def one_task_bytes(df: DataFrame) -> int:
+    """How much input a single task may be given to sort."""
+    return int(df.sparkSession.conf.get(ONE_TASK_SETTING, str(ONE_TASK_BYTES)))

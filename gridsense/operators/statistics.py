@@ -87,8 +87,9 @@ def histogram(df: DataFrame, column: str, cls: ColumnClass, bins: object = DEFAU
         .agg(F.count(F.lit(1)).alias("n"))
     )
     every = (
-        ends.where(low.isNotNull())
-        .select("ends", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+        df.sparkSession.range(1, bins + 1)
+        .select(F.col("id").cast("int").alias("bin"), ends.scalar().alias("ends"))
+        .where(low.isNotNull())
         .select(
             F.lit(column).alias("column"),
             "bin",

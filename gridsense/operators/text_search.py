@@ -34,7 +34,10 @@ NO_EXCERPT = ("nan", "none", "")
 
 @dataclass(frozen=True)
 class Search:
-    """What to search for, where, and how many rows to keep per sheet (None keeps all)."""
+    """What to search for, where, and how many rows to keep per sheet (None keeps all).
+
+    In a dict request ``"top_k": "all"`` keeps all; without one the first 8 are kept.
+    """
 
     query_text: str = ""
     keywords: tuple[str, ...] = ()
@@ -55,7 +58,7 @@ class Search:
             columns=tuple(plan.get("target_text_columns") or ()),
             id_filters=_conditions(plan.get("id_filters")),
             post_filters=_conditions(plan.get("post_filters")),
-            top_k=int(plan.get("top_k") or TOP_K),
+            top_k=None if plan.get("top_k") == "all" else int(plan.get("top_k") or TOP_K),
             row_key=plan.get("row_key"),
         )
 
@@ -149,15 +152,23 @@ def _classes(df: DataFrame, conditions: list[Condition]) -> dict[str, ColumnClas
     return {**{n: typed(t) for n, t in types.items()}, **classify(df, unclear)}
 
 
+def _phrase(columns: list[str], phrase: str) -> Column:
+    """A phrase in the row's text, where any white space counts as one blank."""
+    if re.search(r"\s\s|[^\S ]", phrase):
+        return F.lit(False)
+    pattern = r"\s+".join(re.sub(r"([^\w\s])", r"\\\1", part) for part in phrase.split(" "))
+    return F.lower(F.concat_ws(" ", *map(field, columns))).rlike(pattern)
+
+
 def _hits(columns: list[str], words: list[str]) -> list[Column]:
-    """One boolean per word. Words without blanks need no white-space clean-up of the text."""
-    if any(re.search(r"\s", word) for word in words):
-        text = coerce.normalise_text(F.concat_ws(" ", *map(field, columns)))
-        return [F.contains(text, F.lit(word)) for word in words]
+    """One boolean per word, on the raw text: nothing is normalised first.
+
+    A word without blanks can only occur inside one column; a phrase may span columns.
+    """
     tests = []
     for word in words:
         inside = [F.coalesce(F.contains(F.lower(field(c)), F.lit(word)), F.lit(False)) for c in columns]
-        tests.append(reduce(lambda a, b: a | b, inside))
+        tests.append(_phrase(columns, word) if re.search(r"\s", word) else reduce(lambda a, b: a | b, inside))
     return tests
 
 
@@ -169,17 +180,18 @@ def _matching(rows: DataFrame, hits: list[Column], filters: list[Column], wanted
 
     if not hits:
         return kept(rows)
-    some = reduce(lambda a, b: a | b, hits)
+    some, every = reduce(lambda a, b: a | b, hits), reduce(lambda a, b: a & b, hits)
     if len(hits) == 1:
         return kept(rows.where(some))
-    matched = rows.where(some).withColumn("__all", reduce(lambda a, b: a & b, hits))
+    matched = rows.where(some).withColumn("__all", every)
     if wanted.top_k is not None and not filters:
         # Full matches sort first, so the top k alone show whether there are any: one pass.
         top = kept(matched, [(F.col("__all"), True)])
         best = F.max("__all").over(Window.partitionBy(F.lit(1)))
         return top.withColumn("__best", best).where(F.col("__all") == F.col("__best")).drop("__all", "__best")
-    best = matched.agg(F.max("__all")).scalar()
-    return kept(matched.where(F.col("__all") == best).drop("__all"))
+    # Each task stops at its first full match.
+    full = rows.where(every).select(F.lit(1)).limit(1).agg(F.count(F.lit(1)) > 0).scalar()
+    return kept(matched.where(F.col("__all") == full).drop("__all"))
 
 
 def _search_sheet(df: DataFrame, sheet: str, wanted: Search, scope: list[Condition]) -> DataFrame:

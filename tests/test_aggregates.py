@@ -4,7 +4,7 @@ import pytest
 
 from gridsense import QueryIssue, run
 from gridsense.operators import ranked
-from gridsense.operators.sizing import SINGLE_GROUP_SETTING
+from gridsense.operators.sizing import ONE_TASK_SETTING
 from pyspark.sql import functions as F
 
 VALUES = ("v double, t string", [(1.0, "a"), (2.0, "b"), (2.0, None), (4.0, "a"), (None, "c"), (float("nan"), "c")])
@@ -164,9 +164,9 @@ def test_no_rows_matched(frame):
 
 @pytest.fixture
 def spread_out(spark):
-    spark.conf.set(SINGLE_GROUP_SETTING, "0")
+    spark.conf.set(ONE_TASK_SETTING, "1000")
     yield
-    spark.conf.unset(SINGLE_GROUP_SETTING)
+    spark.conf.unset(ONE_TASK_SETTING)
 
 
 HOT = "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 50) END"
@@ -178,11 +178,11 @@ def test_spread_out_plan_agrees_with_the_in_memory_one(spark, value):
     request = {"operation": "median|quantile|mode|sum", "columns": ["v"], "percentile": 83, "group_by": ["k"]}
     scalar = {"operation": "median|quantile|mode|sum", "columns": ["v"], "percentile": 83}
     expected, expected_scalar = run(df, request).rows(), run(df, scalar).rows()
-    spark.conf.set(SINGLE_GROUP_SETTING, "0")
+    spark.conf.set(ONE_TASK_SETTING, "1000")
     try:
         got, got_scalar = run(df, request).rows(), run(df, scalar).rows()
     finally:
-        spark.conf.unset(SINGLE_GROUP_SETTING)
+        spark.conf.unset(ONE_TASK_SETTING)
     assert [list(r)[0] for r in got] == [list(r)[0] for r in expected]
     for a, b in zip(got + got_scalar, expected + expected_scalar):
         assert {k: pytest.approx(v) for k, v in b.items()} == a

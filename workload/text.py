@@ -141,7 +141,7 @@ CASES = {
     ),
     "ts_and": Case(
         _search(
-            {"query_text": "Find the License with that tion", "target_text_columns": ["text"], "top_k": 1000000,
+            {"query_text": "Find the License with that tion", "target_text_columns": ["text"], "top_k": "all",
              "row_key": "doc_id"},
             ["doc_id", "lang"],
         ),
@@ -149,7 +149,7 @@ CASES = {
     ),
     "ts_or_fallback": Case(
         _search(
-            {"query_text": "x", "keywords": ["zyzzyva", "MIT license", "apache license"], "top_k": 1000000,
+            {"query_text": "x", "keywords": ["zyzzyva", "MIT license", "apache license"], "top_k": "all",
              "target_text_columns": ["text", "source"], "row_key": "doc_id"},
             ["doc_id", "lang"],
         ),
@@ -159,7 +159,7 @@ CASES = {
     ),
     "ts_id_filter": Case(
         _search(
-            {"id_filters": [{"column": "Source", "value": " SRC7 "}], "query_text": "License", "top_k": 1000000,
+            {"id_filters": [{"column": "Source", "value": " SRC7 "}], "query_text": "License", "top_k": "all",
              "target_text_columns": ["text"], "row_key": "doc_id"},
             ["doc_id", "lang"],
         ),
@@ -167,7 +167,7 @@ CASES = {
     ),
     "ts_post_filter": Case(
         _search(
-            {"query_text": "tion zyzzyva", "target_text_columns": ["text"], "top_k": 1000000, "row_key": "doc_id",
+            {"query_text": "tion zyzzyva", "target_text_columns": ["text"], "top_k": "all", "row_key": "doc_id",
              "post_filters": [where("n_chars", ">", 2500), where("lang", "!=", "EN")]},
             ["doc_id", "lang"],
         ),
