@@ -15,7 +15,7 @@ from gridsense.functions.names import field
 from gridsense.operators.sizing import estimated_bytes, one_task_bytes
 
 VALUE, SLICE, COPIES = "__value", "__slice", "__copies"
-MOST_SLICES = 4096
+FEWEST_SLICES, MOST_SLICES = 64, 4096
 MOST_BROADCAST_ROWS = 10_000
 
 
@@ -24,8 +24,9 @@ def _values(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
 
 
 def slices_for(values: DataFrame) -> int:
-    """One slice if everything fits one task, else enough that a slice does."""
-    return max(1, min(MOST_SLICES, -(-estimated_bytes(values) // max(1, one_task_bytes(values)))))
+    """One slice if everything fits one task, else enough that a slice surely does."""
+    tasks = -(-estimated_bytes(values) // one_task_bytes(values))
+    return 1 if tasks <= 1 else max(FEWEST_SLICES, min(MOST_SLICES, tasks))
 
 
 def _interpolated(ranked: DataFrame, keys: list[str], alias: str) -> DataFrame:

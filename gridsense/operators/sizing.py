@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 ONE_TASK_SETTING = "spark.gridsense.oneTaskBytes"
-ONE_TASK_BYTES = 64 * 1024 * 1024
+ONE_TASK_BYTES = 8 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -16,7 +16,7 @@ from gridsense.functions import coerce
 from gridsense.functions.names import field, resolve, resolve_all
 from gridsense.operators.ordering import sort_and_limit
 from gridsense.operators.predicates import canonical_operator, predicate, sheet_matches
-from gridsense.plans.classes import ColumnClass, classify, depends_on_data, typed
+from gridsense.plans.classes import ColumnClass, classify, questions, typed
 from gridsense.plans.intent import Condition
 
 # Words never searched for, and what counts as a word.
@@ -147,9 +147,12 @@ def _tests(
 
 def _classes(df: DataFrame, conditions: list[Condition]) -> dict[str, ColumnClass]:
     types = {f.name: f.dataType for f in df.schema.fields}
-    named = [(resolve(df.columns, c.column), c) for c in conditions]
-    unclear = [n for n, c in named if n and depends_on_data(types[n], canonical_operator(c.operator), c.value)]
-    return {**{n: typed(t) for n, t in types.items()}, **classify(df, unclear)}
+    asked: dict[str, list[tuple[str, ...]]] = {}
+    for c in conditions:
+        name = resolve(df.columns, c.column)
+        if name:
+            asked.setdefault(name, []).append(questions(types[name], canonical_operator(c.operator), c.value))
+    return {**{n: typed(t) for n, t in types.items()}, **classify(df, asked)}
 
 
 def _phrase(columns: list[str], phrase: str) -> Column:

@@ -1,14 +1,14 @@
 """What the cells of a column can be read as.
 
-Typed columns need no look at the data. For text columns (numbers? dates?) one aggregate
-over just the columns in question decides; it combines map-side to one row, so its cost is
-one pruned scan. Whole numbers that might be YYYYMMDD days need only a search for one value
-that is not.
+Typed columns need no look at the data, nor does most of what is asked of text columns.
+Where it matters whether a text column holds numbers or dates, a search for one such cell
+decides, and whole numbers that might be YYYYMMDD days need a search for one value that is
+not. Only a sort needs shares, which one aggregate over just those columns counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -78,20 +78,24 @@ def day_numbers(dtype: T.DataType) -> ColumnClass:
     return ColumnClass(dtype, numbers=True, times=True, sort_as="native", day_numbers=True)
 
 
-def depends_on_data(dtype: T.DataType, operator: str, value: object) -> bool:
-    """Whether a predicate on a column of this type needs to know what its cells look like."""
+NUMBERS, TIMES, SHARES = "numbers", "times", "shares"
+
+
+def questions(dtype: T.DataType, operator: str, value: object) -> tuple[str, ...]:
+    """What a predicate on a column of this type needs to know about the cells.
+
+    Later questions matter only if the earlier ones are answered with no.
+    """
     if not (coerce.is_text(dtype) or coerce.is_whole(dtype)):
-        return False
+        return ()
     if operator in ("in", "not_in", "is", "is_not"):
-        return False
+        return ()
     values = listed(value) if operator == "between" else [value]
     if operator in ("contains", "not_contains", "like", "not_like"):
-        return any(period_of(str(v).strip("%*-/ ")) for v in values)
+        return (TIMES,) if any(period_of(str(v).strip("%*-/ ")) for v in values) else ()
+    numeric = coerce.is_text(dtype) and any(number_of(v) is not None for v in values)
     dated = any(period_of(v) or moment_of(v) for v in values)
-    if coerce.is_whole(dtype):
-        return dated
-    ordered = operator in ("between", ">", "<", ">=", "<=")
-    return ordered or dated or any(number_of(v) is not None for v in values)
+    return (NUMBERS,) * numeric + (TIMES,) * dated
 
 
 def _counts(name: str, at: int) -> list[Column]:
@@ -108,6 +112,11 @@ def _read(dtype: T.DataType, rows: int, numbers: int, times: int) -> ColumnClass
     return ColumnClass(dtype, numbers > 0, times > 0, sort_as)
 
 
+def _any(df: DataFrame, test: Column) -> bool:
+    """Whether some row passes; the search stops at the first one."""
+    return not df.where(test).select(F.lit(1)).limit(1).isEmpty()
+
+
 def _all_day_numbers(df: DataFrame, name: str) -> bool:
     """No value outside the YYYYMMDD range.
 
@@ -115,24 +124,41 @@ def _all_day_numbers(df: DataFrame, name: str) -> bool:
     answered by file statistics.
     """
     column = field(name)
-    outside = (column < coerce.FIRST_DAY_NUMBER) | (column > coerce.LAST_DAY_NUMBER)
-    return df.where(outside).select(F.lit(1)).limit(1).isEmpty()
+    return not _any(df, (column < coerce.FIRST_DAY_NUMBER) | (column > coerce.LAST_DAY_NUMBER))
+
+
+def _look(df: DataFrame, name: str, dtype: T.DataType, asked: tuple[str, ...]) -> ColumnClass:
+    tests = {NUMBERS: coerce.number_from_text, TIMES: coerce.time_from_text}
+    answers = dict.fromkeys(tests, False)
+    for question in asked:
+        answers[question] = _any(df, tests[question](field(name)).isNotNull())
+        if answers[question]:
+            break
+    return ColumnClass(dtype, answers[NUMBERS], answers[TIMES])
 
 
-def classify(df: DataFrame, names: Iterable[str]) -> dict[str, ColumnClass]:
-    """Look at the data of the named columns, as far as their types leave questions open.
+def classify(df: DataFrame, asked: Mapping[str, Iterable[tuple[str, ...]]]) -> dict[str, ColumnClass]:
+    """Look at the data as far as types leave the questions asked per column open.
 
-    All text columns share one aggregate job over just those columns.
+    Whether any cell is a number or a date is a search that stops at the first hit. Shares
+    need all cells: one aggregate job for all columns in question.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    found = {n: typed(types[n]) for n in names}
-    for name in found:
-        if coerce.is_whole(types[name]) and _all_day_numbers(df, name):
-            found[name] = day_numbers(types[name])
-    texts = [n for n in found if coerce.is_text(types[n])]
-    if texts:
-        wanted = [c for at, n in enumerate(texts) for c in _counts(n, at)]
-        row = df.agg(F.count(F.lit(1)).alias("rows"), *wanted).first()
-        for at, name in enumerate(texts):
+    found = {n: typed(types[n]) for n in asked}
+    counted = []
+    for name, wanted in asked.items():
+        dtype, wanted = types[name], [w for w in wanted if w]
+        if coerce.is_whole(dtype) and any(TIMES in w for w in wanted):
+            found[name] = day_numbers(dtype) if _all_day_numbers(df, name) else found[name]
+        elif coerce.is_text(dtype) and wanted:
+            # Several different questions are answered by counting once.
+            if len(set(wanted)) > 1 or SHARES in wanted[0]:
+                counted.append(name)
+            else:
+                found[name] = _look(df, name, dtype, wanted[0])
+    if counted:
+        measures = [c for at, n in enumerate(counted) for c in _counts(n, at)]
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *measures).first()
+        for at, name in enumerate(counted):
             found[name] = _read(types[name], row["rows"], row[f"numbers_{at}"], row[f"times_{at}"])
     return found

@@ -1,8 +1,9 @@
 """Turn a request into a DataFrame plan.
 
-``run`` resolves names, looks at the data of ambiguous columns (at most one small aggregate
-job), reports everything that cannot be done as one ``QueryIssue``, and otherwise returns
-lazy DataFrames: no result job starts here.
+``run`` resolves names, looks at the data of columns whose type leaves their meaning open,
+reports everything that cannot be done as one ``QueryIssue``, and otherwise returns lazy
+DataFrames. The only other jobs started here choose the slices for exact quantiles over
+large inputs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from gridsense.functions.grains import grain
 from gridsense.functions.names import field, resolve, resolve_all
 from gridsense.operators import aggregates, ordering, statistics, summaries
 from gridsense.operators.predicates import canonical_operator, describe_filters, predicate, sheet_matches
-from gridsense.plans.classes import ColumnClass, classify, depends_on_data, readable_text, typed
+from gridsense.plans.classes import NUMBERS, SHARES, TIMES, ColumnClass, classify, questions, readable_text, typed
 from gridsense.plans.intent import Condition, Intent
 
 DEFAULT_ROWS = 1000
@@ -156,23 +157,32 @@ class _Plan:
 
     # -- what the columns contain -------------------------------------------------------
 
-    def _open_questions(self) -> list[str]:
-        """The columns whose cells must be looked at before the plan can be built."""
-        asked: list[str | None] = []
+    def _open_questions(self) -> dict[str, list[tuple[str, ...]]]:
+        """Per column, what must be known about its cells before the plan can be built."""
+        asked: dict[str, list[tuple[str, ...]]] = {}
+
+        def ask(wanted: str | None, *questions: str, text_only: bool = False) -> None:
+            name = resolve(self.df.columns, wanted)
+            if name and name not in self.known and (not text_only or coerce.is_text(self.types[name])):
+                asked.setdefault(name, []).append(questions)
+
         for c in [*self.filters, *self.intent.having]:
             name = resolve(self.df.columns, c.column)
-            if name and depends_on_data(self.types[name], canonical_operator(c.operator), c.value):
-                asked.append(name)
-        text = [n for n, t in self.types.items() if coerce.is_text(t)]
-        asked += [n for n in (resolve(self.df.columns, s.column) for s in self.intent.sort) if n in text]
-        asked += [resolve(self.df.columns, k.column) for k in self.intent.group_by if k.grain]
-        looked_into = {*aggregates.NUMERIC_FUNCTIONS, "correlation", "histogram", "profile"}
-        if looked_into & set(self.intent.operations):
-            targets = [*self.columns, *(resolve(self.df.columns, a.column) for a in self.intent.aggregations)]
-            if "profile" in self.intent.operations and not self.columns:
-                targets += self.df.columns[: statistics.DESCRIBED_COLUMNS]
-            asked += [n for n in targets if n in text]
-        return [n for n in dict.fromkeys(asked) if n and n not in self.known]
+            if name:
+                ask(name, *questions(self.types[name], canonical_operator(c.operator), c.value))
+        for key in self.intent.sort:
+            ask(key.column, SHARES, text_only=True)
+        for key in self.intent.group_by:
+            if key.grain:
+                ask(key.column, TIMES)
+        targets = [*self.columns, *(a.column for a in self.intent.aggregations)]
+        if {*aggregates.NUMERIC_FUNCTIONS, "correlation", "histogram"} & set(self.intent.operations):
+            for name in targets:
+                ask(name, NUMBERS, text_only=True)
+        if "profile" in self.intent.operations:
+            for name in self.columns or self.df.columns[: statistics.DESCRIBED_COLUMNS]:
+                ask(name, NUMBERS, TIMES, text_only=True)
+        return asked
 
     def _learn(self) -> None:
         self.classes = {n: typed(t) for n, t in self.types.items()}
