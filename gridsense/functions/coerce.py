@@ -72,7 +72,7 @@ def time_from_text(column: Column) -> Column:
     worded = F.trim(F.regexp_replace(column, r"[\s,-]+", " "))
     named = F.coalesce(
         *(
-            F.try_to_timestamp(worded, F.lit(layout))
+            F.try_to_date(worded, layout)
             for layout in ("d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")
         )
     )

@@ -314,14 +314,15 @@ class _Plan:
     def _grouped_measures(self, keys: list[str]) -> list[aggregates.Measure]:
         grouped = [resolve(self.df.columns, k.column) for k in self.intent.group_by]
         pairs = [(a.function, resolve(self.df.columns, a.column)) for a in self.intent.aggregations]
-        pairs = [(fn, c) for fn, c in pairs if fn in SCALAR and c and c not in grouped]
+        whole = [("count", None)] * any(a.function == "count" and not a.column for a in self.intent.aggregations)
+        pairs = whole + [(fn, c) for fn, c in pairs if fn in SCALAR and c and c not in grouped]
         if len(pairs) < 2 and (self.intent.named or not pairs):
             columns = [c for c in self.columns if c not in grouped]
             operations = self.intent.named or ("count",)
             refused = [op for op in operations if op in WHOLE_COLUMN]
             if refused:
                 raise self.refuse(f"Operation '{refused[0]}' is not available together with grouping.")
-            fallback = [c for _, c in pairs]
+            fallback = [c for _, c in pairs if c]
             crossed = [(op, c) for op in operations if op != "count" for c in columns or fallback]
             if not crossed and any(op != "count" for op in operations):
                 raise self.refuse(f"No column to compute {', '.join(operations)} over.")

@@ -26,10 +26,22 @@ NA_TOKENS = (
 TRUTH = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
+def _lines(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
+    """Raw lines (column ``value``). Only delimiters and quotes matter, so any ASCII-like set will do."""
+    if not _is_wide(charset):
+        return spark.read.text(path)
+    raw = spark.read.csv(path, sep="\x01", quote="", encoding=charset, multiLine=True)
+    return raw.select(field(raw.columns[0]).alias("value"))
+
+
+def _is_wide(charset: str) -> bool:
+    return charset.upper().startswith(("UTF-16", "UTF-32"))
+
+
+def sniff_delimiter(spark: SparkSession, path: str, charset: str = "UTF-8") -> str:
     """The candidate that splits the first lines most evenly; a comma if none occurs."""
-    lines = [r.value for r in spark.read.text(path).limit(SNIFFED_LINES).collect() if r.value.strip()]
-    bare = [re.sub(r'"[^"]*"', "", line) for line in lines]
+    first = _lines(spark, path, charset).limit(SNIFFED_LINES).collect()
+    bare = [re.sub(r'"[^"]*"', "", row.value) for row in first if row.value and row.value.strip()]
     best, best_score = DELIMITERS[0], (0.0, 0)
     for mark in DELIMITERS:
         counts = [line.count(mark) for line in bare]
@@ -115,11 +127,11 @@ def read_csv(
     Unless given, the delimiter is sniffed and multi-line mode is used only if some cell
     needs it, because a file read in that mode cannot be split.
     """
+    charset = CHARSETS.get(encoding.lower(), encoding)
     if sep is None:
-        sep = sniff_delimiter(spark, path)
+        sep = sniff_delimiter(spark, path, charset)
     if multi_line is None:
-        multi_line = has_multiline_cells(spark, path)
-    charset = CHARSETS.get(encoding.lower(), encoding)
+        multi_line = _is_wide(charset) or has_multiline_cells(spark, path)
     raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', encoding=charset, multiLine=multi_line)
     cells = blank_tokens(raw, tokens)
     if types is None:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridsense.operators import chunking, cleaning, profiling, text_search
 from gridsense.plans.query import Result, run
@@ -78,3 +80,16 @@ def load(
     if isinstance(source, str):
         return Dataset(name, read(spark, source))
     return Dataset(name, sheets.read_sheets(spark, source, read))
+
+
+def index_texts(dataset: Dataset) -> DataFrame:
+    """``id, text`` to be embedded: labelled pieces of prose, or else the profile of each table."""
+    chunks = dataset.chunks()
+    if chunks:
+        parts = [df.select(F.col("chunk_id").alias("id"), F.col("label").alias("text")) for df in chunks.values()]
+    else:
+        parts = [
+            df.select(F.lit(sheet or dataset.name).alias("id"), F.col("profile").alias("text"))
+            for sheet, df in dataset.profile_text().items()
+        ]
+    return reduce(DataFrame.unionByName, parts)

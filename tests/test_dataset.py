@@ -1,6 +1,6 @@
 import pytest
 
-from gridsense.sources.dataset import load
+from gridsense.sources.dataset import index_texts, load
 
 
 @pytest.fixture
@@ -28,6 +28,8 @@ def test_only_text_heavy_sheets_are_cut(workbook):
     chunks = workbook.chunks()
     assert list(chunks) == ["Staff"]
     rows = chunks["Staff"].orderBy("chunk_index").collect()
+    texts = index_texts(workbook).collect()
+    assert len(texts) == 2 and texts[0]["text"].startswith("Sheet Staff | Chunk ")
     assert [r["chunk_id"] for r in rows] == ["sheet:Staff|row:7|col:bio|chunk:0", "sheet:Staff|row:7|col:bio|chunk:1"]
 
 
@@ -39,5 +41,6 @@ def test_single_file(spark, tmp_path):
     assert table.catalog_text().first()["profile"] == "Rows: 2, Columns: 2\nColumns: name,v"
     assert table.chunks() == {} and list(table.profile_text()) == [""]
     assert set(table.table.columns) == {"name", "v", "id"}
+    assert [r["id"] for r in index_texts(table).collect()] == ["t"]
     table.register()
     assert spark.table("t").count() == 2

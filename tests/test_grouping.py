@@ -71,6 +71,13 @@ def test_single_aggregation_counts_as_the_operation(ask):
     assert rows["North",]["max_cost"] == 80
 
 
+def test_count_of_rows_beside_other_aggregates(ask):
+    rows = grouped(ask, SALES, group_by=["region"],
+                   aggregations=[{"function": "count"}, {"function": "sum", "column": "cost"}])
+    assert rows["South",] == {"region": "South", "count": 2, "sum_cost": 30}
+    assert grouped(ask, SALES, group_by=["region"], aggregations=["count"])["East",] == {"region": "East", "count": 1}
+
+
 def test_several_operations_are_all_computed(ask):
     rows = grouped(ask, SALES, operation="count|max|min", columns=["sales", "region"], group_by=["region"])
     assert rows["North",] == {"region": "North", "count": 2, "max_sales": 200.0, "min_sales": 100.0}

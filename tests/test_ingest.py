@@ -39,6 +39,10 @@ def test_encodings(written):
     assert marked.columns == ["id", "city"] and plain(marked) == [(1, "Paris")]
 
 
+def test_wide_encodings(written):
+    assert plain(written("city;n\nMünchen;1\n", "utf-16")) == [("München", 1)]
+
+
 def test_line_ends_and_blank_lines(written):
     assert plain(written("a,b\r\n1,x\r\n2,y\r\n")) == [(1, "x"), (2, "y")]
     assert plain(written("a,b,c\n1,2,3\n\n4,5,6\n\n\n\n")) == [(1, 2, 3), (4, 5, 6)]

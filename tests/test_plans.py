@@ -6,6 +6,7 @@ import pytest
 
 from gridsense import run
 from gridsense.operators import conversations, text_search, vectors
+from gridsense.sources.sheets import flatten
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -50,6 +51,13 @@ def test_day_number_filters_reach_the_scan(spark, table, tmp_path):
     assert "GreaterThanOrEqual(day,19970101)" in pushed(df) and "LessThan(day,19980101)" in pushed(df)
 
 
+def test_other_sheets_are_not_read(table):
+    book = {"A": table("customer").selectExpr("c_custkey AS id", "c_acctbal AS balance"),
+            "B": table("supplier").selectExpr("s_suppkey AS id", "s_acctbal AS balance")}
+    df = run(flatten(book), {"filters": {"sheet": "b"}, "operation": "sum", "columns": ["balance"]}).df
+    assert plan(df).count("FileScan parquet") == 1 and "supplier.parquet" in plan(df)
+
+
 def test_only_needed_columns_are_read(table):
     df = run(table("lineitem"), {"operation": "avg", "columns": ["l_tax"], "group_by": ["l_returnflag"]}).df
     assert "ReadSchema: struct<l_tax:double,l_returnflag:string>" in plan(df)

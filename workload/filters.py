@@ -26,7 +26,7 @@ NAMES = derive(name="CASE WHEN p_size = 7 THEN NULL ELSE concat(' ', upper(p_nam
 NAMES_SQL = "CASE WHEN p_size = 7 THEN NULL ELSE concat(' ', upper(p_name), ' ') END"
 DATES = derive(day="CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END")
 DATES_SQL = "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END"
-DAY_NUMBER = derive(ship_day="CAST(date_format(l_shipdate, 'yyyyMMdd') AS INT)")
+DAY_NUMBER = derive(ship_day="year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate)")
 DAY_NUMBER_SQL = "CAST(strftime(l_shipdate, '%Y%m%d') AS INTEGER)"
 
 

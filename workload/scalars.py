@@ -175,7 +175,7 @@ CASES = {
     "a_multi_op": Case(
         _multi,
         "SELECT round(avg(o_totalprice), 2) AS avg_o_totalprice, round(avg(o_custkey), 2) AS avg_o_custkey, "
-        "round(sum(o_totalprice), 2) AS sum_o_totalprice, round(sum(o_custkey), 2) AS sum_o_custkey FROM orders",
+        "round(sum(o_totalprice), 2) AS sum_o_totalprice, CAST(sum(o_custkey) AS BIGINT) AS sum_o_custkey FROM orders",
     ),
     "a_argmax": Case(
         _one("max", ["o_totalprice", "o_orderkey", "o_orderdate"], "orders"),
