@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
+from datetime import date, datetime
 
 # Literals that ask for missing data.
 MISSING_WORDS = ("null", "none", "nan", "", "empty")
@@ -153,5 +153,3 @@ def midnight(moment: datetime) -> bool:
 def day_number(moment: datetime) -> int:
     return moment.year * 10000 + moment.month * 100 + moment.day
 
-
-ONE_DAY = timedelta(days=1)

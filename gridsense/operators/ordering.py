@@ -26,6 +26,6 @@ def sort_and_limit(
     order = [c.desc_nulls_last() if descending else c.asc_nulls_last() for c, descending in keys]
     if limit is not None and not ties:
         ties = _orderable(df)
-    if order or ties:
+    if order or limit is not None:
         df = df.orderBy(*order, *(field(t).asc_nulls_last() for t in ties))
     return df if limit is None else df.limit(limit)

@@ -93,3 +93,11 @@ def index_texts(dataset: Dataset) -> DataFrame:
             for sheet, df in dataset.profile_text().items()
         ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def registry(datasets: list[Dataset]) -> DataFrame:
+    """What is loaded, as a table: one row per dataset and sheet with its size and columns."""
+    parts = [
+        d.catalog().select(F.lit(d.name).alias("dataset"), "sheet", "rows", "cols", "columns") for d in datasets
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -1,6 +1,6 @@
 import pytest
 
-from gridsense.sources.dataset import index_texts, load
+from gridsense.sources.dataset import index_texts, load, registry
 
 
 @pytest.fixture
@@ -20,6 +20,9 @@ def test_workbook(workbook, spark):
     assert [r["rows"] for r in workbook.catalog().orderBy("position").collect()] == [2, 2]
     assert "Total rows: 4" in workbook.catalog_text().first()["profile"]
     assert workbook.profile_text()["Sales"].first()["profile"].startswith("Dataset (Sheet: Sales): 2 rows, 2 cols")
+    listed = registry([workbook]).orderBy("sheet").collect()
+    assert [(r["dataset"], r["sheet"], r["columns"]) for r in listed] == [
+        ("company", "Sales", "Region,Revenue "), ("company", "Staff", "id,bio,salary")]
     workbook.register()
     assert spark.sql("SELECT max(salary) AS s FROM company_Staff").first()["s"] == 90000
 

@@ -63,6 +63,12 @@ def test_only_needed_columns_are_read(table):
     assert "ReadSchema: struct<l_tax:double,l_returnflag:string>" in plan(df)
 
 
+def test_no_sort_unless_asked_for(table):
+    rows = table("orders").withColumnRenamed("o_orderkey", "id")
+    assert shuffles(run(rows, {"filters": {"o_orderstatus": "p"}}).df) == 0
+    assert shuffles(run(rows, {"sort": ["o_totalprice"]}).df) == 1
+
+
 def test_grouping_is_one_shuffle_of_partial_results(table):
     request = {"group_by": [{"column": "o_orderdate", "time_grain": "month"}, "o_orderpriority"],
                "aggregations": [{"function": f, "column": "o_totalprice"} for f in ("sum", "avg", "max", "std")]}
