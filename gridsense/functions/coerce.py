@@ -65,7 +65,8 @@ def time_from_text(column: Column) -> Column:
 
     Year-first spellings are unambiguous. The rest is day-first, and month-first only
     where the day-first reading is impossible (12/25/2023). Numeric spellings are turned
-    year-first, because reading those needs no format pattern.
+    year-first, because reading those needs no format pattern. Words without a digit are
+    passed over first.
     """
     day_first = F.regexp_replace(column, NUMERIC_DATE, "$3-$2-$1")
     month_first = F.regexp_replace(column, NUMERIC_DATE, "$3-$1-$2")
@@ -77,7 +78,8 @@ def time_from_text(column: Column) -> Column:
         )
     )
     return (
-        F.when(column.rlike(ISO_DATE), F.translate(column, "/", "-").try_cast("timestamp_ntz"))
+        F.when(~column.rlike(r"\d"), F.lit(None).cast("timestamp_ntz"))
+        .when(column.rlike(ISO_DATE), F.translate(column, "/", "-").try_cast("timestamp_ntz"))
         .when(
             column.rlike(NUMERIC_DATE),
             F.coalesce(day_first.try_cast("timestamp_ntz"), month_first.try_cast("timestamp_ntz")),

@@ -102,18 +102,24 @@ def aggregate(
     """One row per key (or one row in all) with every measure.
 
     All measures that combine map-side share one pass. Medians, quantiles and modes need the
-    values in order; each has its own plan (``ranked``), joined by key.
+    values in order; each has its own plan (``ranked``), joined by key. Several exact distinct
+    counts without keys are taken one by one too: together they would copy every row.
     """
-    apart = [m for m in measures if m.function in RANKED_FUNCTIONS]
-    direct = [m for m in measures if m not in apart]
     grouped = bool(keys)
+    exact = [m for m in measures if m.function == "distinct_count" and not m.approximate]
+    lone = exact if len(exact) > 1 and not grouped else []
+    apart = [m for m in measures if m.function in RANKED_FUNCTIONS or m in lone]
+    direct = [m for m in measures if m not in apart]
 
     result = None
     if direct:
         expressions = [_expression(m, classes.get(m.column), grouped).alias(m.alias) for m in direct]
         result = df.groupBy(*map(field, keys)).agg(*expressions)
     for measure in apart:
-        one = _ranked(df, keys, measure, classes[measure.column])
+        if measure in lone:
+            one = df.agg(_expression(measure, classes[measure.column], grouped).alias(measure.alias))
+        else:
+            one = _ranked(df, keys, measure, classes[measure.column])
         if result is None:
             result = one
         elif grouped:

@@ -6,6 +6,7 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridsense.errors import QueryIssue
 from gridsense.functions import coerce
@@ -134,59 +135,73 @@ def extremes(df: DataFrame, metric: str, cls: ColumnClass, largest: bool) -> Dat
     return df.where(F.abs(value - peak) <= tolerance)
 
 
-def describe(
-    df: DataFrame, columns: list[str], classes: dict[str, ColumnClass], approximate: bool = False
-) -> DataFrame:
-    """One row per column: counts, distinct values and the range of numbers or dates."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+def distinct_counts(df: DataFrame, columns: dict[str, Column]) -> list[Column]:
+    """Exact distinct counts under the given names, each a scalar subquery over its column alone.
+
+    In one aggregate, several distinct counts would copy every row once per column; in a
+    columnar table, reading the columns one by one reads no more than reading them together.
+    """
+    return [df.agg(F.count_distinct(column)).scalar().alias(name) for name, column in columns.items()]
+
+
+def describe(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
+    """One row per column: counts, distinct values and the range of numbers, or else of dates.
+
+    Text is read as both; what it turns out to hold decides in the result, so no earlier look
+    is needed. Everything but the exact distinct counts is one pass (see ``distinct_counts``).
+    """
     columns = columns or df.columns[:DESCRIBED_COLUMNS]
-    measured, cells = [F.count(F.lit(1)).alias("rows")], []
+    types = {f.name: f.dataType for f in df.schema.fields}
+    measured, present, cells = [F.count(F.lit(1)).alias("rows")], {}, []
     for at, name in enumerate(columns):
-        column, cls = field(name), classes[name]
-        present = F.when(~F.isnan(column), column) if coerce.is_float(cls.dtype) else column
-        measured.append(distinct(present).alias(f"u{at}"))
-        number = day = None
-        if cls.numbers:
-            number = cls.number(column)
-            measured += [
-                F.min(number).alias(f"lo{at}"), F.max(number).alias(f"hi{at}"), F.avg(number).alias(f"av{at}")
-            ]
-        elif cls.times:
-            day = cls.time(column).cast("date")
-            measured += [F.min(day).alias(f"from{at}"), F.max(day).alias(f"to{at}")]
-
-        def got(prefix: str, kind: str, there: object, at: int = at) -> Column:
-            return (F.lit(None) if there is None else F.col(f"{prefix}{at}")).cast(kind)
-
-        def shown(prefix: str, at: int = at, cls: ColumnClass = cls) -> Column:
-            whole = coerce.is_number(cls.dtype) and not coerce.is_float(cls.dtype)
-            if whole and prefix != "av":
-                return F.col(f"{prefix}{at}").cast("string")
-            return coerce.plain_number(F.round(F.col(f"{prefix}{at}").cast("double"), 2))
-
-        parts = [F.concat(F.lit("Count: "), F.col("rows")), F.concat(F.lit("Unique: "), F.col(f"u{at}"))]
-        if number is not None:
-            parts += [
-                F.concat(F.lit("Min: "), shown("lo")),
-                F.concat(F.lit("Max: "), shown("hi")),
-                F.concat(F.lit("Avg: "), shown("av")),
-            ]
-        elif day is not None:
-            parts += [
-                F.concat(F.lit("Min Date: "), F.col(f"from{at}").cast("string")),
-                F.concat(F.lit("Max Date: "), F.col(f"to{at}").cast("string")),
-            ]
-        cells.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.col("rows").alias("rows"),
-                F.col(f"u{at}").alias("unique"),
-                F.round(got("lo", "double", number), 2).alias("min"),
-                F.round(got("hi", "double", number), 2).alias("max"),
-                F.round(got("av", "double", number), 2).alias("avg"),
-                got("from", "date", day).alias("min_date"),
-                got("to", "date", day).alias("max_date"),
-                F.concat_ws(" | ", *parts).alias("stats"),
-            )
-        )
-    return df.agg(*measured).select(F.inline(F.array(*cells)))
+        column, dtype = field(name), types[name]
+        present[f"u{at}"] = F.when(~F.isnan(column), column) if coerce.is_float(dtype) else column
+        number = coerce.as_number(column, dtype)
+        time = column if coerce.is_time(dtype) else coerce.time_from_text(column) if coerce.is_text(dtype) else None
+        day = (F.lit(None) if time is None else time).cast("date")
+        measured += [
+            F.min(number).alias(f"lo{at}"),
+            F.max(number).alias(f"hi{at}"),
+            F.avg(number).alias(f"av{at}"),
+            F.min(day).alias(f"from{at}"),
+            F.max(day).alias(f"to{at}"),
+        ]
+        cells.append(_described(name, dtype, at))
+    if approximate:
+        measured += [F.approx_count_distinct(column).alias(name) for name, column in present.items()]
+        measures = df.agg(*measured)
+    else:
+        measures = df.agg(*measured).select("*", *distinct_counts(df, present))
+    return measures.select(F.inline(F.array(*cells)))
+
+
+def _described(name: str, dtype: T.DataType, at: int) -> Column:
+    low, high, average, first, last = (F.col(f"{kind}{at}") for kind in ("lo", "hi", "av", "from", "to"))
+    whole = coerce.is_number(dtype) and not coerce.is_float(dtype)
+
+    def shown(value: Column, as_whole: bool) -> Column:
+        return value.cast("string") if as_whole else coerce.plain_number(F.round(value.cast("double"), 2))
+
+    def day(value: Column) -> Column:
+        return F.when(low.isNull(), value)
+
+    parts = [
+        F.concat(F.lit("Count: "), F.col("rows")),
+        F.concat(F.lit("Unique: "), F.col(f"u{at}")),
+        F.concat(F.lit("Min: "), shown(low, whole)),
+        F.concat(F.lit("Max: "), shown(high, whole)),
+        F.concat(F.lit("Avg: "), shown(average, False)),
+        F.concat(F.lit("Min Date: "), day(first).cast("string")),
+        F.concat(F.lit("Max Date: "), day(last).cast("string")),
+    ]
+    return F.struct(
+        F.lit(name).alias("column"),
+        F.col("rows").alias("rows"),
+        F.col(f"u{at}").alias("unique"),
+        F.round(low.cast("double"), 2).alias("min"),
+        F.round(high.cast("double"), 2).alias("max"),
+        F.round(average.cast("double"), 2).alias("avg"),
+        day(first).alias("min_date"),
+        day(last).alias("max_date"),
+        F.concat_ws(" | ", *parts).alias("stats"),
+    )

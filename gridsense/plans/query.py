@@ -179,9 +179,6 @@ class _Plan:
         if {*aggregates.NUMERIC_FUNCTIONS, "correlation", "histogram"} & set(self.intent.operations):
             for name in targets:
                 ask(name, NUMBERS, text_only=True)
-        if "profile" in self.intent.operations:
-            for name in self.columns or self.df.columns[: statistics.DESCRIBED_COLUMNS]:
-                ask(name, NUMBERS, TIMES, text_only=True)
         return asked
 
     def _learn(self) -> None:
@@ -398,7 +395,7 @@ class _Plan:
 
     def _whole_column(self, rows: DataFrame, op: str, columns: list[str]) -> DataFrame | None:
         if op == "profile":
-            return statistics.describe(rows, columns, self.classes, self.intent.approximate)
+            return statistics.describe(rows, columns, self.intent.approximate)
         if not columns:
             self.issues.append(f"{op}: no target column was resolved from the request")
             return None

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsense import run
-from gridsense.operators.statistics import describe
-from gridsense.plans.classes import typed
 from workload.base import Case, ask, derive, table, where
 
 GAPS = derive(tax="CASE WHEN l_linenumber = 7 THEN NULL ELSE l_tax END")
@@ -19,10 +17,8 @@ def _one(operation: str, columns: list[str], name: str = "lineitem", prepare=Non
 
 
 def _profile(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders")
     names = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
-    classes = {f.name: typed(f.dataType) for f in orders.schema.fields}
-    return describe(orders, names, classes)
+    return run(table(spark, folder, "orders"), {"operation": "describe", "columns": names}).df
 
 
 def _multi(spark: SparkSession, folder: str) -> DataFrame:
