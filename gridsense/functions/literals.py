@@ -98,7 +98,10 @@ def moment_of(value: object, day_first: bool = False) -> datetime | None:
 
 
 def comparison_span(operator: str, value: object, day_first: bool = False) -> Span | None:
-    """The times that satisfy ``> < >= <=`` against a year or a moment."""
+    """The times that satisfy ``> < >= <=`` against a year or a moment.
+
+    A quarter or month stands for the moment it starts.
+    """
     year = year_of(value)
     if year is not None:
         first, after = datetime(year, 1, 1), datetime(min(year + 1, 9999), 1, 1)
@@ -108,7 +111,8 @@ def comparison_span(operator: str, value: object, day_first: bool = False) -> Sp
             "<": Span(end=first),
             "<=": Span(end=after),
         }[operator]
-    moment = moment_of(value, day_first)
+    period = period_of(value)
+    moment = period.start if period else moment_of(value, day_first)
     if moment is None:
         return None
     return {

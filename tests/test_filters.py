@@ -65,7 +65,8 @@ def test_contains_is_literal_unless_a_regex_is_asked_for(ask):
      ("=", "2023-01-01", ISO[1][1:2]), (">=", "2023", ISO[1][1:4]), (">", 2023, ISO[1][3:4]), ("<", "2023", ISO[1][:1]),
      ("<=", "2023", ISO[1][:3]), (">", "2023-04-15", ISO[1][2:4]), ("<", "2023-01-02", ISO[1][:2]),
      ("between", ["2023-01-05", "2024-12-31"], ISO[1][2:4]), ("contains", "2024", ISO[1][3:4]), ("like", "2023%", ISO[1][1:3]),
-     ("contains", "2023-04", ISO[1][2:3])],
+     ("contains", "2023-04", ISO[1][2:3]), (">=", "2023Q2", ISO[1][2:4]), ("<", "2023-04", ISO[1][:2]),
+     ("<=", "2023Q1", ISO[1][:2])],
 )
 def test_text_dates(ask, operator, value, kept):
     assert keep(ask, *ISO, "d", operator, value) == kept
