@@ -27,6 +27,8 @@ from gridsense.llm.tokens import encoded
 
 CAPACITY = 4096
 BUCKETS = 256
+#: New sequences in one round: the documents over half a sequence, or else what their tokens need over this.
+SHARE = 4
 PIECES = "row long, key long, piece int, start long, length int, ids_crc32 long"
 PLACED = "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -85,9 +87,11 @@ def plan_rounds(counts: dict[int, int], capacity: int) -> np.ndarray:
                 if not runs:
                     del gaps[sizes[at]]
                     del sizes[at]
-        rest = sorted((length for length, n in left.items() if n), reverse=True)
+        largest = max([0, *sizes, *(gap for gap, _, _ in changed)])
+        rest = sorted((length for length, n in left.items() if n and length > largest), reverse=True)
+        halves = sum(left[length] for length in rest if 2 * length > capacity)
         tokens = sum(length * left[length] for length in rest)
-        fresh = max(-(-tokens // capacity), sum(left[length] for length in rest if 2 * length > capacity))
+        fresh = halves or -(-tokens // (SHARE * capacity))
         for length in rest:
             taken = min(fresh, left[length])
             if not taken:
