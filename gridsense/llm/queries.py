@@ -5,20 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsense.llm import packing, token_files
+from gridsense.llm import packing, shards, token_files, urls
 from gridsense.llm.base import TOKENIZERS, table
 
 BYTE_VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 WORD_VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
 
 
+#: Fixed values of the query.
+URL_RULES = (
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+)
+
+
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.filtered(table(spark, folder, "pages"), URL_RULES).withColumnRenamed("key", "page_id")
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_digests(table(spark, folder, "documents"), BYTE_VOCABULARY).withColumnRenamed("key", "doc_id")
 
 
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    rows = shards.sharded(table(spark, folder, "documents"), shards.SHARDS)
+    return rows.drop("number").withColumnRenamed("key", "doc_id")
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORD_VOCABULARY).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op4_url_filter, op6_token_files, op7_sharding, op10_packing)}
 SQL: dict[str, str] = {}
