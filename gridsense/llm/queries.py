@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsense.llm import packing, shards, token_files, urls
+from gridsense.llm import packing, secrets, shards, token_files, urls
 from gridsense.llm.base import TOKENIZERS, table
 
 BYTE_VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filtered(table(spark, folder, "pages"), URL_RULES).withColumnRenamed("key", "page_id")
 
 
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, folder, "documents"))).withColumnRenamed("key", "doc_id")
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_digests(table(spark, folder, "documents"), BYTE_VOCABULARY).withColumnRenamed("key", "doc_id")
 
@@ -39,5 +43,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORD_VOCABULARY).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op6_token_files, op7_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op4_url_filter, op5_secret_scan, op6_token_files, op7_sharding, op10_packing)}
 SQL: dict[str, str] = {}
