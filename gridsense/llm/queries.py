@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsense.llm import minhash, packing, secrets, shards, token_files, urls
+from gridsense.llm import licenses, minhash, packing, secrets, shards, token_files, urls
 from gridsense.llm.base import TOKENIZERS, table
 
 BYTE_VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 WORD_VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.matches(table(spark, folder, "documents"), licenses.PHRASES + licenses.TEMPLATES)
+    return licenses.report(found).withColumnRenamed("key", "doc_id")
+
+
 #: Fixed values of the query.
 URL_RULES = (
     ("com/", "allow"),
@@ -47,5 +52,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORD_VOCABULARY).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op5_secret_scan, op6_token_files, op7_sharding, op9_near_duplicates, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op4_url_filter, op5_secret_scan, op6_token_files, op7_sharding, op9_near_duplicates, op10_packing)}
 SQL: dict[str, str] = {}
