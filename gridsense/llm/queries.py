@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsense.llm import licenses, minhash, packing, secrets, shards, token_files, urls
+from gridsense.llm import licenses, minhash, packing, quality, secrets, shards, token_files, urls
 from gridsense.llm.base import TOKENIZERS, table
 
 BYTE_VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
@@ -44,6 +44,11 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return rows.drop("number").withColumnRenamed("key", "doc_id")
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.drop("row").withColumnRenamed("key", "doc_id")
+
+
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
 
@@ -52,5 +57,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORD_VOCABULARY).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op4_url_filter, op5_secret_scan, op6_token_files, op7_sharding, op9_near_duplicates, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op4_url_filter, op5_secret_scan, op6_token_files, op7_sharding, op8_quality_rules, op9_near_duplicates, op10_packing)}
 SQL: dict[str, str] = {}
