@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsense.llm import licenses, minhash, packing, quality, secrets, shards, token_files, urls
+from gridsense.llm import lattice, licenses, minhash, mixing, packing, quality, secrets, shards, token_files, urls
 from gridsense.llm.base import TOKENIZERS, table
 
 BYTE_VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
@@ -17,6 +17,25 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.report(found).withColumnRenamed("key", "doc_id")
 
 
+def op2_embedding_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, folder, "embeddings")).withColumnRenamed("key", "vec_id")
+
+
+#: Target shares of tokens.
+MIXTURE = {
+    "source": {"src0": 0.30, **{f"src{i}": 0.70 / 19 for i in range(1, 20)}},
+    "lang": {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13},
+    "topic": {"prose": 0.94, "table": 0.02, "markup": 0.02, "shouting": 0.02},
+}
+MIXTURE_KEPT = 0.85
+
+
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = mixing.with_topic(table(spark, folder, "documents"))
+    found = mixing.mixed(docs, MIXTURE, MIXTURE_KEPT)
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+
+
 #: Fixed values of the query.
 URL_RULES = (
     ("com/", "allow"),
@@ -57,5 +76,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORD_VOCABULARY).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op4_url_filter, op5_secret_scan, op6_token_files, op7_sharding, op8_quality_rules, op9_near_duplicates, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_embedding_near_duplicates, op3_mixing, op4_url_filter, op5_secret_scan, op6_token_files, op7_sharding, op8_quality_rules, op9_near_duplicates, op10_packing)}
 SQL: dict[str, str] = {}
