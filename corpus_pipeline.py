@@ -1,12 +1,37 @@
-"""From raw documents to packed training sequences; every stage works on all rows the one before kept."""
+"""From raw documents to packed training sequences; every stage works on all rows that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridsense.llm import packing
+from gridsense.llm import minhash, mixing, packing, quality, secrets
 from gridsense.llm.base import settle, table
-from gridsense.llm.queries import WORD_VOCABULARY
+from gridsense.llm.queries import MIXTURE, MIXTURE_KEPT, WORD_VOCABULARY
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that the rules or the trees reject go."""
+    return quality.passing(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: one document of each group of near-duplicates stays, that with the smallest doc_id.
+
+    Documents count as near-duplicates from 0.8 on over shingles of five words.
+    """
+    return minhash.one_of_each(docs, width=5, percent=80)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: every secret found is replaced in its text, and n_chars follows; documents all stay."""
+    found = secrets.without_secrets(docs)
+    return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents are drawn by the probabilities fitted to the target shares."""
+    return mixing.mixed(mixing.with_topic(docs), MIXTURE, MIXTURE_KEPT).where("kept").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,9 +39,15 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, WORD_VOCABULARY).withColumnRenamed("key", "doc_id")
 
 
-STAGES = [("best_fit_packing", packed)]
+STAGES = [
+    ("quality_rules", good),
+    ("minhash_near_dedup", distinct),
+    ("secret_scans", without_secrets),
+    ("mixing", mixed),
+    ("best_fit_packing", packed),
+]
 
-#: The quality model, MinHash candidates and the tokenizer have no SQL; tests hold each stage against brute force.
+#: The fitted trees, the candidates of MinHash and the tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

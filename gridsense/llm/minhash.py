@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridsense.functions.names import field
 from gridsense.llm.base import columns, settle, slices, text_of
 from gridsense.llm.stars import crowded, linked_components
 from gridsense.llm.words import mixed, shingle_sets
@@ -99,6 +100,8 @@ def full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_shingles, component_id (smallest key linked with it, itself included), kept.
 
+    Two columns follow: root (the component's own name, null for empty sets) and check (the text's hash).
+
     Sets of shingles stand as sets of 64-bit hashes. Documents with equal sets are one node from the start,
     whatever their number. Null and wordless texts have an empty set and link with nothing; a null key is no
     smallest key (its component takes the smallest of the others, or null), and is kept only if it is alone. Of rows that share a key
@@ -130,9 +133,25 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str
     roots = linked_components(buckets.select("bucket", "node"), verify)
     grouped = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = grouped.join(smallest, "root").select("node", "component_id")
-    found = marks.select("key", "n", "node").join(members, "node", "left")
+    members = grouped.join(smallest, "root").select("node", "root", "component_id")
+    found = marks.select("key", "check", "n", "node").join(members, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
     return found.select(
-        "key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept")
-    )
+        "key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"),
+        "root", "check",
+    )
+
+
+def one_of_each(docs: DataFrame, width: int = 3, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stay if one document of each component does: that with the smallest key, null being no smallest.
+
+    Rows with an empty set all stay, but for repetitions of key and text. Rows keep all their columns.
+    """
+    found = near_duplicates(docs, width, percent, key, text)
+    name = F.coalesce(F.col("key"), F.lit(0))
+    best = F.min(F.struct(F.col("key").isNull().alias("k0"), name.alias("k1"), F.col("check").alias("k2")))
+    stays = found.where("root is not null").groupBy("root").agg(best.alias("best")).select("best.*")
+    stays = stays.union(found.where("root is null").select(F.col("key").isNull(), name, "check")).distinct()
+    own = field(key).cast("long")
+    marked = docs.withColumns({"k0": own.isNull(), "k1": F.coalesce(own, F.lit(0)), "k2": F.xxhash64(F.coalesce(field(text).cast("string"), F.lit("")))})
+    return marked.join(stays, ["k0", "k1", "k2"], "left_semi").dropDuplicates(["k0", "k1", "k2"]).select(*docs.columns)

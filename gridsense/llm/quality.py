@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsense.functions.names import field
-from gridsense.llm.base import columns, settle, slices, text_of
+from gridsense.llm.base import columns, slices, text_of
 from gridsense.llm.boosting import Trees, fit
 
 SAMPLE = 20_000
@@ -29,7 +29,7 @@ FEATURES = {
     "log_words": 0, "word_length": 0, "symbol_share": -1, "dup_line_share": -1, "repeat_share": -1,
     "capital_share": -1, "digit_share": 0, "distinct_share": 1, "line_words": 0, "stop_share": 0,
 }
-MEASURED = ", ".join(["row long", "key long", *(f"{name} long" for name in BASE), "features array<double>"])
+JUDGED = ", ".join(["key long", *(f"{name} long" for name in BASE), "base_failed boolean", "score double", "kept boolean"])
 
 
 def statistics(text: str) -> tuple[list[int], list[float]]:
@@ -67,67 +67,80 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
     return [n, word_chars, symbols, dup_lines, repeated], features
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(row, key, the fixed counts, features)`` of every document, settled."""
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text",
+            target: str = "quality") -> Trees | None:
+    """Trees fitted on labelled documents; None if the labels don't show both kinds.
+
+    ``sample`` bounds the labels used (in expectation, by hash of their key), and so what is broadcast to
+    find their documents and what is fetched of them. A key that is repeated on either side counts once.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [statistics(text) for text in batch.column("text").to_pylist()]
-            counts = [pa.array([c[i] for c, _ in found], pa.int64()) for i in range(len(BASE))]
-            features = pa.array([f for _, f in found], pa.list_(pa.float64()))
+            found = [statistics(text)[1] for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("key"), *counts, features], ["row", "key", *BASE, "features"]
+                [batch.column("key"), batch.column("target"), pa.array(found, pa.list_(pa.float64()))], ["key", "target", "features"]
             )
 
-    named = docs.select(*columns(docs, key=key, text=text))
-    rows = named.select(F.monotonically_increasing_id().alias("row"), F.col("key").cast("long"), text_of().alias("text"))
-    return settle(rows.mapInArrow(measure, MEASURED), "statistics")
-
-
-def trained(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", target: str = "quality") -> Trees | None:
-    """Trees fitted on labelled documents; None if the labels don't show both kinds.
-
-    ``sample`` bounds the rows fetched (in expectation): labels are chosen by hash of their key.
-    """
-    given = labels.select(field(key).alias("key"), field(target).cast("double").alias("target")).where("key is not null and target is not null")
-    total = given.count()
-    share = int(1_000_000 * min(1.0, sample / max(1, total)))
+    given = labels.select(field(key).cast("long").alias("key"), field(target).cast("double").alias("target"))
+    given = given.where("key is not null and target is not null")
+    share = int(1_000_000 * min(1.0, sample / max(1, given.count())))
     chosen = given.where(F.pmod(F.xxhash64(F.lit(8), "key"), F.lit(1_000_000)) < share)
-    # One row per key on either side: a key that is repeated counts once.
     chosen = chosen.groupBy("key").agg(F.avg("target").alias("target"))
-    once = stats.join(chosen.select("key"), "key", "left_semi").groupBy("key").agg(F.first("features").alias("features"))
-    rows = once.join(chosen, "key").orderBy("key").select("features", "target").toPandas()
+    named = docs.select(field(key).cast("long").alias("key"), field(text).alias("text")).select("key", text_of().alias("text"))
+    features = named.join(F.broadcast(chosen), "key").mapInArrow(measure, "key long, target double, features array<double>")
+    once = features.groupBy("key").agg(F.min("target").alias("target"), F.min("features").alias("features"))
+    rows = once.orderBy("key").toPandas()
     goal = (rows["target"].to_numpy(float) >= 0.5).astype(float)
     if not len(goal) or goal.min() == goal.max():
         return None
     return fit(np.array(rows["features"].tolist(), float), goal, list(FEATURES.values()))
 
 
+def verdicts(texts: list[str | None], trees: Trees | None, keep: float) -> tuple[list[list[int]], np.ndarray, np.ndarray | None, np.ndarray]:
+    """Fixed counts, base_failed, score and kept of a batch of texts."""
+    found = [statistics(text or "") for text in texts]
+    counts = np.array([c for c, _ in found], np.int64).reshape(-1, len(BASE))
+    words, repeated = counts[:, 0], counts[:, 4]
+    failed = (words < 50) | (100 * repeated > 50 * words)
+    if trees is None:
+        return counts, failed, None, ~failed
+    score = 1 / (1 + np.exp(-trees.score(np.array([f for _, f in found], float).reshape(-1, len(FEATURES)))))
+    return counts, failed, score, ~failed & (score >= keep)
+
+
 def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP, key: str = "doc_id",
            text: str = "text") -> DataFrame:
-    """One row per document: row, key, the fixed counts, base_failed, score and kept.
+    """One row per document: key, the fixed counts, base_failed, score and kept; one pass once the trees are fitted.
 
     Rejected by the fixed rules: fewer than 50 words, or more than half of the words in repeated windows.
-    Null texts have no words. Null keys have no labels. Repeated rows are judged each. Without labels of both kinds the fixed
-    rules decide alone and the score is null. No rows give no rows. Other columns are not looked at.
+    Null texts have no words. Null keys have no labels. Repeated rows are judged each. Without labels of
+    both kinds the fixed rules decide alone and the score is null. No rows give no rows. Other columns are
+    not looked at.
     """
-    stats = measured(docs, key, text)
-    trees = trained(stats, labels, sample)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    ruled = stats.withColumn("base_failed", failed)
-    if trees is None:
-        return ruled.drop("features").withColumns({"score": F.lit(None).cast("double"), "kept": ~F.col("base_failed")})
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, len(FEATURES))
-            chance = 1 / (1 + np.exp(-shared.value.score(flat)))
-            names = [name for name in batch.schema.names if name != "features"]
-            kept = ~batch.column("base_failed").to_numpy(zero_copy_only=False) & (chance >= keep)
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, sample, key, text))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            counts, failed, score, kept = verdicts(batch.column("text").to_pylist(), shared.value, keep)
+            scores = pa.nulls(batch.num_rows, pa.float64()) if score is None else pa.array(score)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(name) for name in names), pa.array(chance), pa.array(kept)], [*names, "score", "kept"]
+                [batch.column("key"), *map(pa.array, counts.T), pa.array(failed), scores, pa.array(kept)],
+                ["key", *BASE, "base_failed", "score", "kept"],
             )
 
-    scored = ", ".join(["row long", "key long", *(f"{name} long" for name in BASE), "base_failed boolean, score double, kept boolean"])
-    return ruled.mapInArrow(score, scored)
+    named = docs.select(*columns(docs, key=key, text=text))
+    return named.select(F.col("key").cast("long"), text_of().alias("text")).mapInArrow(judge, JUDGED)
+
+
+def passing(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP, key: str = "doc_id",
+            text: str = "text") -> DataFrame:
+    """The rows whose text ``judged`` keeps, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, sample, key, text))
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            kept = verdicts(batch.column(text).to_pylist(), shared.value, keep)[3]
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(select, docs.schema)

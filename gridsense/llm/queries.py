@@ -65,11 +65,11 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
-    return found.drop("row").withColumnRenamed("key", "doc_id")
+    return found.withColumnRenamed("key", "doc_id")
 
 
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
+    return minhash.near_duplicates(table(spark, folder, "documents")).drop("root", "check").withColumnRenamed("key", "doc_id")
 
 
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridsense.functions.names import field
 from gridsense.llm.base import columns, settle, text_of
 
 #: The base kinds in their order, their patterns, the shortest match that counts and the group measured.
@@ -172,13 +173,14 @@ def discoveries(tested: DataFrame, steps: int = STEPS, rate: float = RATE) -> Da
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: row, key, text, base (spans of the fixed kinds) and found (those of the tests).
+    """One row per document: key, check (the text's hash), base (spans of the fixed kinds), found (those of the tests).
 
     Null texts are empty. Null keys, shared keys and equal rows are documents of their own. No rows give no
     rows. Spans of the tests that overlap a base span are left out. Other columns are not looked at.
     """
     named = docs.select(*columns(docs, key=key, text=text))
     rows = named.select(F.monotonically_increasing_id().alias("row"), F.col("key"), text_of().alias("text"))
+    rows = rows.withColumn("check", F.xxhash64("text"))
     base = F.concat(*(spans_of(F.col("text"), *kind) for kind in BASE))
     first = rows.select("*", base.alias("base"), spans_of(F.col("text"), RANDOM, CANDIDATE, 16, 0).alias("candidates"))
     first = settle(first.drop("text"), "secret-spans")
@@ -189,7 +191,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     found = discoveries(settle(tested, "token-tests")).where(fits)
     found = found.groupBy("row").agg(F.collect_list("span").alias("found"))
     return first.join(found, "row", "left").select(
-        "row", "key", "base", F.coalesce("found", F.array().cast(f"array<{SPAN}>")).alias("found")
+        "key", "check", "base", F.coalesce("found", F.array().cast(f"array<{SPAN}>")).alias("found")
     )
 
 
@@ -218,3 +220,14 @@ def redacted(text: Column, spans: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("said"))
     finish = lambda s: F.concat(s["said"], F.substr(text, s["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(ordered, start, step, finish)).otherwise(text)
+
+
+def without_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All rows with all their columns; in the text every span that ``scan`` finds is replaced."""
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    spans = scan(docs, key, text).where(F.size("base") + F.size("found") > 0)
+    spans = spans.select(name(F.col("key")).alias("k1"), F.col("check").alias("k2"), F.concat("base", "found").alias("k3"))
+    spans = spans.dropDuplicates(["k1", "k2"])
+    marked = docs.withColumns({"k1": name(field(key)), "k2": F.xxhash64(name(field(text)))}).join(spans, ["k1", "k2"], "left")
+    clean = F.when(F.col("k3").isNull(), field(text)).otherwise(redacted(field(text), F.col("k3")))
+    return marked.withColumn(text, clean).select(*docs.columns)
