@@ -125,20 +125,22 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = BLOCK,
         F.min("key").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("cells").alias("cells")
     )
     nodes = settle(nodes, "nodes")
-    buckets = settle(crowded(nodes.select(F.explode(F.array_distinct("cells")).alias("bucket"), "node")), "buckets")
+    size = F.size("vector").alias("size")
+    buckets = nodes.select(F.explode(F.array_distinct("cells")).alias("bucket"), "node", size)
+    buckets = settle(crowded(buckets), "buckets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
-                found = [len(u) == len(v) and bool(linked(np.array([u]), np.array([v]), least)[0, 0]) for u, v in zip(x, y, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.bool_())], ["a", "b", "linked"])
+                found = [bool(linked(np.array([u]), np.array([v]), least)[0, 0]) for u, v in zip(x, y, strict=True)]
+                yield batch.filter(pa.array(found, pa.bool_())).select(["a", "b"])
 
         first = nodes.select(F.col("node").alias("a"), F.col("vector").alias("x"))
         second = nodes.select(F.col("node").alias("b"), F.col("vector").alias("y"))
-        return pairs.join(first, "a").join(second, "b").mapInArrow(check, "a binary, b binary, linked boolean")
+        return pairs.select("a", "b").join(first, "a").join(second, "b").mapInArrow(check, "a binary, b binary")
 
-    roots = settle(linked_components(buckets.select("bucket", "node"), verify), "roots")
+    roots = settle(linked_components(buckets, verify, F.col("n_a") == F.col("n_b")), "roots")
     counts = link_counts(nodes.join(roots, "node"), least, block)
     grouped = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -20,7 +20,7 @@ from gridsense.llm.base import columns, settle, slices, text_of
 from gridsense.llm.stars import crowded, linked_components
 from gridsense.llm.words import mixed, shingle_sets
 
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 48, 8
 BINS = BANDS * ROWS
 SIGNED = "key long, check long, n long, node binary, bands array<long>"
 
@@ -115,22 +115,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str
         F.min("key").alias("least"), F.min(F.struct("key", "check")).alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
     nodes = settle(nodes, "nodes")
-    buckets = settle(crowded(nodes.select(F.explode("bands").alias("bucket"), "node")), "buckets")
+    buckets = nodes.select(F.explode("bands").alias("bucket"), "node", F.col("n").alias("size"))
+    buckets = settle(crowded(buckets), "buckets")
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "of")
     sets = full_sets(rows, wanted, width)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        first = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-        second = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-        near = pairs.join(first, "a").join(second, "b")
-        near = near.withColumn("able", 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        full = near.where("able").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
         full = full.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        linked = full.select("a", "b", (100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).alias("linked"))
-        return linked.union(near.where("not able").select("a", "b", F.lit(False)))
+        return full.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
-    roots = linked_components(buckets.select("bucket", "node"), verify)
+    able = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    roots = linked_components(buckets, verify, able)
     grouped = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     members = grouped.join(smallest, "root").select("node", "root", "component_id")

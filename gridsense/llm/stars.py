@@ -3,15 +3,15 @@
 In each bucket one row is the centre and all others are compared with it: as many pairs as rows. What did
 not link to the centre goes on with further centres, twice as many each time, until no bucket holds two
 rows that are not linked to a centre. Centres are the rows that share buckets with most others, so the text
-that the copies were made from comes before its copies. A second pass looks at the buckets that still span several
-components, with centres in another order, for rows that two centres' groups have in common.
+that copies were made from comes before its copies. A second sweep looks at the buckets that needed more
+than one centre, in another order, for rows that the groups of two centres have in common.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsense.llm.base import settle
@@ -21,55 +21,54 @@ Verify = Callable[[DataFrame], DataFrame]
 
 
 def crowded(buckets: DataFrame) -> DataFrame:
-    """The rows ``(bucket, node)`` whose bucket holds another node, with the bucket's size."""
+    """The rows whose bucket holds another row, with the bucket's size."""
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
     return buckets.join(sizes, "bucket")
 
 
-def _sweep(members: DataFrame, verify: Verify) -> DataFrame:
-    """Verified links ``(a, b)`` of ``(bucket, node, rank)``; the lowest ranks become centres."""
-    found: list[DataFrame] = []
-    tried: DataFrame | None = None
+def _sweep(members: DataFrame, verify: Verify, able: Column) -> tuple[DataFrame, DataFrame | None]:
+    """Links ``(a, b)`` of ``(bucket, node, size, rank)``, lowest ranks first; and what the first centres left."""
+    found: DataFrame | None = None
+    left: DataFrame | None = None
     width = 1
     while True:
-        part = F.pmod(F.xxhash64("node"), F.lit(width))
-        least = members.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("rank", "node")).alias("least"))
-        centres = least.select("bucket", F.col("least.node").alias("centre"))
-        stars = settle(members.join(centres, "bucket"), "stars")
-        pairs = stars.where("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = settle(verify(pairs), "verified")
-        tried = checked.select("a", "b") if tried is None else tried.union(checked.select("a", "b"))
-        found.append(checked.where("linked").select("a", "b"))
-        links = found[0]
-        for more in found[1:]:
-            links = links.union(more)
-        both = links.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.lit(True).alias("linked"))
-        both = both.union(links.select(F.col("b").alias("node"), F.col("a").alias("centre"), F.lit(True).alias("linked")))
-        verdict = stars.join(both, ["node", "centre"], "left")
+        part = F.pmod(F.xxhash64("node"), F.lit(width)).alias("part")
+        least = members.groupBy("bucket", part).agg(F.min(F.struct("rank", "node", "size")).alias("least"))
+        stars = members.join(least.select("bucket", "least"), "bucket")
+        stars = stars.select("bucket", "node", "size", "rank", F.col("least.node").alias("centre"), F.col("least.size").alias("wide"))
+        stars = settle(stars, "stars")
+        one, two = F.struct("node", "size"), F.struct(F.col("centre").alias("node"), F.col("wide").alias("size"))
+        pairs = stars.where("node != centre").select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two"))
+        pairs = pairs.select(
+            F.col("one.node").alias("a"), F.col("two.node").alias("b"), F.col("one.size").alias("n_a"), F.col("two.size").alias("n_b")
+        )
+        links = settle(verify(pairs.where(able).distinct()), "links")
+        found = links if found is None else found.union(links)
+        both = found.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.lit(True).alias("linked"))
+        both = both.union(found.select(F.col("b").alias("node"), F.col("a").alias("centre"), F.lit(True).alias("linked")))
+        verdict = stars.join(both.distinct(), ["node", "centre"], "left")
         done = F.max(F.coalesce("linked", F.col("node") == F.col("centre")))
-        rest = verdict.groupBy("bucket", "node", "rank").agg(done.alias("done")).where("not done").drop("done")
-        members = settle(crowded(rest).drop("held"), "open-buckets")
+        rest = verdict.groupBy("bucket", "node", "size", "rank").agg(done.alias("done")).where("not done").drop("done")
+        members = settle(crowded(rest).drop("held") if left is not None else rest, "open-buckets")
+        if left is None:
+            left = members
+            members = crowded(members).drop("held")
         if members.isEmpty():
-            return links
+            return found, left
         width *= 2
 
 
-def linked_components(buckets: DataFrame, verify: Verify) -> DataFrame:
-    """``(node, root)`` of the links among rows ``(bucket, node)``; nodes without links do not appear.
+def linked_components(buckets: DataFrame, verify: Verify, able: Column | None = None) -> DataFrame:
+    """``(node, root)`` of the links among ``crowded`` rows ``(bucket, node, size, held)``; others do not appear.
 
-    ``verify`` gets pairs ``(a, b)`` and returns them with a boolean ``linked``.
+    ``verify`` gets pairs ``(a, b, n_a, n_b)`` that fulfil ``able`` and returns those ``(a, b)`` that link.
     """
-    shared = settle(crowded(buckets.distinct()), "crowded")
-    weight = shared.groupBy("node").agg((-F.sum("held")).alias("rank"))
-    links = settle(_sweep(shared.drop("held").join(weight, "node"), verify), "links")
-    roots = components(links)
-    own = shared.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spans = own.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
-    again = settle(shared.select("bucket", "node").join(spans.select("bucket"), "bucket", "left_semi"), "spanning")
-    if again.isEmpty():
-        return roots
-    other = again.withColumn("rank", F.xxhash64(F.lit(1), "node"))
-    return components(links.union(_sweep(other, verify)))
+    able = F.lit(True) if able is None else able
+    weight = buckets.groupBy("node").agg((-F.sum("held")).alias("rank"))
+    ranked = settle(buckets.drop("held").join(weight, "node"), "ranked")
+    links, left = _sweep(ranked, verify, able)
+    again = buckets.join(left.select("bucket").distinct(), "bucket", "left_semi").where("held > 2")
+    again = settle(again.select("bucket", "node", "size", F.xxhash64(F.lit(1), "node").alias("rank")), "again")
+    if not again.isEmpty():
+        links = links.union(_sweep(again, verify, able)[0])
+    return components(links)
