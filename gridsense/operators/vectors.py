@@ -31,10 +31,13 @@ def squared_distance(vector: Column, query: list[float]) -> Column:
 def nearest(df: DataFrame, query: list[float], vector: str, key: str, k: int = NEIGHBOURS) -> DataFrame:
     """The k rows nearest to the query vector, with ``vector_score`` (smaller is nearer).
 
-    Each task keeps its own k best; only those meet.
+    Vectors of another length, or with a null or NaN element, have no distance and are left out. Each task
+    keeps its own k best; only those meet.
     """
-    scored = df.where(field(vector).isNotNull()).withColumn("vector_score", squared_distance(field(vector), query))
-    return scored.orderBy(F.col("vector_score"), field(key)).limit(k)
+    fits = F.size(field(vector)) == len(query)
+    scored = df.where(fits).withColumn("vector_score", squared_distance(field(vector), query))
+    measured = scored.where(F.col("vector_score").isNotNull() & ~F.isnan("vector_score"))
+    return measured.orderBy(F.col("vector_score"), field(key)).limit(k)
 
 
 def unique_matches(matches: DataFrame, text: str, key: str) -> DataFrame:
