@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-MAX_QUESTIONS = 4
-
 
 class QueryIssue(ValueError):
     """A request that is refused at plan time, before any result job starts.
@@ -20,7 +18,7 @@ class QueryIssue(ValueError):
 
     @property
     def questions(self) -> list[str]:
-        return self.issues[:MAX_QUESTIONS]
+        return list(self.issues)
 
     def as_row(self) -> dict[str, object]:
         """The refusal as a result row, for callers that expect rows only."""

@@ -104,12 +104,16 @@ def comparison_span(operator: str, value: object, day_first: bool = False) -> Sp
     """
     year = year_of(value)
     if year is not None:
-        first, after = datetime(year, 1, 1), datetime(min(year + 1, 9999), 1, 1)
+        first = datetime(year, 1, 1)
+        if year == datetime.max.year:  # no moment comes after it
+            later, upto = Span(start=datetime.max, start_in=False), Span(end=datetime.max, end_in=True)
+        else:
+            later, upto = Span(start=datetime(year + 1, 1, 1)), Span(end=datetime(year + 1, 1, 1))
         return {
-            ">": Span(start=after),
+            ">": later,
             ">=": Span(start=first),
             "<": Span(end=first),
-            "<=": Span(end=after),
+            "<=": upto,
         }[operator]
     period = period_of(value)
     moment = period.start if period else moment_of(value, day_first)

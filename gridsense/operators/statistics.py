@@ -15,7 +15,6 @@ from gridsense.plans.classes import ColumnClass
 
 MISSING_LABEL = "null"
 DEFAULT_BINS = 10
-DESCRIBED_COLUMNS = 10
 
 
 def as_label(column: Column, cls: ColumnClass) -> Column:
@@ -150,7 +149,7 @@ def describe(df: DataFrame, columns: list[str], approximate: bool = False) -> Da
     Text is read as both; what it turns out to hold decides in the result, so no earlier look
     is needed. Everything but the exact distinct counts is one pass (see ``distinct_counts``).
     """
-    columns = columns or df.columns[:DESCRIBED_COLUMNS]
+    columns = columns or df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
     measured, present, cells = [F.count(F.lit(1)).alias("rows")], {}, []
     for at, name in enumerate(columns):

@@ -28,7 +28,6 @@ STOP_WORDS = (
     "at", "by", "an", "a", "is", "to", "be", "do",
 )
 WORD = r"\b[a-z0-9_-]{3,}\b"
-TOP_K = 8
 NO_EXCERPT = ("nan", "none", "")
 
 
@@ -36,7 +35,7 @@ NO_EXCERPT = ("nan", "none", "")
 class Search:
     """What to search for, where, and how many rows to keep per sheet (None keeps all).
 
-    In a dict request ``"top_k": "all"`` keeps all; without one the first 8 are kept.
+    In a dict request a missing or null ``top_k``, like ``"all"``, keeps all; 0 keeps none.
     """
 
     query_text: str = ""
@@ -44,7 +43,7 @@ class Search:
     columns: tuple[str, ...] = ()
     id_filters: tuple[Condition, ...] = ()
     post_filters: tuple[Condition, ...] = ()
-    top_k: int | None = TOP_K
+    top_k: int | None = None
     row_key: str | None = None
 
     @classmethod
@@ -58,7 +57,7 @@ class Search:
             columns=tuple(plan.get("target_text_columns") or ()),
             id_filters=_conditions(plan.get("id_filters")),
             post_filters=_conditions(plan.get("post_filters")),
-            top_k=None if plan.get("top_k") == "all" else int(plan.get("top_k") or TOP_K),
+            top_k=None if plan.get("top_k") in (None, "", "all") else int(plan["top_k"]),
             row_key=plan.get("row_key"),
         )
 

@@ -400,7 +400,7 @@ class _Plan:
             self.issues.append(f"{op}: no target column was resolved from the request")
             return None
         if op == "value_counts":
-            return statistics.value_counts(rows, columns, self.classes, self.intent.top_k or self.intent.limit)
+            return statistics.value_counts(rows, columns, self.classes, self.intent.limit if self.intent.top_k is None else self.intent.top_k)
         if op == "histogram":
             if not self._computable("avg", columns[0]):
                 return None

@@ -148,7 +148,7 @@ def test_every_issue_is_listed_and_four_are_asked(frame):
     conditions = [{"column": f"c{i}", "value": 1} for i in range(6)]
     with pytest.raises(QueryIssue) as caught:
         run(frame(*WORDS), {"filters": conditions})
-    assert len(caught.value.issues) == 6 and len(caught.value.questions) == 4
+    assert len(caught.value.issues) == 6 and caught.value.questions == caught.value.issues
 
 
 def test_unicode(ask):
@@ -156,3 +156,10 @@ def test_unicode(ask):
     assert ask("`Chiffre d'affaires` int", [1000, 2000], {"operation": "sum", "columns": ["chiffre d'affaires"]}) == [
         {"sum_Chiffre d'affaires": 3000}
     ]
+
+
+def test_last_year_of_the_calendar(ask):
+    rows = [("9999-12-31 10:00:00",), ("2024-05-05 00:00:00",)]
+    for operator, expected in (("<=", 2), (">", 0), (">=", 1), ("<", 1)):
+        request = {"filters": [{"column": "d", "operator": operator, "value": "9999"}], "columns": ["d"]}
+        assert len(ask("d string", rows, request)) == expected

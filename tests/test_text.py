@@ -203,3 +203,16 @@ def test_intent_tags(frame):
     texts = ["What is the TOTAL and mean?", "How many columns", "summit", "compare highest with lowest", None]
     got = [r[0] for r in frame("t string", texts).select(conversations.intent_tags(F.col("t"))).collect()]
     assert got == [["sum", "avg"], ["count", "profile"], [], ["max", "min", "correlation"], []]
+
+
+def test_search_keeps_all_matches_unless_asked(frame):
+    notes = frame("id int, note string", [(i, "engineer on duty") for i in range(20)])
+    assert len(search(notes, {"query_text": "engineer"}).collect()) == 20
+    assert len(search(notes, {"query_text": "engineer", "top_k": None}).collect()) == 20
+    assert search(notes, {"query_text": "engineer", "top_k": 0}).collect() == []
+
+
+def test_vectors_without_a_distance_never_rank(frame):
+    rows = [(1, [1.0, None]), (2, [1.0]), (3, [float("nan"), 0.0]), (4, None), (5, [3.0, 4.0]), (6, [0.0, 1.0])]
+    found = vectors.nearest(frame("id int, v array<double>", rows), [0.0, 0.0], "v", "id", k=4).collect()
+    assert [(r["id"], r["vector_score"]) for r in found] == [(6, 1.0), (5, 25.0)]

@@ -176,11 +176,18 @@ CASES = {
     "ts_topk": Case(
         _search(
             {"query_text": "that was this", "keywords": ["that", "was", "tion"], "target_text_columns": ["text"],
-             "row_key": "doc_id"},
+             "row_key": "doc_id", "top_k": 8},
             ["doc_id", "lang"],
         ),
         _IDS + f"contains({_TEXT}, 'that') AND contains({_TEXT}, 'was') AND contains({_TEXT}, 'tion') ORDER BY doc_id LIMIT 8",
     ),
+    "ts_all_default": Case(
+        _search(
+            {"query_text": "that was this", "keywords": ["that", "was", "tion"], "target_text_columns": ["text"]},
+            ["doc_id", "lang"],
+        ),
+        _IDS + f"contains({_TEXT}, 'that') AND contains({_TEXT}, 'was') AND contains({_TEXT}, 'tion')",
+    ),
     "ts_annotated": Case(
         lambda spark, folder: search(
             table(spark, folder, "benchmark"),
