@@ -129,7 +129,7 @@ def test_profile(frame):
     assert rows["day"]["stats"].endswith("Min Date: 2023-01-05 | Max Date: 2023-03-01")
     assert rows["mixed"]["max"] == 7.0
     wide = frame(", ".join(f"c{i} int" for i in range(30)), [tuple(range(30))])
-    assert len(run(wide, {"operation": "profile"}).rows()) == 10
+    assert len(run(wide, {"operation": "profile"}).rows()) == 30
 
 
 def test_extremes_bring_their_rows(ask):
