@@ -36,7 +36,8 @@ def number_of(value: object) -> float | int | None:
     text = text_of(value)
     if not re.match(NUMBER_PATTERN, text):
         return None
-    return int(text) if re.fullmatch(r"[+-]?\d{1,18}", text) else float(text)
+    whole = int(text) if re.fullmatch(r"[+-]?\d+", text) else None
+    return whole if whole is not None and -(2**63) <= whole < 2**63 else float(text)
 
 
 def year_of(value: object) -> int | None:
@@ -46,6 +47,8 @@ def year_of(value: object) -> int | None:
 
 def _months_from(year: int, month: int, length: int) -> Span:
     after = year * 12 + (month - 1) + length
+    if after // 12 > datetime.max.year:  # the last period has no end
+        return Span(datetime(year, month, 1))
     return Span(datetime(year, month, 1), datetime(after // 12, after % 12 + 1, 1))
 
 
@@ -54,14 +57,14 @@ def period_of(value: object) -> Span | None:
     text = text_of(value)
     year = year_of(text)
     if year is not None:
-        return _months_from(year, 1, 12) if year < 9999 else Span(datetime(year, 1, 1))
+        return _months_from(year, 1, 12)
     for pattern in (r"(?P<y>\d{4})[- ]?[qQ](?P<q>[1-4])", r"[qQ](?P<q>[1-4])[- ]?(?P<y>\d{4})"):
         hit = re.fullmatch(pattern, text)
-        if hit:
+        if hit and int(hit["y"]):
             return _months_from(int(hit["y"]), int(hit["q"]) * 3 - 2, 3)
     for pattern in (r"(?P<y>\d{4})[-/](?P<m>\d{1,2})", r"(?P<m>\d{1,2})[-/](?P<y>\d{4})"):
         hit = re.fullmatch(pattern, text)
-        if hit and 1 <= int(hit["m"]) <= 12:
+        if hit and int(hit["y"]) and 1 <= int(hit["m"]) <= 12:
             return _months_from(int(hit["y"]), int(hit["m"]), 1)
     for layout in ("%b %Y", "%B %Y"):
         try:

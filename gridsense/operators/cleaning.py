@@ -85,6 +85,6 @@ def flat_rows(df: DataFrame, sheet: str | None = None, dense: bool = False) -> D
         flat = number_rows(df)
     else:
         flat = df.select(*map(field, df.columns), F.monotonically_increasing_id().cast("string").alias("id"))
-    if sheet is None or "sheet" in df.columns:
+    if sheet is None or "sheet" in map(str.lower, df.columns):
         return flat
     return flat.select(F.lit(sheet).alias("sheet"), *map(field, flat.columns))

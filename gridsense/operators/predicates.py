@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime
 
@@ -212,17 +213,25 @@ def predicate(
     return test
 
 
+NEGATIONS = ("neq", "is_not", "not_in", "not_contains", "not_like")
+
+
 def sheet_matches(sheet: str, operator: object, value: object) -> bool:
     """Whether a filter on the virtual ``sheet`` column keeps a sheet of this name."""
     op, wanted, name = canonical_operator(operator), literals.text_of(value).lower(), sheet.lower()
-    if op in ("eq", "is"):
-        return wanted == name
-    if op in ("neq", "is_not"):
-        return wanted != name
-    if op in ("contains", "like"):
-        return wanted in name
-    return True
-
+    asked, negated = {"neq": "eq", "is": "eq", "is_not": "eq"}.get(op, op.removeprefix("not_")), op in NEGATIONS
+    if asked == "eq":  # no sheet is without a name
+        kept = name == wanted and wanted not in literals.MISSING_WORDS
+    elif asked == "in":
+        kept = name in {literals.text_of(part).lower() for part in literals.listed(value)}
+    elif asked == "contains":
+        kept = wanted in name
+    elif asked == "like":
+        signs = {"%": ".*", "_": "."}
+        kept = re.fullmatch("".join(signs.get(c) or re.escape(c) for c in wanted), name, re.DOTALL) is not None
+    else:
+        raise QueryIssue(f"Sheets have no filter '{operator}'.")
+    return kept != negated
 
 
 # How a filter is worded in a summary.

@@ -7,6 +7,8 @@ each group that holds the wanted rank.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ MOST_BROADCAST_ROWS = 10_000
 
 
 def _values(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    return df.select(*map(field, keys), value.cast("double").alias(VALUE))
+    return df.select(*map(field, keys), value.alias(VALUE))
 
 
 def slices_for(values: DataFrame) -> int:
@@ -36,16 +38,18 @@ def _interpolated(ranked: DataFrame, keys: list[str], alias: str) -> DataFrame:
         F.min(F.when(F.col("__rank") >= F.ceil("__place"), F.col(VALUE))).alias("__b"),
         F.max(F.col("__place") - F.floor("__place")).alias("__part"),
     )
-    between = F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")
+    between = F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part"))
     return ends.select(*map(field, keys), between.alias(alias))
 
 
 def _sorted_whole(values: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """Every value ranked within its key, missing ones last; rank and count share one window."""
+    """Every distinct value ranked within its key, missing ones last; copies collapse before the shuffle."""
+    counted = values.groupBy(*map(field, keys), VALUE).agg(F.count(VALUE).alias(COPIES))
     ordered = Window.partitionBy(*map(field, keys)).orderBy(F.col(VALUE).asc_nulls_last())
     everything = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place = (F.count(VALUE).over(everything) - 1) * F.lit(share)
-    return values.withColumn("__rank", F.row_number().over(ordered) - 1).withColumn("__place", place)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = (F.sum(COPIES).over(everything) - 1) * F.lit(share)
+    return counted.withColumn("__rank", F.sum(COPIES).over(upto) - 1).withColumn("__place", place)
 
 
 def _small_if_possible(wanted: DataFrame) -> DataFrame:
@@ -61,28 +65,26 @@ def _sorted_slices(values: DataFrame, keys: list[str], share: float, slices: int
 
     The cut points are approximate, which affects balance only: rows per slice are counted
     exactly. Those counts, at most ``slices`` per key, tell the slices to keep; copies of a
-    value collapse before the one shuffle that moves values.
+    value collapse before values are shuffled. Infinities lie in the outermost slices.
     """
-    cuts = sorted(set(values.approxQuantile(VALUE, [i / slices for i in range(1, slices)], 1 / (4 * slices))))
+    found = values.approxQuantile(VALUE, [i / slices for i in range(1, slices)], 1 / (4 * slices))
+    cuts = sorted({cut for cut in found if math.isfinite(cut)})
     edges = [float("-inf"), *cuts, float("inf")]
     sliced = values.withColumn(SLICE, F.lit(0.0))
     if cuts:
         sliced = Bucketizer(splits=edges, inputCol=VALUE, outputCol=SLICE).transform(values)
+    counted = sliced.groupBy(*map(field, keys), SLICE, VALUE).agg(F.count(F.lit(1)).alias(COPIES))
     per_key = Window.partitionBy(*map(field, keys))
     wanted = (
-        sliced.groupBy(*map(field, keys), SLICE)
-        .agg(F.count(F.lit(1)).alias("__filled"))
+        counted.groupBy(*map(field, keys), SLICE)
+        .agg(F.sum(COPIES).alias("__filled"))
         .withColumn("__upto", F.sum("__filled").over(per_key.orderBy(SLICE)))
         .withColumn("__place", (F.sum("__filled").over(per_key) - 1) * F.lit(share))
         .withColumn("__before", F.col("__upto") - F.col("__filled"))
         .where((F.col("__upto") > F.floor("__place")) & (F.col("__before") <= F.ceil("__place")))
         .select(*map(field, keys), SLICE, "__before", "__place")
     )
-    kept = (
-        sliced.join(_small_if_possible(wanted), [*keys, SLICE])
-        .groupBy(*map(field, keys), SLICE, VALUE, "__before", "__place")
-        .agg(F.count(F.lit(1)).alias(COPIES))
-    )
+    kept = counted.join(_small_if_possible(wanted), [*keys, SLICE])
     in_slice = Window.partitionBy(*map(field, keys), SLICE).orderBy(VALUE)
     return kept.withColumn("__rank", F.col("__before") + F.sum(COPIES).over(in_slice) - 1)
 
@@ -91,7 +93,7 @@ def quantile(
     df: DataFrame, keys: list[str], value: Column, share: float, alias: str, slices: int | None = None
 ) -> DataFrame:
     """One row per key with the linearly interpolated quantile, null for a key without values."""
-    values = _values(df, keys, value)
+    values = _values(df, keys, value.cast("double"))
     slices = slices or slices_for(values)
     if slices == 1:
         return _interpolated(_sorted_whole(values, keys, share), keys, alias)
@@ -101,7 +103,7 @@ def quantile(
 
 
 def mode(df: DataFrame, keys: list[str], value: Column, alias: str) -> DataFrame:
-    """One row per key with its most frequent value, the smallest one on ties."""
+    """One row per key with its most frequent value in the column's own type, the smallest one on ties."""
     counted = _values(df, keys, value).groupBy(*map(field, keys), VALUE).agg(F.count(F.lit(1)).alias(COPIES))
     candidate = F.when(F.col(VALUE).isNotNull(), F.struct((-F.col(COPIES)).alias("rarity"), F.col(VALUE)))
     return counted.groupBy(*map(field, keys)).agg(F.min(candidate).getField(VALUE).alias(alias))

@@ -92,7 +92,7 @@ def run(
     """
     intent = Intent.of(request)
     if isinstance(data, DataFrame):
-        return _Plan(data, ONLY_SHEET, SHEET not in data.columns, intent, classes or {}).result()
+        return _Plan(data, ONLY_SHEET, SHEET not in map(str.lower, data.columns), intent, classes or {}).result()
     return _federated(data, intent, classes or {})
 
 

@@ -15,7 +15,7 @@ DELIMITERS = (",", ";", "\t", "|")
 SNIFFED_LINES = 20
 # Other spellings of the character sets that the reader accepts.
 CHARSETS = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "ascii": "US-ASCII", "utf8": "UTF-8", "utf-8-sig": "UTF-8"}
-WHOLE_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
+WHOLE_PATTERN = r"^\s*[+-]?\d+\s*$"
 
 # Cells read as missing.
 NA_TOKENS = (
@@ -70,11 +70,11 @@ def blank_tokens(df: DataFrame, tokens: tuple[str, ...] = NA_TOKENS) -> DataFram
     )
 
 
-def _typed(column: Column, filled: int, whole: int, numbers: int, truths: int, rows: int) -> Column:
+def _typed(column: Column, filled: int, whole: int, long: int, wide: int, numbers: int, truths: int, rows: int) -> Column:
     if filled == 0:
         return column.cast("double") if rows else column
-    if filled == whole:
-        return F.trim(column).cast("long")
+    if filled == whole:  # ids keep every digit
+        return F.trim(column).cast("long" if filled == long else "decimal(38,0)" if filled == wide else "string")
     if filled == numbers:
         return F.trim(column).cast("double")
     if filled == truths:
@@ -95,6 +95,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         measured += [
             F.count(c).alias(f"filled{at}"),
             F.count_if(c.rlike(WHOLE_PATTERN)).alias(f"whole{at}"),
+            F.count_if(c.rlike(WHOLE_PATTERN) & F.trim(c).try_cast("long").isNotNull()).alias(f"long{at}"),
+            F.count_if(c.rlike(WHOLE_PATTERN) & F.trim(c).try_cast("decimal(38,0)").isNotNull()).alias(f"wide{at}"),
             F.count_if(c.rlike(NUMBER_PATTERN)).alias(f"numbers{at}"),
             F.count_if(c.isin(*TRUTH)).alias(f"truths{at}"),
         ]
@@ -102,7 +104,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(
         *(
             _typed(
-                field(name), *(seen[f"{kind}{at}"] for kind in ("filled", "whole", "numbers", "truths")), seen["rows"]
+                field(name), *(seen[f"{kind}{at}"] for kind in ("filled", "whole", "long", "wide", "numbers", "truths")), seen["rows"]
             ).alias(name)
             for at, name in enumerate(df.columns)
         )

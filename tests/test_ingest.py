@@ -208,3 +208,23 @@ def test_chunks(frame):
     assert rows[1]["label"] == f"Chunk row:r_1|col:body|chunk:1 | Row r|1 | body: {stripped[500:]}"
     tagged = chunking.chunk_text(df, ["body"], "id", sheet="S").first()
     assert tagged["label"].startswith("Sheet S | Chunk sheet:S|row:r_1|col:body|chunk:0 | Row r|1 | body: ")
+
+
+def test_ids_keep_every_digit(spark, tmp_path):
+    from gridsense.sources.csv import read_csv
+
+    path = tmp_path / "ids.csv"
+    path.write_text("a,b\n1234567890123456789,12345678901234567890\n1234567890123456788,1\n")
+    df = read_csv(spark, str(path))
+    assert [t for _, t in df.dtypes] == ["bigint", "decimal(38,0)"]
+    assert {r["a"] for r in df.collect()} == {1234567890123456789, 1234567890123456788}
+
+
+def test_periods_at_the_edge_of_the_calendar():
+    from datetime import datetime
+
+    from gridsense.functions.literals import number_of, period_of
+
+    assert period_of("9999-12").start == datetime(9999, 12, 1) and period_of("9999-12").end is None
+    assert period_of("9999Q4").end is None and period_of("0000-05") is None
+    assert number_of("1234567890123456789") == 1234567890123456789
