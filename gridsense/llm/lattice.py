@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsense.llm.base import columns, settle
-from gridsense.llm.stars import crowded, linked_components
+from gridsense.llm.stars import Near, crowded, linked_components
 from gridsense.llm.words import mixed
 
 TABLES, POINTS, WIDTH, SEED = 20, 2, 2.0, 2
@@ -110,6 +110,21 @@ def linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return x @ y.T >= least * np.sqrt((x * x).sum(-1))[:, None] * np.sqrt((y * y).sum(-1))[None, :]
 
 
+def alike(least: float) -> Near:
+    """Nearness by the cosine itself."""
+
+    def prepare(traits: pa.Array, sizes: np.ndarray):
+        vectors = traits.flatten().to_numpy().reshape(len(traits), -1)
+
+        def nearness(row: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            near = linked(vectors[row : row + 1], vectors[others], least)[0]
+            return near.astype(float), near, near
+
+        return nearness
+
+    return prepare
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, key: str = "vec_id",
                     vector: str = "embedding") -> DataFrame:
     """One row per vector: key, n_links, component_id (smallest key reachable), kept.
@@ -140,7 +155,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = BLOCK,
         second = nodes.select(F.col("node").alias("b"), F.col("vector").alias("y"))
         return pairs.select("a", "b").join(first, "a").join(second, "b").mapInArrow(check, "a binary, b binary")
 
-    roots = settle(linked_components(buckets, verify, F.col("n_a") == F.col("n_b")), "roots")
+    traits = nodes.select("node", F.col("vector").alias("trait"), size.alias("wide"))
+    roots = linked_components(buckets, traits, alike(least), verify, F.col("n_a") == F.col("n_b"))
+    roots = settle(roots, "roots")
     counts = link_counts(nodes.join(roots, "node"), least, block)
     grouped = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -159,11 +176,12 @@ def link_counts(members: DataFrame, least: float, block: int) -> DataFrame:
     """``(node, others)``: linked vectors of other nodes of the component, copies counted.
 
     A component is cut into blocks, and each pair of blocks is one group; components of one block share
-    groups by hash.
+    groups by hash, about one group for each block of rows.
     """
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     cut = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(4096))).otherwise(F.xxhash64("root"))
+    shared = members.count() // block + 1
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(shared))).otherwise(F.xxhash64("root"))
     paired = cut.withColumn("group", group).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select(
         "root", "node", "copies", "vector", "own", "group", "blocks",

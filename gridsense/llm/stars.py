@@ -1,16 +1,19 @@
 """Links among rows that share buckets, found with star-shaped candidate edges.
 
-In each bucket one row is the centre and all others are compared with it: as many pairs as rows. What did
-not link to the centre goes on with further centres, twice as many each time, until no bucket holds two
-rows that are not linked to a centre. Centres are the rows that share buckets with most others, so the text
-that copies were made from comes before its copies. A second sweep looks at the buckets that needed more
-than one centre, in another order, for rows that the groups of two centres have in common.
+In each bucket one row is the centre and all others are compared with it: as many pairs as rows. Centres are
+the rows that share buckets with most others, so the text that copies were made from comes before its copies.
+Rows that did not link to their centre are then compared with the rest of their bucket by traits of fixed
+size, bucket by bucket in blocks of bounded size, and only what the traits call near becomes a candidate, again
+as stars: a row that surely belongs to an earlier centre is no further centre, and one edge is enough to rows that the
+bucket's first centre holds together. All candidates are verified in full.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,11 @@ from gridsense.llm.base import settle
 from gridsense.llm.components import components
 
 Verify = Callable[[DataFrame], DataFrame]
+#: Nearness of row i to the rows given by number: (score, may link, surely links), from all rows' traits and sizes.
+Near = Callable[[pa.Array, np.ndarray], Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+BLOCK = 512
+PAIR = "a binary, b binary, n_a long, n_b long"
 
 
 def crowded(buckets: DataFrame) -> DataFrame:
@@ -26,49 +34,102 @@ def crowded(buckets: DataFrame) -> DataFrame:
     return buckets.join(sizes, "bucket")
 
 
-def _sweep(members: DataFrame, verify: Verify, able: Column) -> tuple[DataFrame, DataFrame | None]:
-    """Links ``(a, b)`` of ``(bucket, node, size, rank)``, lowest ranks first; and what the first centres left."""
-    found: DataFrame | None = None
-    left: DataFrame | None = None
-    width = 1
-    while True:
-        part = F.pmod(F.xxhash64("node"), F.lit(width)).alias("part")
-        least = members.groupBy("bucket", part).agg(F.min(F.struct("rank", "node", "size")).alias("least"))
-        stars = members.join(least.select("bucket", "least"), "bucket")
-        stars = stars.select("bucket", "node", "size", "rank", F.col("least.node").alias("centre"), F.col("least.size").alias("wide"))
-        stars = settle(stars, "stars")
-        one, two = F.struct("node", "size"), F.struct(F.col("centre").alias("node"), F.col("wide").alias("size"))
-        pairs = stars.where("node != centre").select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two"))
-        pairs = pairs.select(
-            F.col("one.node").alias("a"), F.col("two.node").alias("b"), F.col("one.size").alias("n_a"), F.col("two.size").alias("n_b")
-        )
-        links = settle(verify(pairs.where(able).distinct()), "links")
-        found = links if found is None else found.union(links)
-        both = found.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.lit(True).alias("linked"))
-        both = both.union(found.select(F.col("b").alias("node"), F.col("a").alias("centre"), F.lit(True).alias("linked")))
-        verdict = stars.join(both.distinct(), ["node", "centre"], "left")
-        done = F.max(F.coalesce("linked", F.col("node") == F.col("centre")))
-        rest = verdict.groupBy("bucket", "node", "size", "rank").agg(done.alias("done")).where("not done").drop("done")
-        members = settle(crowded(rest).drop("held") if left is not None else rest, "open-buckets")
-        if left is None:
-            left = members
-            members = crowded(members).drop("held")
-        if members.isEmpty():
-            return found, left
-        width *= 2
-
-
-def linked_components(buckets: DataFrame, verify: Verify, able: Column | None = None) -> DataFrame:
+def candidates(open_: np.ndarray, own: np.ndarray, i: int, j: int, nearness) -> Iterator[tuple[int, int]]:
+    """Star-shaped candidates between the blocks i and j of one bucket; rows are numbers, ``open_`` rows lack a link."""
+    covered = np.zeros(len(own), bool)
+    for here, there in {(i, j), (j, i)}:
+        opposite = own == there
+        held, loose = np.flatnonzero(opposite & ~open_), np.flatnonzero(opposite & open_)
+        for row in np.flatnonzero((own == here) & open_):
+            if len(held):
+                score, may, sure = nearness(row, held)
+                if sure.any():
+                    yield row, held[score.argmax()]
+                else:
+                    yield from ((row, k) for k in held[may])
+            others = loose[loose > row] if i == j else loose
+            if not covered[row] and len(others):
+                _, may, sure = nearness(row, others)
+                yield from ((row, k) for k in others[may])
+                covered[others[sure]] = True
+
+
+def _further(rest: DataFrame, traits: DataFrame, near: Near, block: int) -> DataFrame:
+    """Candidates ``(a, b, n_a, n_b)`` of ``(bucket, node, size, open, held)`` beyond the first centres."""
+    cut = rest.join(traits, "node").withColumn("blocks", F.ceil(F.col("held") / block).cast("int"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = ["bucket", "wide", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    dealt = cut.select(*group, "node", "size", "open", "own", "trait")
+    dealt = dealt.repartition("bucket", "wide", "i", "j").sortWithinPartitions("bucket", "wide", "i", "j", "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def work(held: pa.Table) -> pa.RecordBatch:
+            nodes, size = held.column("node").to_pylist(), held.column("size").to_numpy()
+            flags, own = held.column("open").to_numpy(), held.column("own").to_numpy()
+            i, j = held.column("i")[0].as_py(), held.column("j")[0].as_py()
+            pairs = []
+            if flags.any():
+                nearness = near(held.column("trait").combine_chunks(), size)
+                pairs = [sorted(((nodes[x], size[x]), (nodes[y], size[y]))) for x, y in candidates(flags, own, i, j, nearness)]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([p[0][0] for p in pairs], pa.binary()),
+                    pa.array([p[1][0] for p in pairs], pa.binary()),
+                    pa.array([p[0][1] for p in pairs], pa.int64()),
+                    pa.array([p[1][1] for p in pairs], pa.int64()),
+                ],
+                ["a", "b", "n_a", "n_b"],
+            )
+
+        def keys(batch: pa.RecordBatch) -> np.ndarray:
+            return np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "wide", "i", "j")])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = keys(batch)
+            edges = [0, *(np.flatnonzero((found[:, 1:] != found[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for start, stop in zip(edges, edges[1:], strict=False):
+                own = tuple(found[:, start])
+                if kept and own != last:
+                    yield work(pa.Table.from_batches(kept))
+                    kept = []
+                last = own
+                kept.append(batch.slice(start, stop - start))
+        if kept:
+            yield work(pa.Table.from_batches(kept))
+
+    return dealt.mapInArrow(compare, PAIR)
+
+
+def linked_components(
+    buckets: DataFrame, traits: DataFrame, near: Near, verify: Verify, able: Column | None = None, block: int = BLOCK
+) -> DataFrame:
     """``(node, root)`` of the links among ``crowded`` rows ``(bucket, node, size, held)``; others do not appear.
 
+    ``traits`` is ``(node, trait, wide)`` for these nodes, ``wide`` being the trait's length; only traits of one length are
+    compared. ``near`` says from them which rows may link.
     ``verify`` gets pairs ``(a, b, n_a, n_b)`` that fulfil ``able`` and returns those ``(a, b)`` that link.
     """
     able = F.lit(True) if able is None else able
     weight = buckets.groupBy("node").agg((-F.sum("held")).alias("rank"))
-    ranked = settle(buckets.drop("held").join(weight, "node"), "ranked")
-    links, left = _sweep(ranked, verify, able)
-    again = buckets.join(left.select("bucket").distinct(), "bucket", "left_semi").where("held > 2")
-    again = settle(again.select("bucket", "node", "size", F.xxhash64(F.lit(1), "node").alias("rank")), "again")
-    if not again.isEmpty():
-        links = links.union(_sweep(again, verify, able)[0])
-    return components(links)
+    ranked = buckets.join(weight, "node")
+    least = ranked.groupBy("bucket").agg(F.min(F.struct("rank", "node", "size")).alias("least"))
+    stars = ranked.join(least, "bucket")
+    one, two = F.struct("node", "size"), F.struct(F.col("least.node").alias("node"), F.col("least.size").alias("size"))
+    stars = stars.where("node != least.node").select(
+        "bucket", "node", "size", "held", F.least(one, two).alias("one"), F.greatest(one, two).alias("two")
+    )
+    pair = [F.col("one.node").alias("a"), F.col("two.node").alias("b"), F.col("one.size").alias("n_a"), F.col("two.size").alias("n_b")]
+    stars = settle(stars.select("bucket", "node", "size", "held", *pair), "stars")
+    links = settle(verify(stars.select("a", "b", "n_a", "n_b").where(able).distinct()), "links")
+    verdict = stars.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left")
+    verdict = verdict.select("bucket", "node", "size", "held", F.col("linked").isNull().alias("open"))
+    lacking = verdict.where("open").select("bucket").distinct()
+    rest = settle(verdict.where("held > 2").join(lacking, "bucket", "left_semi"), "rest")
+    more = _further(rest, traits, near, block).where(able).distinct().join(links, ["a", "b"], "left_anti")
+    return components(links.union(settle(verify(more), "more-links")))
