@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gridsense.llm import lattice, licenses, minhash, mixing, packing, quality, secrets, shards, token_files, urls
+from gridsense.llm import lattice, licenses, minhash, mixing, packing, quality, secrets, shards, stars, token_files, urls
 from gridsense.llm.base import TOKENIZERS
 from gridsense.llm.boosting import fit
 from gridsense.llm.components import components
@@ -444,3 +444,28 @@ def test_pipeline(spark, texts, tmp_path):
     drawn = {r["doc_id"] for r in seen[3].collect()}
     assert drawn <= one and {r["doc_id"] for r in seen[4].collect()} == drawn
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, path).collect()) == sorted(r["doc_id"] for r in seen[4].collect())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rest_of_a_bucket_joins_all_that_is_near(seed):
+    random = np.random.default_rng(seed)
+    place = np.sort(random.integers(0, 120, 60))  # near: at most 1 apart, which is exact, so near is also sure
+    loose, own = random.random(60) < 0.6, random.integers(0, 3, 60)
+
+    def nearness(row, others):
+        near = abs(place[others] - place[row]) <= 1
+        return -abs(place[others] - place[row]), near, near & (place[others] == place[row])
+
+    pairs = {p for i in range(3) for j in range(i, 3) for p in stars.candidates(loose, own, i, j, nearness)}
+    assert all(abs(place[a] - place[b]) <= 1 for a, b in pairs)
+
+    def groups(edges):
+        names = list(range(60))
+        for _ in range(60):
+            for a, b in edges:
+                names[a] = names[b] = min(names[a], names[b])
+        return names
+
+    held = [(a, b) for a in np.flatnonzero(~loose) for b in np.flatnonzero(~loose)]  # linked to the first centre
+    near = [(a, b) for a in range(60) for b in range(60) if abs(place[a] - place[b]) <= 1]
+    assert groups([*held, *pairs]) == groups([*held, *near])
