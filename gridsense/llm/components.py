@@ -33,8 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.select("a", "b").where("a != b")
     while True:
         now = settle(_small_star(_large_star(now).distinct()).distinct(), "edges")
-        # Done when every edge leads to a node that leads nowhere.
-        if now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
+        # Done when every edge leads to a node that leads nowhere, and no node leads to two of them.
+        passed_on = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        if passed_on.isEmpty() and now.groupBy("a").count().where("count > 1").isEmpty():
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

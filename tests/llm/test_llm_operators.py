@@ -134,6 +134,31 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 103: 100, 200: 200, 300: 200}
 
 
+def smallest_reachable(edges):
+    names = {n: n for e in edges for n in e}
+    for _ in names:
+        for a, b in edges:
+            names[a] = names[b] = min(names[a], names[b])
+    return names
+
+
+def test_components_of_a_node_between_two_roots(spark):
+    # All graphs at once, each with numbers of its own; the first stops after one round if only sources are looked at.
+    graphs = [[(1, 4), (4, 3), (3, 5), (5, 2)]]
+    for seed in range(60):
+        rnd = random.Random(seed)
+        n = rnd.choice((5, 10, 15))
+        label = rnd.sample(range(n), n)
+        path = [(label[k], label[k + 1]) for k in range(n - 1)]
+        hubs = [(label[h], label[3 + (3 * h + k) % (n - 3)]) for h in range(3) for k in range(4)]
+        graphs.append(rnd.choice((path, hubs, [tuple(rnd.sample(range(n), 2)) for _ in range(n)])))
+    for group in (graphs[:1], graphs[1:]):
+        edges = [(100 * g + a, 100 * g + b) for g, held in enumerate(group) for a, b in held]
+        rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(rows) == len({r["node"] for r in rows})
+        assert {r["node"]: r["root"] for r in rows} == smallest_reachable([e for e in edges if e[0] != e[1]])
+
+
 def test_raking_meets_marginals():
     cells = np.array([[[10.0, 5], [3, 0]], [[7, 8], [9, 20]]])
     targets = [np.array([0.4, 0.6]), np.array([0.7, 0.3]), np.array([0.55, 0.45])]
