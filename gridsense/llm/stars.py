@@ -3,9 +3,9 @@
 In each bucket one row is the centre and all others are compared with it: as many pairs as rows. Centres are
 the rows that share buckets with most others, so the text that copies were made from comes before its copies.
 Rows that did not link to their centre are then compared with the rest of their bucket by traits of fixed
-size, bucket by bucket in blocks of bounded size, and only what the traits call near becomes a candidate, again
-as stars: a row that surely belongs to an earlier centre is no further centre, and one edge is enough to rows that the
-bucket's first centre holds together. All candidates are verified in full.
+size, bucket by bucket in blocks of bounded size, and only what the traits call near becomes a candidate. One edge
+is enough to rows that sure links or the bucket's first centre hold together; rows of different such groups are
+all compared. All candidates are verified in full.
 """
 
 from __future__ import annotations
@@ -35,23 +35,34 @@ def crowded(buckets: DataFrame) -> DataFrame:
 
 
 def candidates(open_: np.ndarray, own: np.ndarray, i: int, j: int, nearness) -> Iterator[tuple[int, int]]:
-    """Star-shaped candidates between the blocks i and j of one bucket; rows are numbers, ``open_`` rows lack a link."""
-    covered = np.zeros(len(own), bool)
-    for here, there in {(i, j), (j, i)}:
-        opposite = own == there
-        held, loose = np.flatnonzero(opposite & ~open_), np.flatnonzero(opposite & open_)
+    """Candidates between the blocks i and j of one bucket; rows are numbers, ``open_`` rows lack a link.
+
+    Rows that sure links hold together are a group, as are the rows linked to the bucket's first centre. Rows of one
+    group are not compared, and a row gets one edge to each group it surely links to, so sure edges are fewer than rows.
+    """
+    group = np.where(open_, np.arange(len(own)), -1)
+
+    def edges(row: int, others: np.ndarray) -> Iterator[tuple[int, int]]:
+        if not len(others):
+            return
+        score, may, sure = nearness(row, others)
+        met = group[others]
+        joined = np.unique(met[sure])
+        best = [np.flatnonzero(sure & (met == g)) for g in joined]
+        yield from ((row, others[k[score[k].argmax()]]) for k in best)
+        yield from ((row, k) for k in others[may & ~np.isin(met, joined)])
+        if len(joined):
+            one = [group[row], *joined]
+            group[np.isin(group, one)] = min(one)
+
+    for here, there in ((i, j), (j, i))[: 1 + (i != j)]:
+        held = np.flatnonzero((own == there) & ~open_)
         for row in np.flatnonzero((own == here) & open_):
-            if len(held):
-                score, may, sure = nearness(row, held)
-                if sure.any():
-                    yield row, held[score.argmax()]
-                else:
-                    yield from ((row, k) for k in held[may])
-            others = loose[loose > row] if i == j else loose
-            if not covered[row] and len(others):
-                _, may, sure = nearness(row, others)
-                yield from ((row, k) for k in others[may])
-                covered[others[sure]] = True
+            yield from edges(row, held)
+    loose = np.flatnonzero((own == j) & open_)
+    for row in np.flatnonzero((own == i) & open_):
+        others = loose[group[loose] != group[row]]
+        yield from edges(row, others[others > row] if i == j else others)
 
 
 def _further(rest: DataFrame, traits: DataFrame, near: Near, block: int) -> DataFrame:

@@ -494,3 +494,29 @@ def test_rest_of_a_bucket_joins_all_that_is_near(seed):
     held = [(a, b) for a in np.flatnonzero(~loose) for b in np.flatnonzero(~loose)]  # linked to the first centre
     near = [(a, b) for a in range(60) for b in range(60) if abs(place[a] - place[b]) <= 1]
     assert groups([*held, *pairs]) == groups([*held, *near])
+
+
+def test_rest_of_a_bucket_joins_chains():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    for trial in range(40):
+        # Unrelated rows, and chains in random order whose steps have a cosine of 0.9 to 0.97, two steps mostly below 0.9.
+        vectors = list(rng.normal(size=(10, 64)))
+        for _ in range(6):
+            now = rng.normal(size=64)
+            for _ in range(4):
+                step = rng.normal(size=64)
+                step -= now * (step @ now) / (now @ now)
+                share = rng.uniform(0.9, 0.97)
+                now = share * now / np.linalg.norm(now) + np.sqrt(1 - share**2) * step / np.linalg.norm(step)
+                vectors.append(now)
+        x = np.array(vectors)[rng.permutation(len(vectors))]
+        near = lattice.linked(x, x, 0.9)
+        loose, own = rng.random(len(x)) < 0.8, rng.integers(0, 1 + trial % 3, len(x))
+        nearness = lattice.alike(0.9)(pa.array(x.tolist(), pa.list_(pa.float64())), np.full(len(x), 64))
+        pairs = [p for i in range(3) for j in range(i, 3) for p in stars.candidates(loose, own, i, j, nearness)]
+        assert all(near[a, b] for a, b in pairs)
+        held = [(a, a) for a in range(len(x))] + [(a, b) for a in np.flatnonzero(~loose) for b in np.flatnonzero(~loose)]
+        links = [(a, b) for a, b in zip(*np.nonzero(near), strict=True) if loose[a] or loose[b]]
+        assert smallest_reachable([*held, *pairs]) == smallest_reachable([*held, *links])
