@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 OTHER = "other"
 ROUNDS, CLOSE = 500, 1e-9
+DUST = 1e-9  # what targets leave below this is a rounding error
 SEED = 3
 
 
@@ -76,10 +77,11 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: flo
     """Every row with n_tokens, weight (fitted over actual tokens), probability, draw and kept beside its own columns.
 
     ``targets`` gives a column's categories and their shares, for any number of columns; null and unlisted
-    categories are ``other``, with the share the targets leave, or in proportion to nothing if they leave none
-    (such documents are then not drawn). Tokens are words unless a column of counts is given. The draw depends on key and
+    categories are ``other``. Unless ``other`` has a target of its own, its share is what the targets leave; if they leave
+    nothing, it is its share of the corpus's tokens, and the listed categories share the rest as their targets say. Only a
+    target of 0 keeps documents out. Tokens are words unless a column of counts is given. The draw depends on key and
     seed; rows that share a key, a null key included, are drawn by a hash of their text as well, equal rows alike. Empty texts have no tokens and take
-    their cell's probability. No rows give no rows. Columns of the input named like those added are replaced.
+    their cell's probability, which is ``keep`` in a cell without any. No rows give no rows. Columns of the input named like those added are replaced.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     counted = docs.withColumn("n_tokens", F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")).cast("long") if tokens is None else tokens)
@@ -93,15 +95,23 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: flo
     table = np.zeros([len(x) for x in listed])
     for row in cells.collect():  # at most one row for each combination of listed categories
         table[tuple(listed[i].index(row[f"c{i}"]) for i in range(len(names)))] = row["n"] or 0
-    shares = []
-    for name, categories in zip(names, listed, strict=True):
+    shares, bare = [], table == 0  # bare: cells without tokens that no target keeps out
+    for axis, (name, categories) in enumerate(zip(names, listed, strict=True)):
         given = np.array([targets[name].get(c, 0.0) for c in categories], float)
+        wanted = given > 0
         if OTHER not in targets[name]:
-            given[-1] = max(0.0, 1.0 - given.sum())
+            wanted[-1] = True
+            given[-1] = 1.0 - given.sum()
+            if given[-1] < DUST:
+                have = table.sum(axis=tuple(i for i in range(table.ndim) if i != axis))
+                given[-1] = have[-1] / max(table.sum(), 1)
+                there = given[:-1] * (have[:-1] > 0)  # else the share of absent ones would go to other as well
+                given[:-1] = there * (1 - given[-1]) / max(there.sum(), DUST)
         shares.append(given)
+        bare &= wanted.reshape([-1 if i == axis else 1 for i in range(table.ndim)])
     fitted = rake(table, shares)
-    chance = probabilities(table, fitted, keep)
-    weight = np.divide(fitted * table.sum(), table, out=np.zeros_like(fitted), where=table > 0)
+    chance = np.where(bare, keep, probabilities(table, fitted, keep))
+    weight = np.divide(fitted * table.sum(), table, out=bare.astype(float), where=table > 0)
     rows = [
         (*(listed[i][k] for i, k in enumerate(at)), float(weight[at]), float(chance[at])) for at in np.ndindex(*table.shape)
     ]

@@ -186,6 +186,21 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixed(mixing.with_topic(empty), {"topic": {"prose": 1.0}}).count() == 0
 
 
+def test_mixing_keeps_what_has_no_target(spark):
+    rows = [(i, prose(i, 20), "en" if i % 3 else None, f"s{i % 4}") for i in range(4000)]
+    rows += [(4000 + i, "", "en", "s0") for i in range(400)]
+    df = mixing.with_topic(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    targets = {"lang": {"en": 1.0}, "source": {"s0": 0.1 + 0.2, "s1": 0.4, "s2": 0.3}, "topic": {"prose": 1.0}}
+    kept = [r for r in mixing.mixed(df, targets, keep=0.5).collect() if r["kept"]]
+    spoken = [r for r in kept if r["text"]]
+    assert 0.45 <= len(spoken) / 4000 <= 0.55
+    for name, value, share in (("lang", None, 1 / 3), ("source", "s3", 1 / 4), ("source", "s0", 0.3 * 3 / 4), ("source", "s1", 0.4 * 3 / 4)):
+        assert abs(sum(r[name] == value for r in spoken) / len(spoken) - share) < 0.04
+    assert 150 <= len(kept) - len(spoken) <= 250
+    out = mixing.mixed(df, {**targets, "lang": {"en": 1.0, "other": 0.0}}, keep=0.5).where("kept and lang is null")
+    assert out.count() == 0
+
+
 URLS = [None, "", "no scheme", "https://A.Example.COM/en/x?y#z", "http://www.example.com/en/1", "http://example.com", "http://example.com/en/",
         "x://b.net/es/1", "x://b.net/fr", "http://notcom/", "http://q.org/a/b?c=1&d=2", "http://h?://x/y", "HTTP://com/"]
 
