@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -28,15 +29,17 @@ class PieceTokenizer:
     A text is cut before each space and line feed that follows a character other than white space. The
     pre-tokenizers of the vocabularies in use never join across such a place (white space only opens a
     pre-token, never ends one that began with something else), so the ids of the text are those of its
-    pieces in a row. Texts with longer runs of white space are encoded whole. ``most`` bounds the pieces
-    remembered; beyond it they are forgotten and asked for again.
+    pieces in a row. Texts with longer runs of white space, and texts that hold the spelling of an added token,
+    which becomes that token, are encoded whole. ``most`` bounds the pieces remembered; beyond it they are
+    forgotten and asked for again.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)")
         self.mark = self.library.encode(MARK, add_special_tokens=False).ids
         self.most = most
         self.forget()
@@ -70,7 +73,7 @@ class PieceTokenizer:
         unsafe = self.open[codes]
         unsafe[ends - 1] = False
         odd = {int(i) for i in np.searchsorted(ends, np.flatnonzero(unsafe), side="right")}
-        odd |= {i for i, text in enumerate(texts) if "\0" in text}
+        odd |= {i for i, text in enumerate(texts) if "\0" in text or self.added.search(text)}
         for i in sorted(odd):
             found[i] = self.whole([texts[i]])[0]
         return found
@@ -84,6 +87,7 @@ class PieceTokenizer:
             new.append(key)
         new.reverse()
         together = [i for i, p in enumerate(new) if p[:1] in (" ", "\n") and "\x01" not in p and not p[-1].isspace()]
+        together = [i for i in together if not self.added.search(new[i])]
         ids: list = [None] * len(new)
         for first in range(0, len(together), GROUP):
             members = together[first : first + GROUP]

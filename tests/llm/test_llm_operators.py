@@ -286,6 +286,19 @@ def test_pieces_encode_as_whole_texts(texts, name):
             assert np.array_equal(a, b)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_spellings_of_added_tokens_encode_as_the_library_does(name):
+    from tokenizers import Tokenizer
+
+    path = f"{TOKENIZERS}/{name}"
+    own = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny  z <|startoftext|> it's", " <|endoftext|>  <|endoftext|>", "b y <|endof text|>"]
+    fresh, tokens = Tokenizer.from_file(path), PieceTokenizer(path)
+    for text, got in [*zip(own, tokens.encode(own)), *zip(own[::-1], tokens.encode(own[::-1]))]:
+        assert got.tolist() == fresh.encode(text, add_special_tokens=False).ids
+    if name.startswith("byte"):
+        assert tokens.encode(own[:1])[0].tolist() == [64, 220, 50256, 275]
+
+
 def test_variable_length_coding():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
