@@ -4,9 +4,10 @@ For each candidate string an encoding is inferred (the narrowest alphabet that h
 hypothesis "drawn uniformly from that alphabet" three tests give p-values: chi-squared of the character
 counts, number of runs above and below the alphabet's middle, and serial correlation of neighbours. A
 candidate fits randomness unless three times the smallest falls below ``FITS``. That alone would accept
-short strings, which no test can reject. So chi-squared is also held against what ordinary text of that
-length would give (its characters coincide more often, see ``COINCIDENCE``): the lower tail is a p-value
-for "spelled like text" that gets small only if the string is long enough to tell. A candidate is reported
+short strings, which no test can reject. So each string is also held against how the corpus spells: which
+character follows which in all its words of letters or of digits, shorter than any candidate. The chance of the
+string in that spelling over its chance in a uniform draw is a p-value for "spelled like text" (by Markov's
+inequality, as the inverse has the mean 1 there). A candidate is reported
 if that p-value survives Benjamini and Hochberg's control of false discoveries at ``RATE`` within its length
 class. All counts cover all documents; only DataFrame functions are used.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,22 +30,30 @@ BASE = (
     ("hex", r"[0-9a-f]{16,}", 16, 0),
 )
 RANDOM = "random"
-#: Token-like: 16 characters or more with a digit and a letter among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"
+#: Token-like: 16 characters or more with a digit or a letter among them.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+#: What the corpus's spelling is learnt from.
+WORD = r"(?<![A-Za-z0-9])(?:[A-Za-z]{1,15}|[0-9]{1,15})(?![A-Za-z0-9])"
 #: Encodings from the narrowest alphabet to the widest; the first that holds all characters is inferred.
 ENCODINGS = (
+    ("digits", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz"),
+    ("UPPER", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
-#: How often two characters of ordinary strings in the encoding are the same.
-COINCIDENCE = {"hex": 0.12, "HEX": 0.12, "base36": 0.0667, "BASE36": 0.0667, "base32": 0.0667}
-COINCIDENCE_ELSE = 0.06
+#: The characters of words; all others are one, the border of words.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+BORDER, BORDERS = len(LETTERS), 4
+#: Fixed value: the share of characters that follow none of the corpus's habits.
+FREE = 0.1
 FITS = 0.001
 RATE = 0.01
 STEPS = 400
@@ -112,7 +122,22 @@ def encoding_of(value: Column) -> Column:
     return found
 
 
-def battery(candidates: DataFrame) -> DataFrame:
+def spelling(texts: DataFrame) -> np.ndarray:
+    """Logarithms of the chance of each character (column) after each (row), from all words of ``text``."""
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").count()
+    pairs = F.expr("transform(sequence(1, length(word) + 1), i -> substring(concat(' ', word, ' '), i, 2))")
+    held = words.select(F.explode(pairs).alias("pair"), "count").groupBy("pair").agg(F.sum("count").alias("n"))
+    times = np.zeros((BORDER + 1, BORDER + 1))
+    for pair, n in held.collect():  # at most one row for each two characters
+        times[tuple(LETTERS.index(c) if c != " " else BORDER for c in pair)] = n
+    single = (times.sum(axis=0) + 1) / (times.sum() + BORDER + 1)
+    habit = (times + single) / (times.sum(axis=1, keepdims=True) + 1)
+    chance = (1 - FREE) * habit + FREE * (single + 1 / (BORDER + 1)) / 2
+    chance[:, BORDER] /= BORDERS
+    return np.log(chance)
+
+
+def battery(candidates: DataFrame, spelt: np.ndarray) -> DataFrame:
     """Adds encoding, length and p-values (uniform, runs, serial, text) of ``bare``, the value without padding."""
     rows = candidates.withColumn("found", encoding_of(F.col("bare"))).select(
         "*", F.col("found.encoding").alias("encoding"), F.col("found.alphabet").alias("alphabet")
@@ -123,15 +148,17 @@ def battery(candidates: DataFrame) -> DataFrame:
     counts = F.expr(
         "aggregate(array_distinct(codes), 0D, (s, c) -> s + power(cast(size(filter(codes, x -> x = c)) as double), 2D))"
     )
-    same = F.lit(COINCIDENCE_ELSE)
-    for name, value in COINCIDENCE.items():
-        same = F.when(F.col("encoding") == name, value).otherwise(same)
     chi = counts * k / F.col("n") - F.col("n")
     # Wilson and Hilferty: the cube root of chi-squared over its degrees of freedom is close to normal.
     freedom = k - 1
     z_uniform = (F.cbrt(F.greatest(chi, F.lit(0.0)) / freedom) - (1 - 2 / (9 * freedom))) / F.sqrt(2 / (9 * freedom))
-    excess = F.col("n") * (k * same - 1)
-    z_text = (chi - (freedom + excess)) / F.sqrt(2 * freedom + 4 * excess)
+    # One constant; an array of literals would make a plan of thousands of nodes.
+    logs = F.split(F.lit(",".join(f"{x:.6f}" for x in spelt.ravel())), ",").cast("array<double>")
+    places = F.expr(f"transform(filter(split(bare, ''), c -> length(c) > 0), c -> (locate(c, '{LETTERS}') + {BORDER}) % {BORDER + 1})")
+    rows = rows.withColumn("places", F.concat(F.array(F.lit(BORDER)), places))
+    steps = F.transform("places", lambda x, i: F.when(i > 0, F.get("places", i - 1) * (BORDER + 1) + x))
+    text = F.aggregate(F.slice(steps, 2, F.size("places")), F.lit(0.0), lambda total, x: total + F.get(logs, x))
+    p_text = F.exp(F.least(F.lit(0.0), text + F.col("n") * F.log(k)))
     above = F.expr("aggregate(codes, 0D, (s, c) -> s + if(c * 2 >= length(alphabet), 1D, 0D))")
     runs = F.expr(
         "1D + aggregate(sequence(1, cast(n as int) - 1), 0D, (s, i) -> s + if("
@@ -148,10 +175,10 @@ def battery(candidates: DataFrame) -> DataFrame:
     )
     z_serial = F.when(F.col("variance") > 0, (F.col("lagged") / F.col("variance") + 1 / F.col("n")) * F.sqrt("n"))
     return (
-        rows.withColumns({"above": above, "runs": runs, "centre": centre, "p_uniform": tail(z_uniform), "p_text": tail(-z_text)})
+        rows.withColumns({"above": above, "runs": runs, "centre": centre, "p_uniform": tail(z_uniform), "p_text": p_text})
         .withColumns({"variance": variance, "lagged": lagged, "p_runs": two_sided(z_runs)})
         .withColumn("p_serial", two_sided(F.coalesce(z_serial, F.sqrt("n"))))
-        .drop("found", "alphabet", "codes", "above", "runs", "centre", "variance", "lagged")
+        .drop("found", "alphabet", "codes", "places", "above", "runs", "centre", "variance", "lagged")
     )
 
 
@@ -186,7 +213,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     first = settle(first.drop("text"), "secret-spans")
     apart = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["begin"] < c["stop"]) & (c["begin"] < b["stop"])))
     candidates = first.where(F.size("candidates") > 0).select("row", F.explode(apart).alias("span"))
-    tested = battery(candidates.withColumn("bare", F.rtrim(F.col("span.value"), F.lit("="))))
+    tested = battery(candidates.withColumn("bare", F.rtrim(F.col("span.value"), F.lit("="))), spelling(rows))
     fits = 3 * F.least("p_uniform", "p_runs", "p_serial") >= FITS
     found = discoveries(settle(tested, "token-tests")).where(fits)
     found = found.groupBy("row").agg(F.collect_list("span").alias("found"))

@@ -277,6 +277,29 @@ def test_secrets_found_by_tests_and_replaced(spark):
     assert clean[i].endswith(" [secret] end") and clean[i].startswith("é ")
 
 
+def test_rare_secrets_of_all_encodings_are_found(spark):
+    rnd = random.Random(6)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = {**dict(secrets.ENCODINGS), "lower": lower, "letters": lower + lower.upper()}
+    kinds = [("HEX", 16), ("HEX", 32), ("HEX", 40), ("base32", 20), ("base36", 24), ("base36", 32), ("base64", 20), ("base64", 32), ("lower", 32), ("letters", 24)]
+    planted = {}
+    for name, length in kinds:
+        for _ in range(4):
+            planted[len(planted)] = (name, length, "".join(rnd.choice(alphabets[name]) for _ in range(length)))
+    rows = [(i, f"{prose(i, 9)} {value} end") for i, (_, _, value) in planted.items()]
+    word = lambda: prose(rnd.random(), 1) + prose(rnd.random(), 1)
+    for i in range(40_000):  # 1 secret in 1000
+        slug = (f"{word()}-{word()}-{word()}-{i}", f"{word()}_{i % 97}_{word()}/{word()}", f"2024-0{i % 9 + 1}-{i % 28 + 10}/{word()}{i}{word()}", word() + word() + word())
+        rows.append((1000 + i, f"{prose(i, 4)} {slug[i % 4]} in 2024 of {i % 1000}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["key"]: r["spans"] for r in secrets.report(secrets.scan(df)).collect()}
+    recall = Counter(planted[i][:2] for i in planted if "random" in got[i])
+    wrong = [rows[len(planted) + i - 1000][1] for i in got if i >= 1000 and "random" in got[i]]
+    print({k: recall[k] / 4 for k in kinds}, len(wrong), wrong[:5])
+    assert sum(recall.values()) >= 0.9 * len(planted) and all(recall[k] >= 3 for k in kinds)
+    assert len(wrong) <= 2
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_encode_as_whole_texts(texts, name):
     tokens = PieceTokenizer(f"{TOKENIZERS}/{name}", most=50)
