@@ -9,9 +9,17 @@ from pyspark.sql import types as T
 from gridsense.functions.literals import NUMBER_PATTERN
 
 WHITE_SPACE = " \t\n\r\f\v"
-ISO_DATE = r"^\s*\d{4}[-/]\d{1,2}"
+ISO_DATE = r"^\s*\d{4}([-/]\d{1,2}|\.\d{1,2}\.\d{1,2}\b)"
+DOTTED_DATE = r"^(\s*\d{4})\.(\d{1,2})\.(\d{1,2})\b"
 NUMERIC_DATE = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\b"
-WORDED_DATE = r"(?i)^\s*(\d{1,2}[ -][a-z]{3,9}[ ,-]+\d{4}|[a-z]{3,9} \d{1,2},? \d{4})\s*$"
+_DAY_AND_MONTH = r"^(\s*(?:\d{1,2}[/-]\d{1,2}[/-]|\d{2}\.\d{2}\.))"
+#: Two-digit years are 1969 to 2068.
+THIS_CENTURY, LAST_CENTURY = (_DAY_AND_MONTH + years + r"(?=\s|$)" for years in (r"([0-5]\d|6[0-8])", r"(69|[7-9]\d)"))
+WORDED_DATE = r"(?i)^\s*(\d{1,2}[ -][a-z]{3,9}[ ,-]+\d{4}|[a-z]{3,9} \d{1,2},? \d{4}|[a-z]{3,9}[ ,-]+\d{4})\s*$"
+HALF_DAY = r"(?i)^(.*\d)[\sT,]+(0?[1-9]|1[0-2])((?::\d{2}){1,2}(?:\.\d+)?)\s*[ap]\.?m\.?\s*$"
+HALF_DAY_HOUR = r"(?i)^(.*\d)[\sT,]+(0?[1-9]|1[0-2])\s*[ap]\.?m\.?\s*$"
+AFTERNOON = r"(?i)[\sT,](0?[1-9]|1[01])(:[\d.:]+)?\s*p\.?m\.?\s*$"
+AFTER_MIDNIGHT = r"(?i)[\sT,]12(:[\d.:]+)?\s*a\.?m\.?\s*$"
 
 # Whole numbers in this range may be calendar days written YYYYMMDD.
 FIRST_DAY_NUMBER, LAST_DAY_NUMBER = 19000101, 21001231
@@ -66,26 +74,37 @@ def time_from_text(column: Column) -> Column:
     Year-first spellings are unambiguous. The rest is day-first, and month-first only
     where the day-first reading is impossible (12/25/2023). Numeric spellings are turned
     year-first, because reading those needs no format pattern. Words without a digit are
-    passed over first.
+    passed over first. Two-digit years are 1969 to 2068, times may be AM or PM, and a month
+    with a year alone is its first day.
     """
+    given = column
+    for spelling, plain in (
+        (HALF_DAY, "$1 $2$3"), (HALF_DAY_HOUR, "$1 $2:00"), (THIS_CENTURY, "$120$2"), (LAST_CENTURY, "$119$2")
+    ):
+        column = F.regexp_replace(column, spelling, plain)  # there is no group 12 or 11, so the digits stand for themselves
+    hours = F.when(given.rlike(AFTERNOON), 12).when(given.rlike(AFTER_MIDNIGHT), -12).otherwise(0)
     day_first = F.regexp_replace(column, NUMERIC_DATE, "$3-$2-$1")
     month_first = F.regexp_replace(column, NUMERIC_DATE, "$3-$1-$2")
     worded = F.trim(F.regexp_replace(column, r"[\s,-]+", " "))
     named = F.coalesce(
         *(
             F.try_to_date(worded, layout)
-            for layout in ("d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")
+            for layout in ("d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM yyyy", "MMMM yyyy")
         )
     )
-    return (
-        F.when(~column.rlike(r"\d"), F.lit(None).cast("timestamp_ntz"))
-        .when(column.rlike(ISO_DATE), F.translate(column, "/", "-").try_cast("timestamp_ntz"))
+    moment = (
+        F.when(~given.rlike(r"\d"), F.lit(None).cast("timestamp_ntz"))
+        .when(
+            column.rlike(ISO_DATE),
+            F.translate(F.regexp_replace(column, DOTTED_DATE, "$1-$2-$3"), "/", "-").try_cast("timestamp_ntz"),
+        )
         .when(
             column.rlike(NUMERIC_DATE),
             F.coalesce(day_first.try_cast("timestamp_ntz"), month_first.try_cast("timestamp_ntz")),
         )
         .when(column.rlike(WORDED_DATE), named.cast("timestamp_ntz"))
     )
+    return moment + F.make_dt_interval(F.lit(0), hours)
 
 
 def time_from_day_number(column: Column) -> Column:

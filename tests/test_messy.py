@@ -100,3 +100,18 @@ def test_names_with_any_sign(ask):
     ]
     found = ask(schema, rows, {"operation": "value_counts", "columns": ["a.b"], "filters": {"a.b": "X"}})
     assert found == [{"column": "a.b", "value": "x", "count": 2}]
+
+
+def test_dates_with_short_years_half_days_dots_and_months_alone(frame):
+    from gridsense.functions.coerce import time_from_text
+
+    wanted = {
+        "1/2/23": "2023-02-01 00:00:00", "12/25/23": "2023-12-25 00:00:00", "1-2-99": "1999-02-01 00:00:00", "01.02.23": "2023-02-01 00:00:00",
+        "01/02/2023 3:00 PM": "2023-02-01 15:00:00", "1/2/23 12:05:09 am": "2023-02-01 00:05:09", "2023-01-05 12 p.m.": "2023-01-05 12:00:00",
+        "2023.01.05": "2023-01-05 00:00:00", "2023.1.5 10:30:00": "2023-01-05 10:30:00", "January 2023": "2023-01-01 00:00:00", "feb 2023": "2023-02-01 00:00:00",
+        "2023-01-05 10:30:00": "2023-01-05 10:30:00", "05/01/2023": "2023-01-05 00:00:00", "5 Jan 2023": "2023-01-05 00:00:00",
+        "01/02/2023 13:00 PM": None, "45/45/23": None, "1.2.33": None, "2023.5": None, "room 2023 B": None, "April": None,
+    }
+    df = frame("t string", list(wanted))
+    got = {r["t"]: r["at"] for r in df.select("t", time_from_text(df["t"]).cast("string").alias("at")).collect()}
+    assert got == wanted
