@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 from gridsense.functions.names import field
 from gridsense.sources.storage import scratch_path
 
-TOKENIZERS = os.environ.get("GRIDSENSE_TOKENIZERS", "/opt/tokenizers")
 BATCH_BYTES = 4_000_000
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsense.llm import divergence, lattice, licenses, minhash, mixing, packing, quality, secrets, shards, token_files, urls
-from gridsense.llm.base import TOKENIZERS, table
+from gridsense.llm import alignment, divergence, lattice, licenses, minhash, mixing, packing, quality, secrets, shards, token_files, urls
+from gridsense.llm.base import table
 
-BYTE_VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
-WORD_VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,11 +78,15 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORD_VOCABULARY).withColumnRenamed("key", "doc_id")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), BYTE_VOCABULARY, PIECE_MODEL).withColumnRenamed("key", "doc_id")
+
+
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_embedding_near_duplicates, op3_mixing, op4_url_filter, op5_secret_scan, op6_token_files, op7_sharding, op8_quality_rules, op9_near_duplicates, op10_packing, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_embedding_near_duplicates, op3_mixing, op4_url_filter, op5_secret_scan, op6_token_files, op7_sharding, op8_quality_rules, op9_near_duplicates, op10_packing, op12_tokenizer_alignment, op13_source_divergence)}
 
 #: Operator 13 in plain SQL: every term of every document.
 DIVERGENCE_SQL = r"""

@@ -7,10 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from gridsense.llm import lattice, licenses, minhash, mixing, packing, quality, secrets, shards, stars, token_files, urls
-from gridsense.llm.base import TOKENIZERS
 from gridsense.llm.boosting import fit
 from gridsense.llm.components import components
 from gridsense.llm.queries import QUERIES, URL_RULES
@@ -302,7 +302,7 @@ def test_rare_secrets_of_all_encodings_are_found(spark):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_encode_as_whole_texts(texts, name):
-    tokens = PieceTokenizer(f"{TOKENIZERS}/{name}", most=50)
+    tokens = PieceTokenizer(public_tokenizers.path(name), most=50)
     own = [t or "" for t in texts]
     for _ in range(2):
         for a, b in zip(tokens.encode(own), tokens.whole(own), strict=True):
@@ -313,7 +313,7 @@ def test_pieces_encode_as_whole_texts(texts, name):
 def test_spellings_of_added_tokens_encode_as_the_library_does(name):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/{name}"
+    path = public_tokenizers.path(name)
     own = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny  z <|startoftext|> it's", " <|endoftext|>  <|endoftext|>", "b y <|endof text|>"]
     fresh, tokens = Tokenizer.from_file(path), PieceTokenizer(path)
     for text, got in [*zip(own, tokens.encode(own)), *zip(own[::-1], tokens.encode(own[::-1]))]:
@@ -334,7 +334,7 @@ def test_variable_length_coding():
 
 
 def test_token_files(docs, empty):
-    vocabulary = f"{TOKENIZERS}/byte_bpe_50k.json"
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     tokens = PieceTokenizer(vocabulary)
     got = sorted(token_files.token_digests(docs, vocabulary).collect(), key=lambda r: r["start"])
     keys = [r["key"] for r in got]
@@ -458,7 +458,7 @@ def test_signatures_agree_as_often_as_sets_overlap():
 
 
 def test_packing(docs, empty):
-    vocabulary = f"{TOKENIZERS}/word_bpe_49k.json"
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
     tokens, capacity = PieceTokenizer(vocabulary), 256
     rows = packing.pack(docs, vocabulary, capacity=capacity).collect()
     layout = {}
