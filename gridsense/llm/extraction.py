@@ -60,8 +60,10 @@ SCORES = {
     "header": -600, "fieldset": -600, "article": 400, "main": 300, "noise": -800, "layout": -800, "content": 200,
 }
 MOST_SUPPORT = 400
-BIAS, PARAGRAPH, HEADING, PER_DOUBLING, SENTENCE, LINKED, NOISY, OUTSIDE = -50, 100, 60, 25, 50, 500, 250, 300
+BIAS, PARAGRAPH, HEADING, PER_DOUBLING, SENTENCE, LINKED, NOISY, OUTSIDE = -50, 100, 60, 25, 50, 500, 450, 300
 NEXT, SIBLING, ACROSS = 150, 100, 30
+#: Elements nested deeper than this become siblings, as in browsers; their text stays.
+MOST_DEPTH = 512
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
@@ -209,6 +211,8 @@ def read(html: str) -> tuple[list[TextBlock], list[Element]]:
                         break
             if last is not None:
                 pop_to(last)
+        if len(stack) > MOST_DEPTH:
+            pop_to(MOST_DEPTH)
         element = Element(tag, stack[-1])
         if tag in BLOCKS or rest:
             hints(element, rest)

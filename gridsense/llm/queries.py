@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsense.llm import alignment, divergence, lattice, licenses, minhash, mixing, packing, quality, secrets, shards, token_files, urls
+from gridsense.llm import alignment, divergence, extraction, lattice, licenses, minhash, mixing, packing, quality, secrets, shards, token_files, urls
 from gridsense.llm.base import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,6 +78,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORD_VOCABULARY).withColumnRenamed("key", "doc_id")
 
 
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract(table(spark, folder, "pages")).withColumnRenamed("key", "page_id")
+
+
 def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(table(spark, folder, "documents"), BYTE_VOCABULARY, PIECE_MODEL).withColumnRenamed("key", "doc_id")
 
@@ -86,7 +90,7 @@ def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_embedding_near_duplicates, op3_mixing, op4_url_filter, op5_secret_scan, op6_token_files, op7_sharding, op8_quality_rules, op9_near_duplicates, op10_packing, op12_tokenizer_alignment, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_embedding_near_duplicates, op3_mixing, op4_url_filter, op5_secret_scan, op6_token_files, op7_sharding, op8_quality_rules, op9_near_duplicates, op10_packing, op11_html_extraction, op12_tokenizer_alignment, op13_source_divergence)}
 
 #: Operator 13 in plain SQL: every term of every document.
 DIVERGENCE_SQL = r"""
