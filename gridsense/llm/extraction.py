@@ -68,6 +68,7 @@ MOST_DEPTH = 512
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
 )
+UNENDED = re.compile(r"<[!?/a-zA-Z]")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
@@ -220,7 +221,7 @@ def read(html: str) -> tuple[list[TextBlock], list[Element]]:
         open_[tag] += 1
         elements.append(element)
     if at < len(html):
-        add(html[at:])
+        add(UNENDED.split(html[at:], maxsplit=1)[0])
     finish()
     return blocks, elements
 
