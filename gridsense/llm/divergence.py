@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsense.llm.base import columns, settle, slices, text_of
+from gridsense.llm.token_files import from_planes, planes
 from gridsense.llm.words import mixed
 
 FIRST_WIDTH = 4
@@ -32,12 +33,13 @@ CELLS = 1 << 20
 #: Letters A-Z count as a-z; a-z and all bytes of characters beyond ASCII belong to terms, the rest parts them.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-HELD = "lang binary, source binary, terms array<binary>, counts array<int>"
+BLOCKS = "langs array<binary>, sources array<binary>, lang_of binary, source_of binary, terms binary, sizes binary, codes binary, counts binary"
 FOUND = "lang binary, source binary, part string, item binary, value long"
+MOST_ROWS = 400_000
 
 
-def _digests(values: pa.Array) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, values.to_pylist()), np.uint64, len(values))
+def _digests(values: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, values), np.uint64, len(values))
 
 
 def _coded(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -46,12 +48,49 @@ def _coded(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return held.dictionary, held.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _spots(langs: pa.Array, which: np.ndarray, prefixes: pa.Array, at: np.ndarray, bits: int) -> np.ndarray:
+def _packed(numbers: np.ndarray) -> bytes:
+    return planes(numbers.astype(np.uint32)) if len(numbers) else b""
+
+
+class _Block:
+    """The distinct terms of a block of documents, ascending, and each document's terms as numbers with their counts."""
+
+    def __init__(self, row: dict):
+        self.langs, self.sources = row["langs"], row["sources"]
+        self.lang_of, self.source_of, sizes = (np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("lang_of", "source_of", "sizes"))
+        self.terms = row["terms"].split(b" ") if row["terms"] else []
+        held = int(sizes.sum())
+        self.codes, self.counts = (from_planes(row[c], held).astype(np.int64) if held else np.zeros(0, np.int64) for c in ("codes", "counts"))
+        self.document = np.repeat(np.arange(len(sizes)), sizes)
+        self.lang = self.lang_of[self.document]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The (language, term) numbers that occur, and for each occurrence which of them it is."""
+        return np.unique(self.lang * max(len(self.terms), 1) + self.codes, return_inverse=True)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield _Block(batch.slice(i, 1).to_pylist()[0])
+
+
+def _spots(langs: list[bytes], which: np.ndarray, prefixes: list[bytes], at: np.ndarray, bits: int) -> np.ndarray:
     """The filter's bit of each (language, prefix), both given as numbers of distinct values."""
     pair = mixed(_digests(langs))[which] ^ _digests(prefixes)[at]
     return (mixed(pair) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def _identities(langs: list[bytes], which: np.ndarray, terms: list[bytes], at: np.ndarray) -> list[np.ndarray]:
+    """128 bits for each (language, term), as two numbers."""
+    found = []
+    for seed in (1, 2):
+        lang = np.fromiter((xxhash.xxh3_64_intdigest(v, seed) for v in langs), np.uint64, len(langs))
+        term = np.fromiter((xxhash.xxh3_64_intdigest(v, seed) for v in terms), np.uint64, len(terms))
+        found.append(mixed(mixed(lang)[which] ^ term[at]).view(np.int64))
+    return found
+
+
 class _Filter:
     """Which (language, prefix) pairs may go on; a set bit is no proof."""
 
@@ -60,7 +99,8 @@ class _Filter:
         self.held = np.zeros(bits // 64, np.uint64)
         self.held[words] = marks.astype(np.int64).view(np.uint64)
 
-    def passes(self, spots: np.ndarray) -> np.ndarray:
+    def passes(self, langs: list[bytes], which: np.ndarray, prefixes: list[bytes], at: np.ndarray) -> np.ndarray:
+        spots = _spots(langs, which, prefixes, at, self.bits)
         return (self.held[spots >> 6] >> (spots & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
@@ -70,7 +110,7 @@ def _filter_of(kept: DataFrame, bits: int) -> _Filter:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, which = _coded(batch.column("lang"))
-            spots = _spots(langs, which, batch.column("term"), np.arange(batch.num_rows), bits)
+            spots = _spots(langs.to_pylist(), which, batch.column("term").to_pylist(), np.arange(batch.num_rows), bits)
             words, place = np.unique(spots >> 6, return_inverse=True)
             marks = np.zeros(len(words), np.uint64)
             np.bitwise_or.at(marks, place, np.uint64(1) << (spots & 63).astype(np.uint64))
@@ -82,74 +122,109 @@ def _filter_of(kept: DataFrame, bits: int) -> _Filter:
 
 
 def term_table(docs: DataFrame) -> DataFrame:
-    """Settle each document's distinct terms and their counts, from ``(lang, source, text)`` as bytes."""
+    """Settle blocks of documents by their terms, from ``(lang, source, text)`` as bytes."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = pa.array([t.translate(TERM_BYTES) for t in batch.column("text").to_pylist()], pa.large_binary())
             words = pc.ascii_split_whitespace(texts.view(pa.large_utf8()))
-            flat = words.flatten().view(pa.large_binary())
             which = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
-            some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
-            values, codes = _coded(flat)
-            pairs, counts = np.unique(which[some] * len(values) + codes[some], return_counts=True)
-            starts = np.searchsorted(pairs, np.arange(batch.num_rows + 1) * max(len(values), 1))
-            starts = pa.array(starts, pa.int32())
-            terms = values.cast(pa.binary()).take(pa.array(pairs % max(len(values), 1)))
+            values, codes = _coded(words.flatten().view(pa.large_binary()))
+            terms = np.array(values.to_pylist(), object)
+            order = np.argsort(terms, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            terms = terms[order].tolist()
+            span = max(len(terms), 1)
+            pairs, counts = np.unique(which * span + rank[codes], return_counts=True)
+            some = np.ones(len(pairs), bool)
+            if terms and not terms[0]:  # what lies between two blanks is no term
+                some = pairs % span > 0
+            pairs, counts = pairs[some], counts[some]
+            codes = pairs % span - (bool(terms) and not terms[0])
+            langs, lang_of = _coded(batch.column("lang"))
+            sources, source_of = _coded(batch.column("source"))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("lang"),
-                    batch.column("source"),
-                    pa.ListArray.from_arrays(starts, terms),
-                    pa.ListArray.from_arrays(starts, pa.array(counts, pa.int32())),
+                    pa.array([langs.to_pylist()], pa.list_(pa.binary())),
+                    pa.array([sources.to_pylist()], pa.list_(pa.binary())),
+                    pa.array([lang_of.astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([source_of.astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([b" ".join(t for t in terms if t)], pa.binary()),
+                    pa.array([np.bincount(pairs // span, minlength=batch.num_rows).astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([_packed(codes)], pa.binary()),
+                    pa.array([_packed(counts)], pa.binary()),
                 ],
-                ["lang", "source", "terms", "counts"],
+                [part.split()[0] for part in BLOCKS.split(", ")],
             )
 
-    return settle(docs.mapInArrow(split, HELD), "terms")
+    return settle(docs.mapInArrow(split, BLOCKS), "terms")
 
 
-def _occurrences(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Languages with each document's number, distinct terms with each occurrence's number, and its document."""
-    langs, lang_of = _coded(batch.column("lang"))
-    lists = batch.column("terms")
-    values, codes = _coded(lists.flatten())
-    return langs, lang_of, values, codes, pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+def _summed(tables: Iterator[pa.Table], total: str, most: int = MOST_ROWS) -> Iterator[pa.RecordBatch]:
+    """Add up the rows of a task that agree in all other columns, holding about ``most`` rows at a time."""
+    held, size = [], 0
 
+    def added() -> pa.Table:
+        rows = pa.concat_tables(held)
+        names = rows.column_names
+        keys = [c for c in names if c != total]
+        found = rows.group_by(keys, use_threads=False).aggregate([(total, "sum")])
+        return found.rename_columns([*keys, total] if found.column_names[-1].endswith("_sum") else [total, *keys]).select(names)
 
-def prefix_counts(terms: DataFrame, before: int, width: int, open_: _Filter | None) -> DataFrame:
+    for rows in tables:
+        held.append(rows)
+        size += rows.num_rows
+        if size > most:
+            held = [added()]
+            size = held[0].num_rows
+            if 2 * size > most:
+                yield from held[0].combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from added().combine_chunks().to_batches()
+
+
+def prefix_counts(blocks: DataFrame, before: int, width: int, open_: _Filter | None) -> DataFrame:
     """``(lang, term, docs)`` of prefixes of ``width`` bytes and of whole terms shorter than that.
 
-    Terms that were whole at the level ``before`` are passed over, as are those whose prefix there was dropped.
+    Terms that were whole at the level ``before`` are passed over, as are those whose prefix there was dropped. Within a document
+    terms ascend, so equal prefixes stand together and are counted once.
     """
 
+    def counted(block: _Block) -> pa.Table:
+        going = np.array([len(t) >= before for t in block.terms], bool)
+        codes = block.codes
+        if open_ is None:
+            allowed = going[codes]
+        else:
+            pairs, place = block.pairs()
+            span = max(len(block.terms), 1)
+            passing = going[pairs % span]
+            heads, head = _coded(pa.array([t[:before] for t in block.terms], pa.binary()))
+            some = pairs[passing]
+            passing[passing] = open_.passes(block.langs, some // span, heads.to_pylist(), head[some % span])
+            allowed = passing[place]
+        prefixes, prefix = _coded(pa.array([t[:width] for t in block.terms], pa.binary()))
+        which, own, lang = block.document[allowed], prefix[codes[allowed]], block.lang[allowed]
+        new = np.ones(len(which), bool)
+        new[1:] = (which[1:] != which[:-1]) | (own[1:] != own[:-1])
+        pairs, docs = np.unique(lang[new] * max(len(prefixes), 1) + own[new], return_counts=True)
+        langs = pa.array(block.langs, pa.binary()).take(pa.array(pairs // max(len(prefixes), 1)))
+        return pa.table({"lang": langs, "term": prefixes.take(pa.array(pairs % max(len(prefixes), 1))), "docs": pa.array(docs, pa.int64())})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, lang_of, values, codes, which = _occurrences(batch)
-            going = pc.binary_length(values).to_numpy(zero_copy_only=False)[codes] >= before
-            codes, which = codes[going], which[going]
-            if open_ is not None:
-                heads, head = _coded(pc.binary_slice(values, 0, before))
-                going = open_.passes(_spots(langs, lang_of[which], heads, head[codes], open_.bits))
-                codes, which = codes[going], which[going]
-            prefixes, prefix = _coded(pc.binary_slice(values, 0, width))
-            span = max(len(prefixes), 1)
-            once = np.unique(which * span + prefix[codes])
-            pairs, docs = np.unique(lang_of[once // span] * span + once % span, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [langs.take(pa.array(pairs // span)), prefixes.take(pa.array(pairs % span)), pa.array(docs, pa.int64())],
-                ["lang", "term", "docs"],
-            )
+        yield from _summed(map(counted, _blocks(batches)), "docs")
 
-    found = terms.select("lang", "terms").mapInArrow(count, "lang binary, term binary, docs long")
+    found = blocks.mapInArrow(count, "lang binary, term binary, docs long")
     return found.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
 
-def kept_terms(terms: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFrame:
+def kept_terms(blocks: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFrame:
     """``(lang, term, docs)`` of all terms that at least ``least`` documents of their language hold."""
     whole, before, width, open_ = [], 0, FIRST_WIDTH, None
     while True:
-        level = settle(prefix_counts(terms, before, width, open_).where(F.col("docs") >= least), "prefixes")
+        level = settle(prefix_counts(blocks, before, width, open_).where(F.col("docs") >= least), "prefixes")
         whole.append(level.where(F.octet_length("term") < width))
         longer = level.where(F.octet_length("term") == width)
         if longer.isEmpty():
@@ -157,36 +232,55 @@ def kept_terms(terms: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFra
         before, width, open_ = width, 2 * width, _filter_of(longer, bits)
 
 
-def kept_counts(terms: DataFrame, kept: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Settle ``(lang, source, term, n)``: occurrences of kept terms by group."""
+def group_table(blocks: DataFrame) -> DataFrame:
+    """``(lang, source, number)`` of every group that occurs; the number identifies the source."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            groups = np.unique(block.lang_of * len(block.sources) + block.source_of)
+            langs = pa.array(block.langs, pa.binary()).take(pa.array(groups // max(len(block.sources), 1)))
+            sources = [block.sources[i] for i in (groups % max(len(block.sources), 1)).tolist()]
+            numbers = pa.array(_digests(sources).view(np.int64))
+            yield pa.RecordBatch.from_arrays([langs, pa.array(sources, pa.binary()), numbers], ["lang", "source", "number"])
+
+    return blocks.mapInArrow(named, "lang binary, source binary, number long").distinct()
+
+
+def kept_counts(blocks: DataFrame, kept: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Settle ``(lang, term, source, n)``: occurrences of kept terms by group, the source by its number.
+
+    Terms are shuffled by 128 bits in place of their spelling.
+    """
     may = _filter_of(kept, bits)
 
+    def counted(block: _Block) -> pa.Table:
+        pairs, place = block.pairs()
+        span, sources = max(len(block.terms), 1), max(len(block.sources), 1)
+        passing = may.passes(block.langs, pairs // span, block.terms, pairs % span)
+        allowed = passing[place]
+        own = place[allowed] * sources + block.source_of[block.document[allowed]]
+        groups, at = np.unique(own, return_inverse=True)
+        n = np.bincount(at, block.counts[allowed], len(groups)).astype(np.int64)
+        found = pairs[groups // sources]
+        one, two = _identities(block.langs, found // span, block.terms, found % span)
+        source = _digests(block.sources).view(np.int64)[groups % sources]
+        return pa.table({"one": one, "two": two, "source": source, "n": n})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _summed(map(counted, _blocks(batches)), "n")
+
+    def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, lang_of, values, codes, which = _occurrences(batch)
-            sources, source_of = _coded(batch.column("source"))
-            times = batch.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            going = may.passes(_spots(langs, lang_of[which], values, codes, may.bits))
-            codes, which, times = codes[going], which[going], times[going]
-            groups, group_of = np.unique(lang_of * len(sources) + source_of, return_inverse=True)
-            span = max(len(values), 1)
-            pairs, place = np.unique(group_of[which] * span + codes, return_inverse=True)
-            n = np.zeros(len(pairs), np.int64)
-            np.add.at(n, place, times)
-            group = groups[pairs // span] if len(pairs) else pairs
+            langs, which = _coded(batch.column("lang"))
+            found = _identities(langs.to_pylist(), which, batch.column("term").to_pylist(), np.arange(batch.num_rows))
             yield pa.RecordBatch.from_arrays(
-                [
-                    langs.take(pa.array(group // max(len(sources), 1))),
-                    sources.take(pa.array(group % max(len(sources), 1))),
-                    values.take(pa.array(pairs % span)),
-                    pa.array(n),
-                ],
-                ["lang", "source", "term", "n"],
+                [batch.column("lang"), batch.column("term"), *map(pa.array, found)], ["lang", "term", "one", "two"]
             )
 
-    found = terms.mapInArrow(count, "lang binary, source binary, term binary, n long")
-    counted = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return settle(counted.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n"), "counts")
+    counts = blocks.mapInArrow(count, "one long, two long, source long, n long")
+    counts = counts.groupBy("one", "two", "source").agg(F.sum("n").alias("n"))
+    named = kept.select("lang", "term").mapInArrow(identify, "lang binary, term binary, one long, two long")
+    return settle(counts.join(named, ["one", "two"]).select("lang", "term", "source", "n"), "counts")
 
 
 def shares(n: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -201,8 +295,8 @@ class _Groups:
     """The groups of one language: their names, and occurrences and number of kept terms."""
 
     def __init__(self, rows: pa.Table):
-        self.sources = rows["source"].to_pylist()
-        self.numbers = {name: i for i, name in enumerate(self.sources)}
+        self.sources = rows["name"].to_pylist()
+        self.numbers = {number: i for i, number in enumerate(rows["source"].to_pylist())}
         self.held = rows["n"].to_numpy()
         self.kept = rows["kept"][0].as_py()
 
@@ -263,10 +357,10 @@ def _compared(counts: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     """
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = counts.select(
-        F.pmod(F.xxhash64("lang", "term"), F.lit(parts)).cast("int").alias("deal"), "lang", "term", "source", "n", F.lit(None).cast("long").alias("kept")
+        F.pmod(F.xxhash64("lang", "term"), F.lit(parts)).cast("int").alias("deal"), "lang", "term", "source", "n", F.lit(None).cast("binary").alias("name"), F.lit(None).cast("long").alias("kept")
     )
     beside = groups.select(
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("deal"), "lang", F.lit(None).cast("binary").alias("term"), "source", "n", "kept"
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("deal"), "lang", F.lit(None).cast("binary").alias("term"), F.col("number").alias("source"), "n", F.col("source").alias("name"), "kept"
     )
     rows = dealt.unionByName(beside).repartition("deal").sortWithinPartitions("deal", "lang", F.col("term").asc_nulls_first(), "source")
 
@@ -309,13 +403,15 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200, lang: str = "lang", s
     """
     named = docs.select(*columns(docs, lang=lang, source=source, text=text))
     named = named.select(*(text_of(c).cast("binary").alias(c) for c in ("lang", "source", "text")))
-    terms = term_table(named)
-    kept = kept_terms(terms, least)
-    counts = kept_counts(terms, kept)
-    held = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    blocks = term_table(named)
+    kept = kept_terms(blocks, least)
+    counts = kept_counts(blocks, kept)
+    held = counts.groupBy("lang", F.col("source").alias("number")).agg(F.sum("n").alias("n"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"))
-    groups = terms.select("lang", "source").distinct().join(held, ["lang", "source"], "left").join(sizes, "lang", "left")
-    groups = settle(groups.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("kept", F.lit(0)).alias("kept")), "groups")
+    groups = group_table(blocks).join(held, ["lang", "number"], "left").join(sizes, "lang", "left")
+    groups = settle(
+        groups.select("lang", "source", "number", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("kept", F.lit(0)).alias("kept")), "groups"
+    )
     found = _compared(counts, groups, top)
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     own = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
