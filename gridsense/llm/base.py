@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def text_of(name: str = "text") -> Column:
 def slices(batches: Iterator[pa.RecordBatch], by: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds about ``size`` bytes of the column ``by``, and one row at least."""
     for batch in batches:
-        widths = pa.compute.binary_length(batch.column(by)).fill_null(0).to_numpy(zero_copy_only=False)
+        widths = pc.binary_length(batch.column(by)).fill_null(0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, width in enumerate(widths):
             if held and held + width > size:
