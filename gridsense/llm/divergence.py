@@ -36,6 +36,7 @@ TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128
 BLOCKS = "langs array<binary>, sources array<binary>, lang_of binary, source_of binary, terms binary, sizes binary, codes binary, counts binary"
 FOUND = "lang binary, source binary, part string, item binary, value long"
 MOST_ROWS = 400_000
+BLOCK_BYTES = 16_000_000
 
 
 def _digests(values: list[bytes]) -> np.ndarray:
@@ -81,16 +82,6 @@ def _spots(langs: list[bytes], which: np.ndarray, prefixes: list[bytes], at: np.
     return (mixed(pair) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _identities(langs: list[bytes], which: np.ndarray, terms: list[bytes], at: np.ndarray) -> list[np.ndarray]:
-    """128 bits for each (language, term), as two numbers."""
-    found = []
-    for seed in (1, 2):
-        lang = np.fromiter((xxhash.xxh3_64_intdigest(v, seed) for v in langs), np.uint64, len(langs))
-        term = np.fromiter((xxhash.xxh3_64_intdigest(v, seed) for v in terms), np.uint64, len(terms))
-        found.append(mixed(mixed(lang)[which] ^ term[at]).view(np.int64))
-    return found
-
-
 class _Filter:
     """Which (language, prefix) pairs may go on; a set bit is no proof."""
 
@@ -125,7 +116,7 @@ def term_table(docs: DataFrame) -> DataFrame:
     """Settle blocks of documents by their terms, from ``(lang, source, text)`` as bytes."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=BLOCK_BYTES):
             texts = pa.array([t.translate(TERM_BYTES) for t in batch.column("text").to_pylist()], pa.large_binary())
             words = pc.ascii_split_whitespace(texts.view(pa.large_utf8()))
             which = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
@@ -246,41 +237,123 @@ def group_table(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(named, "lang binary, source binary, number long").distinct()
 
 
+def _binaries(numbers: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The 64-bit numbers as one binary value for each size."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * 8
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(numbers.astype(np.int64).tobytes())]
+    ).cast(pa.binary())
+
+
+def _numbers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_binaries`` packed, and how many numbers each value held."""
+    held = values.to_pylist()
+    return np.frombuffer(b"".join(v for v in held if v), np.int64), np.array([len(v or b"") // 8 for v in held], np.int64)
+
+
+def _added_up(row: np.ndarray, source: np.ndarray, n: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
+    """Counts of each row by source, packed."""
+    names, code = np.unique(source, return_inverse=True)
+    pairs, place = np.unique(row * max(len(names), 1) + code, return_inverse=True)
+    sums = np.zeros(len(pairs), np.int64)
+    np.add.at(sums, place, n)
+    sizes = np.bincount(pairs // max(len(names), 1), minlength=rows)
+    return _binaries(names[pairs % max(len(names), 1)], sizes), _binaries(sums, sizes)
+
+
 def kept_counts(blocks: DataFrame, kept: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Settle ``(lang, term, source, n)``: occurrences of kept terms by group, the source by its number.
+    """Settle ``(lang, term, sources, counts)``: a row for each kept term, its occurrences by source number packed.
 
-    Terms are shuffled by 128 bits in place of their spelling.
+    Each block sends one row for a term, not one for each source. Kept terms join in as rows of their own, without which the
+    filter's false hits fall away.
     """
     may = _filter_of(kept, bits)
 
-    def counted(block: _Block) -> pa.Table:
-        pairs, place = block.pairs()
-        span, sources = max(len(block.terms), 1), max(len(block.sources), 1)
-        passing = may.passes(block.langs, pairs // span, block.terms, pairs % span)
-        allowed = passing[place]
-        own = place[allowed] * sources + block.source_of[block.document[allowed]]
-        groups, at = np.unique(own, return_inverse=True)
-        n = np.bincount(at, block.counts[allowed], len(groups)).astype(np.int64)
-        found = pairs[groups // sources]
-        one, two = _identities(block.langs, found // span, block.terms, found % span)
-        source = _digests(block.sources).view(np.int64)[groups % sources]
-        return pa.table({"one": one, "two": two, "source": source, "n": n})
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _summed(map(counted, _blocks(batches)), "n")
+        for block in _blocks(batches):
+            pairs, place = block.pairs()
+            span = max(len(block.terms), 1)
+            passing = may.passes(block.langs, pairs // span, block.terms, pairs % span)
+            allowed = passing[place]
+            row = (np.cumsum(passing) - 1)[place[allowed]]
+            numbers = _digests(block.sources).view(np.int64)
+            source = numbers[block.source_of[block.document[allowed]]] if len(row) else row
+            found = pairs[passing]
+            sources, counts = _added_up(row, source, block.counts[allowed], len(found))
+            langs = pa.array(block.langs, pa.binary()).take(pa.array(found // span))
+            terms = pa.array(block.terms, pa.binary()).take(pa.array(found % span))
+            for start in range(0, len(found), MOST_ROWS):
+                yield pa.RecordBatch.from_arrays(
+                    [c.slice(start, MOST_ROWS) for c in (langs, terms, sources, counts)], ["lang", "term", "sources", "counts"]
+                )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+
+        def merged(rows: pa.Table, final: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+            rows = rows.combine_chunks()
+            lang, term = (rows[c].combine_chunks() if isinstance(rows[c], pa.ChunkedArray) else rows[c] for c in ("lang", "term"))
+            new = np.ones(rows.num_rows, bool)
+            same = pc.and_(pc.equal(lang.slice(1), lang.slice(0, len(lang) - 1)), pc.equal(term.slice(1), term.slice(0, len(term) - 1)))
+            new[1:] = ~same.to_numpy(zero_copy_only=False)
+            last = rows.num_rows if final else int(np.flatnonzero(new)[-1])  # the last term may go on
+            whole, rest = rows.slice(0, last), rows.slice(last)
+            group = np.cumsum(new[:last]) - 1
+            size = int(group[-1]) + 1 if last else 0
+            sources, held = _numbers(whole["sources"].combine_chunks()) if last else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            counts = _numbers(whole["counts"].combine_chunks())[0] if last else sources
+            packed = _added_up(np.repeat(group, held), sources, counts, size)
+            marked = np.zeros(size, bool)
+            marked[group[held == 0]] = True
+            first = pa.array(np.flatnonzero(new[:last])[marked])
+            keep = pa.array(marked)
+            columns = [lang.take(first), term.take(first), *(c.filter(keep) for c in packed)]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "term", "sources", "counts"]), rest
+
+        def condensed(rows: pa.Table) -> pa.Table:
+            """The rows of one term as a row of sums and, if it was there, its mark."""
+            sources, held = _numbers(rows["sources"].combine_chunks())
+            n = _numbers(rows["counts"].combine_chunks())[0]
+            sums = _added_up(np.zeros(len(n), np.int64), sources, n, 1)
+            total = rows.slice(0, 1).drop_columns(["sources", "counts"])
+            for name, value in zip(("sources", "counts"), sums, strict=True):
+                total = total.append_column(name, value)
+            marks = rows.filter(pa.array(held == 0)).slice(0, 1)
+            return pa.concat_tables([total, marks]) if len(n) else marks
 
-    def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, which = _coded(batch.column("lang"))
-            found = _identities(langs.to_pylist(), which, batch.column("term").to_pylist(), np.arange(batch.num_rows))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("term"), *map(pa.array, found)], ["lang", "term", "one", "two"]
-            )
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            done, rest = merged(pa.concat_tables([waiting, rows]) if waiting is not None else rows, False)
+            waiting = condensed(rest)
+            yield done
+        if waiting is not None and waiting.num_rows:
+            yield merged(waiting, True)[0]
+
+    schema = "lang binary, term binary, sources binary, counts binary"
+    nothing = F.lit(None).cast("binary")
+    marks = kept.select("lang", "term", nothing.alias("sources"), nothing.alias("counts"))
+    dealt = blocks.mapInArrow(count, schema).unionByName(marks).repartition("lang", "term").sortWithinPartitions("lang", "term")
+    return settle(dealt.mapInArrow(merge, schema), "counts")
 
-    counts = blocks.mapInArrow(count, "one long, two long, source long, n long")
-    counts = counts.groupBy("one", "two", "source").agg(F.sum("n").alias("n"))
-    named = kept.select("lang", "term").mapInArrow(identify, "lang binary, term binary, one long, two long")
-    return settle(counts.join(named, ["one", "two"]).select("lang", "term", "source", "n"), "counts")
+
+def group_sizes(counts: DataFrame) -> DataFrame:
+    """``(lang, number, n)``: occurrences of kept terms by group."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, lang_of = _coded(batch.column("lang"))
+            sources, held = _numbers(batch.column("sources"))
+            names, code = np.unique(sources, return_inverse=True)
+            pairs, place = np.unique(np.repeat(lang_of, held) * max(len(names), 1) + code, return_inverse=True)
+            n = np.zeros(len(pairs), np.int64)
+            np.add.at(n, place, _numbers(batch.column("counts"))[0])
+            lang = langs.take(pa.array(pairs // max(len(names), 1)))
+            yield pa.RecordBatch.from_arrays([lang, pa.array(names[pairs % max(len(names), 1)]), pa.array(n)], ["lang", "number", "n"])
+
+    found = counts.mapInArrow(add, "lang binary, number long, n long")
+    return found.groupBy("lang", "number").agg(F.sum("n").alias("n"))
 
 
 def shares(n: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -296,7 +369,8 @@ class _Groups:
 
     def __init__(self, rows: pa.Table):
         self.sources = rows["name"].to_pylist()
-        self.numbers = {number: i for i, number in enumerate(rows["source"].to_pylist())}
+        self.numbers = rows["number"].to_numpy()
+        self.place = np.argsort(self.numbers)
         self.held = rows["n"].to_numpy()
         self.kept = rows["kept"][0].as_py()
 
@@ -305,11 +379,13 @@ class _Groups:
         return np.stack([((p[:, [g]] - p) ** 2 // p).sum(axis=0) for g in range(len(self.sources))])
 
     def found(self, lang: bytes, rows: pa.Table, top: int) -> Iterator[pa.RecordBatch]:
-        """Partial sums for pairs of groups, and of each group the ``top`` terms, from all rows of some terms, sorted by term."""
+        """Partial sums for pairs of groups, and of each group the ``top`` terms, from some terms' rows in their order."""
         size = len(self.sources)
-        terms, row_of = _coded(rows["term"].combine_chunks())
-        group_of = np.fromiter(map(self.numbers.__getitem__, rows["source"].to_pylist()), np.int64, rows.num_rows)
-        n = rows["n"].to_numpy()
+        terms = rows["term"].combine_chunks()
+        sources, held = _numbers(rows["sources"].combine_chunks())
+        row_of = np.repeat(np.arange(len(terms)), held)
+        group_of = self.place[np.searchsorted(self.numbers, sources, sorter=self.place)]
+        n = _numbers(rows["counts"].combine_chunks())[0]
         step = max(1, CELLS // size)
         for first in range(0, len(terms), step):
             a, b = np.searchsorted(row_of, (first, first + step))
@@ -356,13 +432,13 @@ def _compared(counts: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     The groups of a language are as many as the root of its rows in the result.
     """
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = counts.select(
-        F.pmod(F.xxhash64("lang", "term"), F.lit(parts)).cast("int").alias("deal"), "lang", "term", "source", "n", F.lit(None).cast("binary").alias("name"), F.lit(None).cast("long").alias("kept")
-    )
-    beside = groups.select(
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("deal"), "lang", F.lit(None).cast("binary").alias("term"), F.col("number").alias("source"), "n", F.col("source").alias("name"), "kept"
-    )
-    rows = dealt.unionByName(beside).repartition("deal").sortWithinPartitions("deal", "lang", F.col("term").asc_nulls_first(), "source")
+    nothing = {c: F.lit(None).cast(kind).alias(c) for c, kind in (("term", "binary"), ("sources", "binary"), ("counts", "binary"),
+                                                                  ("number", "long"), ("name", "binary"), ("n", "long"), ("kept", "long"))}
+    deal = F.pmod(F.xxhash64("lang", "term"), F.lit(parts)).cast("int").alias("deal")
+    dealt = counts.select(deal, "lang", "term", "sources", "counts", *(nothing[c] for c in ("number", "name", "n", "kept")))
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("deal")
+    beside = groups.select(everywhere, "lang", *(nothing[c] for c in ("term", "sources", "counts")), "number", F.col("source").alias("name"), "n", "kept")
+    rows = dealt.unionByName(beside).repartition("deal").sortWithinPartitions("deal", "lang", F.col("term").asc_nulls_first(), "name")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, named, groups, held = None, [], None, []
@@ -384,11 +460,8 @@ def _compared(counts: DataFrame, groups: DataFrame, top: int) -> DataFrame:
             groups = groups or _Groups(pa.Table.from_batches(named))
             held.append(piece)
             if sum(p.num_rows for p in held) >= CELLS:
-                rows = pa.Table.from_batches(held)
-                whole = pc.index(rows["term"], rows["term"][-1]).as_py()  # the last term may go on
-                if whole:
-                    yield from groups.found(own[1], rows.slice(0, whole), top)
-                held = rows.slice(whole).to_batches()
+                yield from groups.found(own[1], pa.Table.from_batches(held), top)
+                held = []
         yield from rest()
 
     return rows.mapInArrow(compare, FOUND)
@@ -406,13 +479,13 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200, lang: str = "lang", s
     blocks = term_table(named)
     kept = kept_terms(blocks, least)
     counts = kept_counts(blocks, kept)
-    held = counts.groupBy("lang", F.col("source").alias("number")).agg(F.sum("n").alias("n"))
+    held = group_sizes(counts)
     sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"))
     groups = group_table(blocks).join(held, ["lang", "number"], "left").join(sizes, "lang", "left")
     groups = settle(
         groups.select("lang", "source", "number", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("kept", F.lit(0)).alias("kept")), "groups"
     )
-    found = _compared(counts, groups, top)
+    found = settle(_compared(counts, groups, top), "found")
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     own = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = pairs.withColumn("rank", F.row_number().over(own)).unionByName(

@@ -73,6 +73,15 @@ def test_a_full_filter_and_small_blocks_change_nothing(spark, rows, monkeypatch)
     assert {tuple(r) for r in divergence.audit(df).collect()} == plainly(rows, 3, 200)
 
 
+def test_rows_of_a_term_that_come_in_many_batches_are_added_up(spark, rows):
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], SCHEMA).repartition(8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {tuple(r) for r in divergence.audit(df).collect()} == plainly(rows, 3, 200)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty_table(spark):
     assert divergence.audit(spark.createDataFrame([], SCHEMA)).collect() == []
 
