@@ -14,6 +14,8 @@ from gridsense.operators import ranked
 from gridsense.plans.classes import ColumnClass
 
 NUMERIC_FUNCTIONS = ("sum", "avg", "max", "min", "median", "mode", "std", "variance", "quantile")
+#: Whole numbers are added up with this many digits, so that no number of rows overflows.
+WHOLE_SUM = "decimal(28,0)"
 RANKED_FUNCTIONS = ("median", "quantile", "mode")
 ANY_FUNCTIONS = ("count", "distinct_count", "null_count", "null_pct")
 
@@ -33,10 +35,10 @@ def quantile_share(value: object) -> float:
     """A share in 0..1, or a percentage above 1; ``1`` itself means the maximum."""
     number = literals.number_of(value)
     if number is None:
-        raise QueryIssue(f"Invalid quantile value '{value}'.")
+        raise QueryIssue(f"A quantile is a number, not '{value}'.")
     share = number / 100.0 if number > 1 else float(number)
     if not 0 <= share <= 1:
-        raise QueryIssue(f"Quantile must be between 0 and 1 (or 0-100), got {value}.")
+        raise QueryIssue(f"{value} is no quantile: give a share up to 1 or a percentage up to 100.")
     return share
 
 
@@ -66,7 +68,7 @@ def _expression(measure: Measure, cls: ColumnClass | None, grouped: bool) -> Col
     column = field(measure.column)
     absent = _absent(column, cls)
     number = cls.number(column)
-    total = F.sum(number)
+    total = F.sum(number.cast(WHOLE_SUM) if coerce.is_whole(cls.dtype) else number)
     distinct = F.approx_count_distinct if measure.approximate else F.count_distinct
     build = {
         "sum": lambda: F.coalesce(total, F.lit(0)) if grouped else total,

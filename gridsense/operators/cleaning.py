@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridsense.functions import coerce
 from gridsense.functions.names import field
@@ -52,6 +54,33 @@ def clean(df: DataFrame, fill: bool = False) -> DataFrame:
     return fill_missing(df) if fill else df
 
 
+def _family(dtype: T.DataType) -> str:
+    kinds = {"number": coerce.is_number, "time": coerce.is_time, "text": coerce.is_text}
+    return next((kind for kind, test in kinds.items() if test(dtype)), dtype.simpleString())
+
+
+def united(tables: list[DataFrame]) -> DataFrame:
+    """The rows of all tables under the columns of all, missing ones null.
+
+    Numbers of different width become the wider type, days and moments become moments. A column that holds different kinds, such as
+    text here and numbers there, is text throughout, so that no cell is lost.
+    """
+    families: dict[str, set[str]] = {}
+    for df in tables:
+        for column in df.schema.fields:
+            families.setdefault(column.name.lower(), set()).add(_family(column.dataType))
+
+    def cell(column: T.StructField) -> Column:
+        if len(families[column.name.lower()]) == 1 or coerce.is_text(column.dataType):
+            return field(column.name)
+        is_float = coerce.is_float(column.dataType)
+        text = coerce.plain_number(field(column.name).cast("double")) if is_float else field(column.name).cast("string")
+        return text.alias(column.name)
+
+    alike = [df.select(*map(cell, df.schema.fields)) for df in tables]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alike)
+
+
 def number_rows(df: DataFrame, name: str = "id") -> DataFrame:
     """Dense row numbers 0..n-1 in file order, as text.
 

@@ -6,7 +6,9 @@ import re
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from gridsense.errors import QueryIssue
@@ -43,6 +45,15 @@ def _day_bounds(column: Column, span: Span) -> list[Column]:
     return bounds
 
 
+def _valid_pattern(pattern: str) -> str:
+    """The pattern, if Spark can read it as a regular expression; a constant row tells, without a job."""
+    try:
+        SparkSession.active().sql("SELECT '' RLIKE :pattern", {"pattern": pattern}).collect()
+    except (PySparkException, Py4JJavaError) as error:
+        raise QueryIssue(f"'{pattern}' is no regular expression.") from error
+    return pattern
+
+
 class _Subject:
     """One column under one reading, with the comparisons it supports."""
 
@@ -106,7 +117,7 @@ class _Subject:
 
     def has_text(self, value: str, regex: bool) -> Column:
         if regex:
-            return self.cls.text(self.column).rlike(f"(?i){value}")
+            return self.cls.text(self.column).rlike(f"(?i){_valid_pattern(value)}")
         return F.contains(self.lowered(), F.lit(value.lower()))
 
     def like(self, pattern: str) -> Column:
@@ -206,10 +217,10 @@ def predicate(
         **{sign: (lambda sign=sign: _ordered(subject, sign, value, day_first)) for sign in (">", "<", ">=", "<=")},
     }
     if op not in builders:
-        raise QueryIssue(f"Unsupported filter operator '{operator}' for column '{name}'.")
+        raise QueryIssue(f"Filters know no operator '{operator}' (asked for on '{name}').")
     test = builders[op]()
     if test is None:
-        raise QueryIssue(f"Filter '{name} {operator} {value}' does not fit the type of data in that column.")
+        raise QueryIssue(f"'{name}' cannot be compared: {operator} {value} needs numbers or dates in it.")
     return test
 
 

@@ -1,105 +1,102 @@
 """Exact quantiles and modes whose memory does not grow with the largest group.
 
-``percentile`` and ``mode`` keep every distinct value of a group in one task. Here a small
-input is sorted per group (a sort can spill), and of a large one only the narrow slice of
-each group that holds the wanted rank.
+``percentile`` keeps every distinct value of a group in one task. Here no values are sorted or gathered: the wanted rank is
+narrowed down by leading digits. Each level counts rows per key and digit map-side, so that a shuffle holds no more than the
+digits that occur; the digit in which the rank falls is kept, and the next level counts only rows below it. The last level's
+digit is the value itself, so the answer is exact for any values.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsense.functions.names import field
-from gridsense.operators.sizing import estimated_bytes, one_task_bytes
 
-VALUE, SLICE, COPIES = "__value", "__slice", "__copies"
-FEWEST_SLICES, MOST_SLICES = 64, 4096
-MOST_BROADCAST_ROWS = 10_000
+VALUE, COPIES = "__value", "__copies"
+FLOOR, CEILING, PART = "__floor", "__ceiling", "__part"
+DIGITS = ("__leading", "__middle", VALUE)
+#: Up to so many keys, what is kept of a level (two rows a key at most) is sent to all tasks; beyond, it is joined by a shuffle.
+MOST_BROADCAST_KEYS = 10_000
+#: Times this, minus the same less the value, leaves the value's leading 12 of 53 bits.
+_COARSE = 2.0**41 + 1
 
 
 def _values(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return df.select(*map(field, keys), value.alias(VALUE))
 
 
-def slices_for(values: DataFrame) -> int:
-    """One slice if everything fits one task, else enough that a slice surely does."""
-    tasks = -(-estimated_bytes(values) // one_task_bytes(values))
-    return 1 if tasks <= 1 else max(FEWEST_SLICES, min(MOST_SLICES, tasks))
-
+def with_digits(values: DataFrame) -> DataFrame:
+    """Add the digits of a double: its leading 12 bits, the next 24, and the value itself.
 
-def _interpolated(ranked: DataFrame, keys: list[str], alias: str) -> DataFrame:
-    """From ranked values (0-based rank of the last copy) to the value at the wanted place."""
-    ends = ranked.groupBy(*map(field, keys)).agg(
-        F.min(F.when(F.col("__rank") >= F.floor("__place"), F.col(VALUE))).alias("__a"),
-        F.min(F.when(F.col("__rank") >= F.ceil("__place"), F.col(VALUE))).alias("__b"),
-        F.max(F.col("__place") - F.floor("__place")).alias("__part"),
+    Rounding never changes the order of two values, and below one leading digit neither does taking it away, so digits ascend as
+    values do. Where the first digits cannot tell values apart (beyond the range of floats) the value itself does. Both zeros are one.
+    """
+    rounded = values.withColumn("__rounded", F.col(VALUE).cast("float").cast("double"))
+    near, scaled = F.col("__rounded"), F.col("__rounded") * F.lit(_COARSE)
+    leading = F.when(F.abs(near) == float("inf"), near).otherwise(scaled - (scaled - near))
+    middle = F.when(F.abs(F.col(DIGITS[0])) == float("inf"), F.lit(0.0)).otherwise((F.col(VALUE) - F.col(DIGITS[0])).cast("float").cast("double"))
+    return rounded.withColumn(DIGITS[0], leading).withColumn(DIGITS[1], middle).drop("__rounded")
+
+
+def _kept(counted: DataFrame, within: list[str], digit: str) -> DataFrame:
+    """Of the digits counted below one prefix, those that hold a wanted rank, with the rank among their own rows."""
+    upto = Window.partitionBy(*map(field, within)).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("__before", F.coalesce(F.sum(COPIES).over(upto), F.lit(0)))
+
+    def inside(rank: str) -> Column:
+        own = F.col(rank) - F.col("__before")
+        return F.when((own >= 0) & (own < F.col(COPIES)), own)
+
+    found = ranked.select(
+        *map(field, within), digit, inside(FLOOR).alias("__in_floor"), inside(CEILING).alias("__in_ceiling"), PART
+    ).withColumnsRenamed({"__in_floor": FLOOR, "__in_ceiling": CEILING})
+    return found.where(F.col(FLOOR).isNotNull() | F.col(CEILING).isNotNull())
+
+
+def _first_level(values: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Kept digits of each key, and a row without a digit for a key without values."""
+    counted = values.groupBy(*map(field, keys), DIGITS[0]).agg(F.count(VALUE).alias(COPIES))
+    place = (F.sum(COPIES).over(Window.partitionBy(*map(field, keys))) - 1) * F.lit(share)
+    placed = counted.withColumn("__place", place).select(
+        "*", F.floor("__place").alias(FLOOR), F.ceil("__place").alias(CEILING), (F.col("__place") - F.floor("__place")).alias(PART)
     )
-    between = F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part"))
-    return ends.select(*map(field, keys), between.alias(alias))
+    nothing = placed.where("__place < 0").select(*map(field, keys), DIGITS[0], FLOOR, CEILING, PART)
+    return _kept(placed.where("__place >= 0"), keys, DIGITS[0]).unionByName(nothing)
 
 
-def _sorted_whole(values: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """Every distinct value ranked within its key, missing ones last; copies collapse before the shuffle."""
-    counted = values.groupBy(*map(field, keys), VALUE).agg(F.count(VALUE).alias(COPIES))
-    ordered = Window.partitionBy(*map(field, keys)).orderBy(F.col(VALUE).asc_nulls_last())
-    everything = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    place = (F.sum(COPIES).over(everything) - 1) * F.lit(share)
-    return counted.withColumn("__rank", F.sum(COPIES).over(upto) - 1).withColumn("__place", place)
+def _next_level(values: DataFrame, kept: DataFrame, keys: list[str], level: int) -> DataFrame:
+    """Count the rows below the kept digits by the next one."""
+    within, digit = [*keys, *DIGITS[:level]], DIGITS[level]
+    counted = values.join(kept, within).groupBy(*map(field, within), FLOOR, CEILING, PART, digit).agg(F.count("*").alias(COPIES))
+    return _kept(counted, within, digit)
 
 
-def _small_if_possible(wanted: DataFrame) -> DataFrame:
-    """The wanted slices as a broadcast table if they are few, else left to a shuffled join."""
-    rows = wanted.take(MOST_BROADCAST_ROWS + 1)
-    if len(rows) > MOST_BROADCAST_ROWS:
-        return wanted
-    return F.broadcast(wanted.sparkSession.createDataFrame(rows, wanted.schema))
+def few_keys(df: DataFrame, keys: list[str]) -> bool:
+    """Whether the keys may be sent to all tasks: none at all, or counted and found to be few."""
+    return not keys or len(df.select(*map(field, keys)).distinct().take(MOST_BROADCAST_KEYS + 1)) <= MOST_BROADCAST_KEYS
 
 
-def _sorted_slices(values: DataFrame, keys: list[str], share: float, slices: int) -> DataFrame:
-    """Rank only the slices that hold the wanted place of each key.
+def quantile(df: DataFrame, keys: list[str], value: Column, share: float, alias: str) -> DataFrame:
+    """One row per key with the linearly interpolated quantile, null for a key without values.
 
-    The cut points are approximate, which affects balance only: rows per slice are counted
-    exactly. Those counts, at most ``slices`` per key, tell the slices to keep; copies of a
-    value collapse before values are shuffled. Infinities lie in the outermost slices.
+    The answer is exact, infinities included, whatever the values; between equal neighbours no arithmetic is done.
     """
-    found = values.approxQuantile(VALUE, [i / slices for i in range(1, slices)], 1 / (4 * slices))
-    cuts = sorted({cut for cut in found if math.isfinite(cut)})
-    edges = [float("-inf"), *cuts, float("inf")]
-    sliced = values.withColumn(SLICE, F.lit(0.0))
-    if cuts:
-        sliced = Bucketizer(splits=edges, inputCol=VALUE, outputCol=SLICE).transform(values)
-    counted = sliced.groupBy(*map(field, keys), SLICE, VALUE).agg(F.count(F.lit(1)).alias(COPIES))
-    per_key = Window.partitionBy(*map(field, keys))
-    wanted = (
-        counted.groupBy(*map(field, keys), SLICE)
-        .agg(F.sum(COPIES).alias("__filled"))
-        .withColumn("__upto", F.sum("__filled").over(per_key.orderBy(SLICE)))
-        .withColumn("__place", (F.sum("__filled").over(per_key) - 1) * F.lit(share))
-        .withColumn("__before", F.col("__upto") - F.col("__filled"))
-        .where((F.col("__upto") > F.floor("__place")) & (F.col("__before") <= F.ceil("__place")))
-        .select(*map(field, keys), SLICE, "__before", "__place")
+    given = _values(df, keys, value.cast("double"))
+    values = with_digits(given)
+    send = F.broadcast if few_keys(given, keys) else (lambda kept: kept)
+    first = kept = _first_level(values, keys, share)
+    for level in range(1, len(DIGITS)):
+        kept = _next_level(values, send(kept), keys, level)
+    empty = first.where(F.col(DIGITS[0]).isNull()).withColumns({d: F.lit(None).cast("double") for d in DIGITS[1:]})
+    ends = kept.unionByName(empty).groupBy(*map(field, keys)).agg(
+        F.max(F.when(F.col(FLOOR).isNotNull(), F.col(VALUE))).alias("__a"),
+        F.max(F.when(F.col(CEILING).isNotNull(), F.col(VALUE))).alias("__b"),
+        F.max(PART).alias(PART),
     )
-    kept = counted.join(_small_if_possible(wanted), [*keys, SLICE])
-    in_slice = Window.partitionBy(*map(field, keys), SLICE).orderBy(VALUE)
-    return kept.withColumn("__rank", F.col("__before") + F.sum(COPIES).over(in_slice) - 1)
-
-
-def quantile(
-    df: DataFrame, keys: list[str], value: Column, share: float, alias: str, slices: int | None = None
-) -> DataFrame:
-    """One row per key with the linearly interpolated quantile, null for a key without values."""
-    values = _values(df, keys, value.cast("double"))
-    slices = slices or slices_for(values)
-    if slices == 1:
-        return _interpolated(_sorted_whole(values, keys, share), keys, alias)
-    filled = values.where(F.col(VALUE).isNotNull())
-    found = _interpolated(_sorted_slices(filled, keys, share, slices), keys, alias)
-    return values.select(*map(field, keys)).distinct().join(found, keys, "left") if keys else found
+    a, b = F.col("__a"), F.col("__b")
+    between = F.when(a == b, a).otherwise(a + (b - a) * F.col(PART))
+    return ends.select(*map(field, keys), between.alias(alias))
 
 
 def mode(df: DataFrame, keys: list[str], value: Column, alias: str) -> DataFrame:

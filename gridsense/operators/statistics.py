@@ -58,7 +58,8 @@ def value_counts(
 def histogram(df: DataFrame, column: str, cls: ColumnClass, bins: object = DEFAULT_BINS) -> DataFrame:
     """Equal-width bins, open on the left and closed on the right; the minimum is in bin 1.
 
-    Rows ``column, bin, bin_lo, bin_hi, count``; empty bins are present with count 0.
+    Rows ``column, bin, bin_lo, bin_hi, count``; empty bins are present with count 0. Edges come from the finite values;
+    infinities, where there are any, are counted in bins of their own before the first and after the last.
     """
     try:
         bins = max(int(bins), 1)
@@ -67,11 +68,15 @@ def histogram(df: DataFrame, column: str, cls: ColumnClass, bins: object = DEFAU
     values = df.select(cls.number(field(column)).cast("double").alias("x")).where(F.col("x").isNotNull())
     low, high = F.col("ends.low"), F.col("ends.high")
     flat_pad = F.when(low == high, F.greatest(F.abs(low) * 0.001, F.lit(0.001))).otherwise(F.lit(0.0))
-    ends = values.agg(F.min("x").alias("low"), F.max("x").alias("high")).select(
+    finite = F.abs("x") < float("inf")
+    ends = values.agg(F.min(F.when(finite, F.col("x"))).alias("low"), F.max(F.when(finite, F.col("x"))).alias("high")).select(
         F.struct("low", "high").alias("ends")
     )
     ends = ends.select(F.struct((low - flat_pad).alias("low"), (high + flat_pad).alias("high")).alias("ends"))
 
+    def beyond(edge: Column) -> Column:
+        return F.when(F.col("bin") == 0, float("-inf")).when(F.col("bin") == bins + 1, float("inf")).otherwise(edge)
+
     width = (high - low) / bins
     guess = F.least(F.greatest(F.ceil((F.col("x") - low) / width), F.lit(1)), F.lit(bins))
     lower_edge, upper_edge = low + (F.col("guess") - 1) * width, low + F.col("guess") * width
@@ -83,22 +88,24 @@ def histogram(df: DataFrame, column: str, cls: ColumnClass, bins: object = DEFAU
     filled = (
         values.withColumn("ends", ends.scalar())
         .withColumn("guess", guess)
-        .groupBy(settled.cast("int").alias("bin"))
+        .groupBy(F.when(finite, settled).when(F.col("x") > 0, bins + 1).otherwise(0).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     every = (
-        df.sparkSession.range(1, bins + 1)
+        df.sparkSession.range(0, bins + 2)
         .select(F.col("id").cast("int").alias("bin"), ends.scalar().alias("ends"))
-        .where(low.isNotNull())
         .select(
             F.lit(column).alias("column"),
             "bin",
-            (low + (F.col("bin") - 1) * width).alias("bin_lo"),
-            F.when(F.col("bin") == bins, high).otherwise(low + F.col("bin") * width).alias("bin_hi"),
+            beyond(low + (F.col("bin") - 1) * width).alias("bin_lo"),
+            beyond(F.when(F.col("bin") == bins, high).otherwise(low + F.col("bin") * width)).alias("bin_hi"),
         )
     )
-    return every.join(filled, "bin", "left").select(
-        "column", "bin", "bin_lo", "bin_hi", F.coalesce("n", F.lit(0)).alias("count")
+    within = F.col("bin").between(1, bins) & F.col("bin_lo").isNotNull()
+    return (
+        every.join(filled, "bin", "left")
+        .where(within | F.col("n").isNotNull())
+        .select("column", "bin", "bin_lo", "bin_hi", F.coalesce("n", F.lit(0)).alias("count"))
     )
 
 

@@ -128,7 +128,7 @@ def _tests(
     for c in conditions:
         name = resolve(df.columns, c.column)
         if name is None:
-            issues.append(f"Filter column '{c.column}' was not found in the dataset.")
+            issues.append(f"There is no column '{c.column}' to filter by.")
         elif ids and c.value is not None:
             cls = classes[name]
             plain = ColumnClass(cls.dtype, cls.numbers, False, cls.sort_as)

@@ -2,8 +2,7 @@
 
 Typed columns need no look at the data, nor does most of what is asked of text columns.
 Where it matters whether a text column holds numbers or dates, a search for one such cell
-decides, and whole numbers that might be YYYYMMDD days need a search for one value that is
-not. Only a sort needs shares, which one aggregate over just those columns counts.
+decides, and numbers that might be YYYYMMDD days need a search for one value that is not. Only a sort needs shares, which one aggregate over just those columns counts.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridsense.functions import coerce
-from gridsense.functions.literals import listed, moment_of, number_of, period_of
+from gridsense.functions.literals import NUMBER_PATTERN, listed, moment_of, number_of, period_of
 from gridsense.functions.names import field
 
 # Fixed value: share of cells that must be readable before a sort treats them as such.
@@ -86,7 +85,7 @@ def questions(dtype: T.DataType, operator: str, value: object) -> tuple[str, ...
 
     Later questions matter only if the earlier ones are answered with no.
     """
-    if not (coerce.is_text(dtype) or coerce.is_whole(dtype)):
+    if not (coerce.is_text(dtype) or coerce.is_whole(dtype) or coerce.is_float(dtype)):
         return ()
     if operator in ("in", "not_in", "is", "is_not"):
         return ()
@@ -102,7 +101,7 @@ def _counts(name: str, at: int) -> list[Column]:
     column = field(name)
     return [
         F.count(coerce.number_from_text(column)).alias(f"numbers_{at}"),
-        F.count(coerce.time_from_text(column)).alias(f"times_{at}"),
+        F.count(F.when(~column.rlike(NUMBER_PATTERN), coerce.time_from_text(column))).alias(f"times_{at}"),
     ]
 
 
@@ -117,14 +116,21 @@ def _any(df: DataFrame, test: Column) -> bool:
     return not df.where(test).select(F.lit(1)).limit(1).isEmpty()
 
 
-def _all_day_numbers(df: DataFrame, name: str) -> bool:
-    """No value outside the YYYYMMDD range.
+def _are_day_numbers(df: DataFrame, name: str) -> bool:
+    """Whether the column's numbers are YYYYMMDD days: all of them, or the share that a sort asks for; the rest is then missing.
 
-    Other columns are found out by their first rows; for day numbers the range test is
-    answered by file statistics.
+    Other columns are mostly found out by their first rows, or by file statistics that hold no such number. Only where both kinds
+    occur are the cells counted.
     """
     column = field(name)
-    return not _any(df, (column < coerce.FIRST_DAY_NUMBER) | (column > coerce.LAST_DAY_NUMBER))
+    day = column.between(coerce.FIRST_DAY_NUMBER, coerce.LAST_DAY_NUMBER)
+    whole = (column == F.floor(column)) if coerce.is_float(df.schema[name].dataType) else F.lit(True)
+    if not _any(df, ~day):
+        return not _any(df, ~whole)
+    if not _any(df, day):
+        return False
+    row = df.agg(F.count(column).alias("all"), F.count_if(day & whole).alias("days")).first()
+    return row["days"] >= SORT_SHARE * row["all"]
 
 
 def _look(df: DataFrame, name: str, dtype: T.DataType, asked: tuple[str, ...]) -> ColumnClass:
@@ -148,8 +154,9 @@ def classify(df: DataFrame, asked: Mapping[str, Iterable[tuple[str, ...]]]) -> d
     counted = []
     for name, wanted in asked.items():
         dtype, wanted = types[name], [w for w in wanted if w]
-        if coerce.is_whole(dtype) and any(TIMES in w for w in wanted):
-            found[name] = day_numbers(dtype) if _all_day_numbers(df, name) else found[name]
+        if coerce.is_whole(dtype) or coerce.is_float(dtype):
+            if any(TIMES in w for w in wanted) and _are_day_numbers(df, name):
+                found[name] = day_numbers(dtype)
         elif coerce.is_text(dtype) and wanted:
             # Several different questions are answered by counting once.
             if len(set(wanted)) > 1 or SHARES in wanted[0]:

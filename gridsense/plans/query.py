@@ -21,6 +21,7 @@ from gridsense.functions import coerce
 from gridsense.functions.grains import grain
 from gridsense.functions.names import field, resolve, resolve_all
 from gridsense.operators import aggregates, ordering, statistics, summaries
+from gridsense.operators.cleaning import united
 from gridsense.operators.predicates import canonical_operator, describe_filters, predicate, sheet_matches
 from gridsense.plans.classes import NUMBERS, SHARES, TIMES, ColumnClass, classify, questions, readable_text, typed
 from gridsense.plans.intent import Condition, Intent
@@ -53,10 +54,14 @@ class Result:
         """The first rows on the driver, for display.
 
         Groups and frequencies are put in order here only: ``df`` itself does not pay for a
-        sort that nobody asked for.
+        sort that nobody asked for. That there are more rows is added to ``issues``.
         """
         df = self.df.orderBy(*self.order) if self.order else self.df
-        return [row.asDict(recursive=True) for row in df.limit(limit).collect()]
+        found = df.limit(limit + 1).collect()
+        said = f"Only the first {limit} rows are shown."
+        if len(found) > limit and said not in self.issues:
+            self.issues.append(said)
+        return [row.asDict(recursive=True) for row in found[:limit]]
 
     def summary_rows(self) -> DataFrame:
         """The answer with a ``_summary`` sentence per row; a last row tells what failed."""
@@ -115,11 +120,11 @@ def _federated(sheets: Mapping[str, DataFrame], intent: Intent, classes: Mapping
     parts: dict[str, DataFrame] = {}
     for kind in dict.fromkeys(kind for r in results.values() for kind in r.parts):
         tagged = [
-            df if SHEET in df.columns else df.select(F.lit(name).alias(SHEET), *map(field, df.columns))
+            df if SHEET in map(str.lower, df.columns) else df.select(F.lit(name).alias(SHEET), *map(field, df.columns))
             for name, r in results.items()
             for df in [r.parts[kind]] if kind in r.parts
         ]
-        parts[kind] = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+        parts[kind] = united(tagged)
     first = next(iter(results.values()))
     issues = skipped + [issue for r in results.values() for issue in r.issues]
     matched = [df for r in results.values() for df in r.matched]
@@ -191,7 +196,7 @@ class _Plan:
     def _test(self, condition: Condition, columns: list[str], classes: dict[str, ColumnClass]) -> Column | None:
         name = self._with_prefix(columns, condition.column)
         if name is None:
-            self.issues.append(f"Filter column '{condition.column}' was not found in the dataset.")
+            self.issues.append(f"There is no column '{condition.column}' to filter by.")
             return None
         try:
             return predicate(
@@ -209,18 +214,18 @@ class _Plan:
         tests = []
         for condition in self.filters:
             if resolve(self.df.columns, condition.column) is None:
-                self.issues.append(f"Filter column '{condition.column}' was not found in the dataset.")
+                self.issues.append(f"There is no column '{condition.column}' to filter by.")
             else:
                 tests.append(self._test(condition, self.df.columns, self.classes))
         if self.issues:
-            raise self.refuse("One or more filters cannot be applied safely.")
+            raise self.refuse("Some filters do not fit this table.")
         return reduce(lambda df, test: df.where(test), tests, self.df)
 
     def _after(self, df: DataFrame, classes: dict[str, ColumnClass]) -> DataFrame:
         for condition in self.intent.having:
             test = self._test(condition, df.columns, classes)
             if test is None:
-                raise self.refuse("One or more conditions on the result cannot be applied.")
+                raise self.refuse("Some conditions do not fit the result.")
             df = df.where(test)
         return df
 
@@ -239,6 +244,8 @@ class _Plan:
             parts = {"rows": self._rows(rows)}
         else:
             parts, measures = self._computed(rows, lenient)
+        if not lenient:
+            self._report_unknown([*self.intent.columns, *(a.column for a in self.intent.aggregations if a.column)])
         if next(iter(parts)) == "value_counts":
             self.order = [F.col("column"), F.desc("count"), F.col("value")]
         elif next(iter(parts)) == "histogram":
@@ -251,7 +258,7 @@ class _Plan:
         for key in self.intent.sort:
             name = self._with_prefix(df.columns, key.column)
             if name is None:
-                self.issues.append(f"Sort column '{key.column}' was not found and is ignored.")
+                self.issues.append(f"There is no column '{key.column}' to sort by; the sort goes without it.")
             else:
                 keys.append((classes[name].sort_key(field(name)), key.descending))
         return ordering.sort_and_limit(df, keys, ties, self.intent.limit)
@@ -272,7 +279,7 @@ class _Plan:
         for at, wanted in enumerate(self.intent.group_by):
             name = resolve(self.df.columns, wanted.column)
             if name is None:
-                self.issues.append(f"Group column '{wanted.column}' was not found in the dataset.")
+                self.issues.append(f"There is no column '{wanted.column}' to group by.")
                 continue
             cls, key = self.classes[name], f"__key{at}"
             if wanted.grain is None:
@@ -318,7 +325,7 @@ class _Plan:
             operations = self.intent.named or ("count",)
             refused = [op for op in operations if op in WHOLE_COLUMN]
             if refused:
-                raise self.refuse(f"Operation '{refused[0]}' is not available together with grouping.")
+                raise self.refuse(f"'{refused[0]}' describes a whole column and has no meaning per group.")
             fallback = [c for _, c in pairs if c]
             crossed = [(op, c) for op in operations if op != "count" for c in columns or fallback]
             if not crossed and any(op != "count" for op in operations):
@@ -326,7 +333,7 @@ class _Plan:
             pairs = [("count", None)] * ("count" in operations) + crossed
         usable = [(fn, c) for fn, c in pairs if self._computable(fn, c)]
         if not usable:
-            raise self.refuse("None of the requested columns has numeric values.")
+            raise self.refuse("There are no numbers in any of the columns asked for.")
         return aggregates.named_measures(usable, self._share(usable), self.intent.approximate)
 
     def _share(self, pairs: list[tuple[str, str | None]]) -> float:
@@ -336,24 +343,28 @@ class _Plan:
     def _computable(self, function: str, column: str | None) -> bool:
         if column is None or function not in aggregates.NUMERIC_FUNCTIONS or self.classes[column].numbers:
             return True
-        self.issues.append(f"{function}: {column} has no numeric values")
+        self.issues.append(f"{function}: column '{column}' holds no numbers")
         return False
 
     def _computed(self, rows: DataFrame, lenient: bool) -> tuple[dict[str, DataFrame], list[aggregates.Measure]]:
         operations = [op for op in self.intent.operations if op not in ("none", "filter")]
-        specified = [resolve(self.df.columns, a.column) for a in self.intent.aggregations]
-        columns = self.columns or [c for c in dict.fromkeys(specified) if c]
+        targets = [resolve(self.df.columns, a.column) for a in self.intent.aggregations]
+        columns = self.columns or [c for c in dict.fromkeys(targets) if c]
         parts: dict[str, DataFrame] = {}
 
-        peak = operations[0] if operations in (["max"], ["min"]) and len(columns) > 1 else None
+        specified = self._specified(lenient)
+        peak = operations[0] if operations in (["max"], ["min"]) and len(columns) > 1 and not specified else None
         if peak:
             metric = next((c for c in columns if self._computable(peak, c)), None)
             if metric is not None:
                 self.issues = [i for i in self.issues if not i.startswith(f"{peak}: ")]
                 return {peak: self._peak_rows(rows, peak, metric, columns)}, []
 
-        pairs: list[tuple[str, str | None]] = []
+        pairs: list[tuple[str, str | None]] = [(fn, c) for fn, c in specified if c not in self.types or self._computable(fn, c)]
+        named = {fn for fn, _ in specified}
         for op in operations:
+            if op in named:
+                continue
             if op in WHOLE_COLUMN:
                 part = self._whole_column(rows, op, columns)
                 if part is not None:
@@ -366,7 +377,7 @@ class _Plan:
                 else:
                     pairs += [(op, c) for c in columns if self._computable(op, c)]
                 if not columns:
-                    self.issues.append(f"{op}: no target column was resolved from the request")
+                    self.issues.append(f"{op}: the request names no column of this table")
 
         measures = aggregates.named_measures(pairs, self._share(pairs), self.intent.approximate)
         if measures:
@@ -381,6 +392,17 @@ class _Plan:
             raise self.refuse("Nothing in this request could be computed.")
         return parts, measures
 
+    def _report_unknown(self, names: list[str]) -> None:
+        for name in dict.fromkeys(names):
+            if resolve(self.df.columns, name) is None:
+                self.issues.append(f"There is no column '{name}'; the result goes without it.")
+
+    def _specified(self, lenient: bool) -> list[tuple[str, str]]:
+        """Aggregations given as pairs of function and column; empty if the request means every operation over every column."""
+        pairs = [(a.function, resolve(self.df.columns, a.column) or (a.column if lenient else None)) for a in self.intent.aggregations]
+        pairs = [(fn, c) for fn, c in pairs if fn in SCALAR and c]
+        return pairs if pairs and (len(pairs) > 1 or not self.intent.named) else []
+
     def _as_requested(self) -> list[str]:
         """Requested columns, those this sheet lacks included: they yield null here."""
         for wanted in self.intent.columns:
@@ -397,7 +419,7 @@ class _Plan:
         if op == "profile":
             return statistics.describe(rows, columns, self.intent.approximate)
         if not columns:
-            self.issues.append(f"{op}: no target column was resolved from the request")
+            self.issues.append(f"{op}: the request names no column of this table")
             return None
         if op == "value_counts":
             return statistics.value_counts(rows, columns, self.classes, self.intent.limit if self.intent.top_k is None else self.intent.top_k)

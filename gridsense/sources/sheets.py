@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from gridsense.operators.cleaning import flat_rows
+from gridsense.operators.cleaning import flat_rows, united
 from gridsense.sources.csv import read_csv
 
 
@@ -22,5 +22,12 @@ def read_sheets(
 
 def flatten(sheets: Mapping[str, DataFrame]) -> DataFrame:
     """All sheets as one table: a ``sheet`` column, an ``id`` text column, missing cells null."""
-    tagged = [flat_rows(df, sheet=name) for name, df in sheets.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    return united([flat_rows(df, sheet=name) for name, df in sheets.items()])
+
+
+def store_sheets(sheets: Mapping[str, DataFrame], path: str) -> DataFrame:
+    """Write the flat table with a folder for each sheet, so that a filter on ``sheet`` reads only the folders it keeps."""
+    flat = flatten(sheets)
+    flat.write.mode("overwrite").partitionBy("sheet").parquet(path)
+    schema = T.StructType([f for f in flat.schema if f.name != "sheet"] + [flat.schema["sheet"]])
+    return flat.sparkSession.read.schema(schema).parquet(path)  # the names of sheets stay text

@@ -1,10 +1,10 @@
 import math
+import random
 
 import pytest
 
 from gridsense import QueryIssue, run
 from gridsense.operators import ranked
-from gridsense.operators.sizing import ONE_TASK_SETTING
 from pyspark.sql import functions as F
 
 VALUES = ("v double, t string", [(1.0, "a"), (2.0, "b"), (2.0, None), (4.0, "a"), (None, "c"), (float("nan"), "c")])
@@ -87,14 +87,14 @@ def test_empty_table(ask):
 
 
 def test_correlation_pairs_and_constants(frame):
-    rows = [(1.0, 2.0, 5.0, None), (2.0, 4.0, 5.0, 1.0), (3.0, 6.0, 5.0, 3.0), (4.0, 8.0, 5.0, 2.0)]
+    rows = [(-1.5, 7.0, 0.25, None), (0.5, 3.0, 0.25, 6.0), (2.0, 0.0, 0.25, -2.0), (3.5, -3.0, 0.25, 1.0)]
     df = frame("x double, y double, flat double, gaps double", rows)
     found = run(df, {"operation": "corr", "columns": ["x", "y", "flat", "gaps"]}).df.collect()
     by_pair = {(r["col_x"], r["col_y"]): r["corr"] for r in found}
     assert len(by_pair) == 16
-    assert by_pair["x", "y"] == pytest.approx(1.0) and by_pair["x", "x"] == 1.0
+    assert by_pair["x", "y"] == pytest.approx(-1.0) and by_pair["x", "x"] == 1.0
     assert by_pair["x", "flat"] is None and by_pair["flat", "flat"] is None
-    assert by_pair["x", "gaps"] == pytest.approx(0.5) == by_pair["gaps", "x"]
+    assert by_pair["x", "gaps"] == pytest.approx(-0.6185896) == by_pair["gaps", "x"]
 
 
 def test_value_counts(frame):
@@ -162,41 +162,54 @@ def test_no_rows_matched(frame):
     assert not run(df, {"operation": "count"}).no_rows_matched()
 
 
-@pytest.fixture
-def spread_out(spark):
-    spark.conf.set(ONE_TASK_SETTING, "1000")
-    yield
-    spark.conf.unset(ONE_TASK_SETTING)
-
-
 HOT = "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 50) END"
-
-
-@pytest.mark.parametrize("value", ["id * 37 % 1009", "id % 4", "CASE WHEN id % 5 = 0 THEN NULL ELSE pow(id % 97, 3) END"])
-def test_spread_out_plan_agrees_with_the_in_memory_one(spark, value):
-    df = spark.range(20000).selectExpr(f"{HOT} AS k", f"CAST({value} AS DOUBLE) AS v")
-    request = {"operation": "median|quantile|mode|sum", "columns": ["v"], "percentile": 83, "group_by": ["k"]}
-    scalar = {"operation": "median|quantile|mode|sum", "columns": ["v"], "percentile": 83}
-    expected, expected_scalar = run(df, request).rows(), run(df, scalar).rows()
-    spark.conf.set(ONE_TASK_SETTING, "1000")
-    try:
-        got, got_scalar = run(df, request).rows(), run(df, scalar).rows()
-    finally:
-        spark.conf.unset(ONE_TASK_SETTING)
-    assert [list(r)[0] for r in got] == [list(r)[0] for r in expected]
-    for a, b in zip(got + got_scalar, expected + expected_scalar):
-        assert {k: pytest.approx(v) for k, v in b.items()} == a
-
-
-def test_few_slices_do_not_change_quantiles(spark):
-    df = spark.range(5000).selectExpr("id % 2 AS k", "CAST(id * id % 811 AS DOUBLE) AS v")
-    want = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("v", 0.37).alias("q")).collect()}
-    for slices in (1, 2, 7):
-        got = {r["k"]: r["q"] for r in ranked.quantile(df, ["k"], F.col("v"), 0.37, "q", slices).collect()}
-        assert got == pytest.approx(want)
-
-
-def test_all_missing_groups_stay_in_the_result(frame, spread_out):
+CELLS = [
+    "id * 37 % 1009", "id % 4", "CASE WHEN id % 5 = 0 THEN NULL ELSE pow(id % 97, 3) END", "1 + (id * 7919 % 20011) * 1e-12",
+    "CASE WHEN id % 2 = 0 THEN -1 ELSE 1 END * pow(10, id % 600 - 300)", "CASE WHEN k = 'hot' THEN NULL ELSE id END",
+]
+
+
+def by_sorting(values, share):
+    values = sorted(v for v in values if v is not None)
+    if not values:
+        return None
+    place = (len(values) - 1) * share
+    low, high = values[math.floor(place)], values[math.ceil(place)]
+    return low if low == high else low + (high - low) * (place - math.floor(place))
+
+
+@pytest.mark.parametrize("most", [ranked.MOST_BROADCAST_KEYS, 1])
+@pytest.mark.parametrize("value", CELLS)
+def test_quantiles_equal_sorting(spark, monkeypatch, value, most):
+    monkeypatch.setattr(ranked, "MOST_BROADCAST_KEYS", most)
+    df = spark.range(6000).selectExpr("id", f"{HOT} AS k").selectExpr("k", f"CAST({value} AS DOUBLE) AS v")
+    held = {}
+    for k, v in df.collect():
+        held.setdefault(k, []).append(v)
+    for share in (0.0, 0.37, 0.5, 1.0):
+        got = {r["k"]: r["q"] for r in ranked.quantile(df, ["k"], F.col("v"), share, "q").collect()}
+        assert got == {k: by_sorting(vs, share) for k, vs in held.items()}
+    whole = ranked.quantile(df, [], F.col("v"), 0.83, "q").first()["q"]
+    assert whole == by_sorting([v for vs in held.values() for v in vs], 0.83)
+
+
+def test_digits_ascend_with_values(spark):
+    rnd = random.Random(3)
+    edges = [0.0, 5e-324, 2.2250738585072014e-308, 3.4028235e38, 3.5e38, 1.7976931348623157e308, float("inf"), 1.0, 1.0000000000000002]
+    values = edges + [math.ldexp(rnd.random(), rnd.randint(-1080, 1023)) for _ in range(500)] + [math.nextafter(2.0**k, 0) for k in range(-300, 300)]
+    values = sorted(values + [-v for v in values])
+    rows = ranked.with_digits(spark.createDataFrame([(v,) for v in values], "__value double")).collect()
+    found = sorted(tuple(r[d] for d in ranked.DIGITS) for r in rows)
+    assert [f[-1] for f in found] == values
+
+
+def test_no_group_is_sorted_or_gathered_for_a_quantile(spark):
+    df = spark.range(100).selectExpr("id % 2 AS k", "CAST(id AS DOUBLE) AS v")
+    text = ranked.quantile(df, ["k"], F.col("v"), 0.5, "q")._jdf.queryExecution().toString()
+    assert "percentile" not in text and "collect_list" not in text
+
+
+def test_all_missing_groups_stay_in_the_result(frame):
     df = frame("k string, v double", [("a", 1.0), ("b", None)])
     assert run(df, {"operation": "median", "columns": ["v"], "group_by": ["k"]}).rows() == [
         {"k": "a", "median_v": 1.0}, {"k": "b", "median_v": None}
@@ -222,9 +235,8 @@ def test_all_columns_are_described(frame):
 def test_quantiles_with_infinities_and_copies(frame, spark):
     rows = [float("-inf"), 3.0, 3.0, 3.0, 8.0, float("inf"), float("inf")]
     df = frame("v double", rows)
-    for slices in (1, 4):
-        assert ranked.quantile(df, [], F.col("v"), 0.5, "q", slices).first()["q"] == 3.0
-        assert ranked.quantile(df, [], F.col("v"), 1.0, "q", slices).first()["q"] == float("inf")
+    assert ranked.quantile(df, [], F.col("v"), 0.5, "q").first()["q"] == 3.0
+    assert ranked.quantile(df, [], F.col("v"), 1.0, "q").first()["q"] == float("inf")
 
 
 def test_mode_of_large_ids_keeps_every_digit(ask):

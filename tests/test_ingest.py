@@ -1,10 +1,12 @@
+import csv as python_csv
 import datetime as dt
+import random
 
 import pytest
 
-from gridsense import run
+from gridsense import QueryIssue, run
 from gridsense.operators import chunking, cleaning, profiling
-from gridsense.sources import csv, sheets, storage
+from gridsense.sources import csv, records, sheets, storage
 
 
 @pytest.fixture
@@ -60,6 +62,60 @@ def test_only_needed_files_are_unsplittable(tmp_path, spark):
     assert csv.has_multiline_cells(spark, str(tmp_path / "b.csv"))
 
 
+def test_repeated_and_empty_names(written):
+    df = written("a,b,a,A,,a.1\n1,2,3,4,5,6\n")
+    assert df.columns == ["a", "b", "a.1", "A.2", "_c4", "a.1.1"] and plain(df) == [(1, 2, 3, 4, 5, 6)]
+
+
+def test_records_that_are_too_long_or_too_short(written):
+    with pytest.raises(QueryIssue, match="1 of 3 records"):
+        written("a,b\n1,2\n3,4,5\n6\n")
+    assert plain(written("a,b\n1,2\n3,4,5\n6\n", overlong="cut")) == [(1, 2), (3, 4), (6, None)]
+    assert plain(written("a,b\n1,2,\n3,4,\n")) == [(1, 2), (3, 4)]
+    with pytest.raises(Exception, match="more cells"):
+        written("a,b\n1,2,3\n", types={"a": "int"}).collect()
+
+
+def test_quotes_inside_cells_are_plain(written):
+    assert plain(written('n,size\n1,12" disc\n2,7"\n')) == [(1, '12" disc'), (2, '7"')]
+    df = written('n,size,t\n1,12" disc,"a\nb"\n2,7",x\n3,"c, ""d"\n\n"",y\n')
+    assert plain(df.where("n IS NOT NULL").orderBy("n"))[:2] == [(1, '12" disc', "a\nb"), (2, '7"', "x")]
+
+
+def test_the_delimiter_is_that_of_most_lines(tmp_path, spark):
+    (tmp_path / "a.csv").write_text("name;place, country;n\n" + "x;y;1\n" * 30)
+    assert csv.sniff_delimiter(spark, str(tmp_path / "a.csv")) == ";"
+
+
+def cells_of(rnd):
+    kinds = ["plain", "12\" x", "", "comma, here", "two\nlines", "a \"quote\"", "\n\n", "end\"", "\"", ",\n,", "x" * 40]
+    return rnd.choice(kinds)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_split_files_give_the_records_of_whole_ones(tmp_path, spark, seed):
+    rnd = random.Random(seed)
+    want = []
+    for name in ("a.csv", "b.csv"):
+        rows = [[f"{name}{i}", cells_of(rnd), cells_of(rnd)] for i in range(120)]
+        with open(tmp_path / name, "w", newline="") as file:
+            writer = python_csv.writer(file, lineterminator="\n")
+            writer.writerows([["id", "one", "two"], *rows])
+        want += [(r[0], *(c if c else None for c in r[1:])) for r in rows]
+    for size in ("64m", "700b", "90b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "16b")
+        try:
+            df = csv.read_csv(spark, str(tmp_path), sep=",", multi_line=True, tokens=("",))
+            tasks = records.lines(spark, str(tmp_path), "UTF-8").rdd.getNumPartitions()
+            got = sorted(plain(df))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == sorted(want)
+    assert tasks > 8
+
+
 def test_types(written):
     df = written("i,f,s,b,z,m,e\n1,1.5e-3,x,True,007,1,\n-2,2,1,False,010,,\n")
     assert dict(df.dtypes) == {"i": "bigint", "f": "double", "s": "string", "b": "boolean", "z": "bigint", "m": "bigint",

@@ -85,8 +85,10 @@ def test_limited_sorts_are_top_k(table):
 
 
 def test_search_reads_its_text_once(table):
-    df = text_search.search(table("documents"), {"query_text": "that tion", "row_key": "doc_id", "target_text_columns": ["text"]})
-    assert plan(df).count("FileScan parquet") == 1 and "TakeOrderedAndProject" in plan(df)
+    request = {"query_text": "that tion", "row_key": "doc_id", "target_text_columns": ["text"]}
+    whole, best = (text_search.search(table("documents"), r) for r in (request, {**request, "top_k": 5}))
+    assert plan(whole).count("FileScan parquet") == 1 and "TakeOrderedAndProject" not in plan(whole)
+    assert plan(best).count("FileScan parquet") == 1 and "TakeOrderedAndProject" in plan(best)
 
 
 def test_long_conversations_are_cut_before_the_shuffle(table):
