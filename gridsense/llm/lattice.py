@@ -116,9 +116,9 @@ def alike(least: float) -> Near:
     def prepare(traits: pa.Array, sizes: np.ndarray):
         vectors = traits.flatten().to_numpy().reshape(len(traits), -1)
 
-        def nearness(row: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def nearness(row: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             near = linked(vectors[row : row + 1], vectors[others], least)[0]
-            return near.astype(float), near, near
+            return near.astype(float), near
 
         return nearness
 

@@ -3,7 +3,7 @@
 One hash per shingle: its high bits name one of ``BINS`` bins, the smallest hash of a bin is the bin's value. An
 empty bin takes the value of the first filled bin in a fixed pseudo-random sequence that depends on the bin
 alone, so that equal sets stay equal and each filled bin is as likely a donor as any other. Rows of bins make bands; documents that
-share a band are candidates and are compared as stars (see ``stars``). Links are confirmed on the full sets.
+share a band are candidates and are compared as stars (see ``stars``). All comparisons are on the full sets.
 """
 
 from __future__ import annotations
@@ -62,29 +62,21 @@ def identity(sets: np.ndarray) -> bytes:
     return np.array([mixed(sets).sum(dtype=np.uint64), mixed(sets + np.uint64(len(sets))).sum(dtype=np.uint64)]).tobytes()
 
 
-def sketch(sets: np.ndarray) -> bytes:
-    """The low byte of each bin's value."""
-    return signature(sets).astype(np.uint8).tobytes()
-
-
 def alike(percent: int) -> Near:
-    """Nearness by sketches: the share of equal bins as an estimate, with 6 standard deviations for what may link.
-
-    What is 4 deviations above the threshold surely links. Bins that borrow a value add at most a quarter to the variance of the
-    filled ones; unequal values share their low byte once in 256.
-    """
-    least = percent / 100
+    """Nearness by the sets themselves: how many hashes two rows have in common."""
 
     def prepare(traits: pa.Array, sizes: np.ndarray):
-        marks = np.frombuffer(b"".join(traits.to_pylist()), np.uint8).reshape(len(traits), -1)
-        bins = marks.shape[1]
-
-        def nearness(row: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            equal = (marks[others] == marks[row]).view(np.uint64).sum(axis=1)  # eight counts side by side, each below 256
-            score = (equal.view(np.uint8).reshape(-1, 8).sum(axis=1) / bins * 256 - 1) / 255
-            filled = bins * -np.expm1(-np.minimum(sizes[others], sizes[row]) / bins)
-            spread = np.sqrt(1.25 * least * (1 - least) / filled)
-            return score, score >= least - 6 * spread, score >= least + 4 * spread
+        held = traits.flatten().to_numpy()
+        names, code = np.unique(held, return_inverse=True)
+        starts = traits.offsets.to_numpy()[:-1] - traits.offsets.to_numpy()[0]
+        length = np.diff(traits.offsets.to_numpy())
+
+        def nearness(row: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own = np.zeros(len(names), bool)
+            own[code[starts[row] : starts[row] + length[row]]] = True
+            common = np.add.reduceat(own[code], starts, dtype=np.int64)[others]
+            union = length[row] + length[others] - common
+            return common / union, 100 * common >= percent * union
 
         return nearness
 
@@ -112,7 +104,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(node, hashes, trait)`` for ``(node, of)``, where ``of`` has key and text hash of a document with that set."""
+    """``(node, hashes)`` for ``(node, of)``, where ``of`` has key and text hash of a document with that set."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -121,14 +113,13 @@ def full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 [
                     batch.column("node"),
                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                    pa.array([sketch(s) for s in sets], pa.binary()),
                 ],
-                ["node", "hashes", "trait"],
+                ["node", "hashes"],
             )
 
     same = F.col("key").eqNullSafe(F.col("of.key")) & (F.col("check") == F.col("of.check"))
     texts = rows.join(wanted, same).select("node", "text").dropDuplicates(["node"])
-    return settle(texts.mapInArrow(hashes, "node binary, hashes array<long>, trait binary"), "sets")
+    return settle(texts.mapInArrow(hashes, "node binary, hashes array<long>"), "sets")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,7 +152,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str
         return full.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
     able = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    roots = linked_components(buckets, sets.select("node", "trait", F.length("trait").alias("wide")), alike(percent), verify, able)
+    roots = linked_components(buckets, sets.select("node", F.col("hashes").alias("trait"), F.lit(0).alias("wide")), alike(percent), verify, able)
     grouped = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     members = grouped.join(smallest, "root").select("node", "root", "component_id")

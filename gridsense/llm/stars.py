@@ -1,11 +1,11 @@
 """Links among rows that share buckets, found with star-shaped candidate edges.
 
-In each bucket one row is the centre and all others are compared with it: as many pairs as rows. Centres are
-the rows that share buckets with most others, so the text that copies were made from comes before its copies.
-Rows that did not link to their centre are then compared with the rest of their bucket by traits of fixed
-size, bucket by bucket in blocks of bounded size, and only what the traits call near becomes a candidate. One edge
-is enough to rows that sure links or the bucket's first centre hold together; rows of different such groups are
-all compared. All candidates are verified in full.
+In each bucket one row is the centre and all others are compared with it: as many pairs as rows. Centres are the rows that share
+buckets with most others, so the text that copies were made from comes before its copies. Where that leaves a bucket in several
+components, its rows are dealt into blocks of bounded size. Within a block rows are compared exactly, by their whole traits, but never
+two rows that links hold together already, so a block gives fewer edges than it has rows. One row of each component then meets the
+others in blocks again, as long as a bucket has more components than a block has rows. At last every block meets those blocks that
+hold other components. No pair of rows that share a bucket is left uncompared unless links join it.
 """
 
 from __future__ import annotations
@@ -14,18 +14,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsense.llm.base import settle
 from gridsense.llm.components import components
 
 Verify = Callable[[DataFrame], DataFrame]
-#: Nearness of row i to the rows given by number: (score, may link, surely links), from all rows' traits and sizes.
-Near = Callable[[pa.Array, np.ndarray], Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]
+#: Nearness of row i to the rows given by number, exactly: (score, links), from all rows' traits and sizes.
+Near = Callable[[pa.Array, np.ndarray], Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]]]
 
 BLOCK = 512
-PAIR = "a binary, b binary, n_a long, n_b long"
+#: Items (hashes, components of vectors) in a block, so that long traits make smaller blocks.
+BLOCK_ITEMS = 2_000_000
+PAIR = "a binary, b binary"
 
 
 def crowded(buckets: DataFrame) -> DataFrame:
@@ -34,69 +36,51 @@ def crowded(buckets: DataFrame) -> DataFrame:
     return buckets.join(sizes, "bucket")
 
 
-def candidates(open_: np.ndarray, own: np.ndarray, i: int, j: int, nearness) -> Iterator[tuple[int, int]]:
-    """Candidates between the blocks i and j of one bucket; rows are numbers, ``open_`` rows lack a link.
+def candidates(group: np.ndarray, own: np.ndarray, i: int, j: int, nearness) -> Iterator[tuple[int, int]]:
+    """Links between the blocks i and j of one bucket that join groups; rows are numbers.
 
-    Rows that sure links hold together are a group, as are the rows linked to the bucket's first centre. Rows of one
-    group are not compared, and a row gets one edge to each group it surely links to, so sure edges are fewer than rows.
+    Rows of one group are not compared, and a row gets one link to each group it is near to, so links are fewer than groups.
     """
-    group = np.where(open_, np.arange(len(own)), -1)
-
-    def edges(row: int, others: np.ndarray) -> Iterator[tuple[int, int]]:
+    group = group.copy()
+    there = np.flatnonzero(own == j)
+    for row in np.flatnonzero(own == i):
+        others = there[group[there] != group[row]]
+        if i == j:
+            others = others[others > row]
         if not len(others):
-            return
-        score, may, sure = nearness(row, others)
+            continue
+        score, near = nearness(row, others)
         met = group[others]
-        joined = np.unique(met[sure])
-        best = [np.flatnonzero(sure & (met == g)) for g in joined]
-        yield from ((row, others[k[score[k].argmax()]]) for k in best)
-        yield from ((row, k) for k in others[may & ~np.isin(met, joined)])
+        joined = np.unique(met[near])
+        for g in joined:
+            best = np.flatnonzero(near & (met == g))
+            yield row, others[best[score[best].argmax()]]
         if len(joined):
             one = [group[row], *joined]
             group[np.isin(group, one)] = min(one)
 
-    for here, there in ((i, j), (j, i))[: 1 + (i != j)]:
-        held = np.flatnonzero((own == there) & ~open_)
-        for row in np.flatnonzero((own == here) & open_):
-            yield from edges(row, held)
-    loose = np.flatnonzero((own == j) & open_)
-    for row in np.flatnonzero((own == i) & open_):
-        others = loose[group[loose] != group[row]]
-        yield from edges(row, others[others > row] if i == j else others)
-
 
-def _further(rest: DataFrame, traits: DataFrame, near: Near, block: int) -> DataFrame:
-    """Candidates ``(a, b, n_a, n_b)`` of ``(bucket, node, size, open, held)`` beyond the first centres."""
-    cut = rest.join(traits, "node").withColumn("blocks", F.ceil(F.col("held") / block).cast("int"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = ["bucket", "wide", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    dealt = cut.select(*group, "node", "size", "open", "own", "trait")
-    dealt = dealt.repartition("bucket", "wide", "i", "j").sortWithinPartitions("bucket", "wide", "i", "j", "node")
+def _compared(dealt: DataFrame, traits: DataFrame, near: Near) -> DataFrame:
+    """Links between components ``(a, b)`` from ``(bucket, node, size, root, own, i, j)``, rows of the blocks i and j."""
+    group = ["bucket", "wide", "i", "j"]
+    rows = dealt.join(traits, "node").select(*group, "node", "size", "root", "own", "trait")
+    rows = rows.repartition(*group).sortWithinPartitions(*group, "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
 
         def work(held: pa.Table) -> pa.RecordBatch:
-            nodes, size = held.column("node").to_pylist(), held.column("size").to_numpy()
-            flags, own = held.column("open").to_numpy(), held.column("own").to_numpy()
-            i, j = held.column("i")[0].as_py(), held.column("j")[0].as_py()
+            roots = held.column("root").combine_chunks().dictionary_encode()
+            codes, names = roots.indices.to_numpy().astype(np.int64), roots.dictionary.to_pylist()
+            own, i, j = held.column("own").to_numpy(), held.column("i")[0].as_py(), held.column("j")[0].as_py()
             pairs = []
-            if flags.any():
-                nearness = near(held.column("trait").combine_chunks(), size)
-                pairs = [sorted(((nodes[x], size[x]), (nodes[y], size[y]))) for x, y in candidates(flags, own, i, j, nearness)]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p[0][0] for p in pairs], pa.binary()),
-                    pa.array([p[1][0] for p in pairs], pa.binary()),
-                    pa.array([p[0][1] for p in pairs], pa.int64()),
-                    pa.array([p[1][1] for p in pairs], pa.int64()),
-                ],
-                ["a", "b", "n_a", "n_b"],
-            )
+            if len(names) > 1:
+                nearness = near(held.column("trait").combine_chunks(), held.column("size").to_numpy())
+                pairs = [sorted((names[codes[x]], names[codes[y]])) for x, y in candidates(codes, own, i, j, nearness)]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
         def keys(batch: pa.RecordBatch) -> np.ndarray:
-            return np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "wide", "i", "j")])
+            return np.stack([batch.column(c).to_numpy().astype(np.int64) for c in group])
 
         last = None
         for batch in batches:
@@ -114,7 +98,70 @@ def _further(rest: DataFrame, traits: DataFrame, near: Near, block: int) -> Data
         if kept:
             yield work(pa.Table.from_batches(kept))
 
-    return dealt.mapInArrow(compare, PAIR)
+    return rows.mapInArrow(compare, PAIR).distinct()
+
+
+def _blocks(rows: Column, items: Column, block: int) -> Column:
+    return F.greatest(F.ceil(rows / block), F.ceil(items / BLOCK_ITEMS)).cast("int")
+
+
+def _divided(rest: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold several components."""
+    several = rest.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first != last")
+    return rest.join(several.select("bucket"), "bucket", "left_semi")
+
+
+def _within_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Each row in one block of its bucket, which meets no other."""
+    held = rows.groupBy("bucket").agg(_blocks(F.count("*"), F.sum("size"), block).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    return rows.join(held, "bucket").select("bucket", "node", "size", "root", own).withColumn("i", F.col("own")).withColumn("j", F.col("own"))
+
+
+def _across_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows beside all rows of other components of their bucket.
+
+    A component of many rows has blocks of its own, which need not meet each other; the others share blocks by hash, each component in one.
+    """
+    parts = rows.groupBy("bucket", "root").agg(_blocks(F.count("*"), F.sum("size"), block).alias("own_blocks"), F.count("*").alias("n"), F.sum("size").alias("items"))
+    large = F.col("own_blocks") > 1
+    shared = parts.groupBy("bucket").agg(
+        _blocks(F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(~large, F.col("items"))), F.lit(0)), block).alias("shared"),
+        F.coalesce(F.sum(F.when(large, F.col("own_blocks"))), F.lit(0)).alias("apart"),
+    )
+    before = Window.partitionBy("bucket").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("start", F.coalesce(F.sum(F.when(large, F.col("own_blocks")).otherwise(0)).over(before), F.lit(0))).join(shared, "bucket")
+    placed = placed.select(
+        "bucket", "root", large.alias("large"), "own_blocks", (F.col("shared") + F.col("start")).cast("int").alias("start"), "shared",
+        (F.col("shared") + F.col("apart")).cast("int").alias("blocks"),
+    )
+    place = F.when(F.col("large"), F.col("start") + F.pmod(F.xxhash64("node"), F.col("own_blocks"))).otherwise(F.pmod(F.xxhash64("root"), F.col("shared")))
+    cut = rows.join(placed, ["bucket", "root"]).withColumn("own", place.cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = ~F.col("large") | (F.col("other") < F.col("start")) | (F.col("other") >= F.col("start") + F.col("own_blocks"))
+    return cut.where(apart).select("bucket", "node", "size", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+class _Components:
+    """Nodes with the component they are known to belong to; what links are found later join components."""
+
+    def __init__(self, links: DataFrame, rest: DataFrame):
+        self.roots = settle(components(links), "roots")
+        known = self.roots.select("node", "root")
+        self.rest = settle(_divided(rest.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))), "rest")
+
+    def join(self, edges: DataFrame) -> bool:
+        """Take in links between components; whether there were any."""
+        edges = settle(edges, "more-links")
+        if edges.isEmpty():
+            return False
+        moved = settle(components(edges), "moved")
+        to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        known = self.roots.union(moved.select("node", F.col("node").alias("root"))).distinct()
+        self.roots = settle(known.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        rest = self.rest.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+        self.rest = settle(_divided(rest), "rest")
+        return True
 
 
 def linked_components(
@@ -122,9 +169,8 @@ def linked_components(
 ) -> DataFrame:
     """``(node, root)`` of the links among ``crowded`` rows ``(bucket, node, size, held)``; others do not appear.
 
-    ``traits`` is ``(node, trait, wide)`` for these nodes, ``wide`` being the trait's length; only traits of one length are
-    compared. ``near`` says from them which rows may link.
-    ``verify`` gets pairs ``(a, b, n_a, n_b)`` that fulfil ``able`` and returns those ``(a, b)`` that link.
+    ``traits`` is ``(node, trait, wide)`` for these nodes; only traits of one ``wide`` are compared. ``near`` says from them
+    which rows link, exactly. ``verify`` gets the stars' pairs ``(a, b, n_a, n_b)`` that fulfil ``able`` and returns those ``(a, b)`` that link.
     """
     able = F.lit(True) if able is None else able
     weight = buckets.groupBy("node").agg((-F.sum("held")).alias("rank"))
@@ -132,15 +178,21 @@ def linked_components(
     least = ranked.groupBy("bucket").agg(F.min(F.struct("rank", "node", "size")).alias("least"))
     stars = ranked.join(least, "bucket")
     one, two = F.struct("node", "size"), F.struct(F.col("least.node").alias("node"), F.col("least.size").alias("size"))
-    stars = stars.where("node != least.node").select(
-        "bucket", "node", "size", "held", F.least(one, two).alias("one"), F.greatest(one, two).alias("two")
-    )
+    stars = stars.where("node != least.node").select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two"))
     pair = [F.col("one.node").alias("a"), F.col("two.node").alias("b"), F.col("one.size").alias("n_a"), F.col("two.size").alias("n_b")]
-    stars = settle(stars.select("bucket", "node", "size", "held", *pair), "stars")
-    links = settle(verify(stars.select("a", "b", "n_a", "n_b").where(able).distinct()), "links")
-    verdict = stars.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left")
-    verdict = verdict.select("bucket", "node", "size", "held", F.col("linked").isNull().alias("open"))
-    lacking = verdict.where("open").select("bucket").distinct()
-    rest = settle(verdict.where("held > 2").join(lacking, "bucket", "left_semi"), "rest")
-    more = _further(rest, traits, near, block).where(able).distinct().join(links, ["a", "b"], "left_anti")
-    return components(links.union(settle(verify(more), "more-links")))
+    links = settle(verify(stars.select(*pair).where(able).distinct()), "links")
+    found = _Components(links, buckets.where("held > 2").select("bucket", "node", "size"))
+    if found.rest.isEmpty():
+        return found.roots
+    found.join(_compared(_within_blocks(found.rest, block), traits, near))
+    while True:
+        one_each = found.rest.groupBy("bucket", "root").agg(F.min(F.struct("node", "size")).alias("row")).select("bucket", "row.*", "root")
+        many = one_each.groupBy("bucket").count().where(F.col("count") > block)
+        if many.isEmpty():
+            break
+        leaders = settle(one_each.join(many.select("bucket"), "bucket", "left_semi"), "leaders")
+        if not found.join(_compared(_within_blocks(leaders, block), traits, near)):
+            break
+    if not found.rest.isEmpty():
+        found.join(_compared(_across_blocks(found.rest, block), traits, near))
+    return found.roots

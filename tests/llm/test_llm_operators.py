@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from gridsense.llm import lattice, licenses, minhash, mixing, packing, quality, secrets, shards, stars, token_files, urls
 from gridsense.llm.boosting import fit
@@ -530,9 +531,10 @@ def test_rest_of_a_bucket_joins_all_that_is_near(seed):
 
     def nearness(row, others):
         near = abs(place[others] - place[row]) <= 1
-        return -abs(place[others] - place[row]), near, near & (place[others] == place[row])
+        return -abs(place[others] - place[row]), near
 
-    pairs = {p for i in range(3) for j in range(i, 3) for p in stars.candidates(loose, own, i, j, nearness)}
+    group = np.where(loose, np.arange(60), -1)
+    pairs = {p for i in range(3) for j in range(i, 3) for p in stars.candidates(group, own, i, j, nearness)}
     assert all(abs(place[a] - place[b]) <= 1 for a, b in pairs)
 
     def groups(edges):
@@ -566,8 +568,65 @@ def test_rest_of_a_bucket_joins_chains():
         near = lattice.linked(x, x, 0.9)
         loose, own = rng.random(len(x)) < 0.8, rng.integers(0, 1 + trial % 3, len(x))
         nearness = lattice.alike(0.9)(pa.array(x.tolist(), pa.list_(pa.float64())), np.full(len(x), 64))
-        pairs = [p for i in range(3) for j in range(i, 3) for p in stars.candidates(loose, own, i, j, nearness)]
+        group = np.where(loose, np.arange(len(x)), -1)
+        pairs = [p for i in range(3) for j in range(i, 3) for p in stars.candidates(group, own, i, j, nearness)]
         assert all(near[a, b] for a, b in pairs)
         held = [(a, a) for a in range(len(x))] + [(a, b) for a in np.flatnonzero(~loose) for b in np.flatnonzero(~loose)]
         links = [(a, b) for a, b in zip(*np.nonzero(near), strict=True) if loose[a] or loose[b]]
         assert smallest_reachable([*held, *pairs]) == smallest_reachable([*held, *links])
+
+
+def near_group(rng, copies, words, changed):
+    """Copies of one text in which each has other words changed."""
+    base = [f"w{i}" for i in range(words)]
+    texts = []
+    for c in range(copies):
+        own = list(base)
+        for place in rng.choice(words, changed, replace=False):
+            own[place] = f"x{c}_{place}"
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("changed", [2, 4])
+def test_one_bucket_of_many_near_copies_gives_fewer_edges_than_rows(spark, monkeypatch, changed):
+    texts = near_group(np.random.default_rng(5), 700, 120, changed)
+    seen = []
+    compared = stars._compared
+
+    def counted(dealt, traits, near):
+        edges = compared(dealt, traits, near)
+        seen.append((dealt.select("node").count(), edges.count()))
+        return edges
+
+    monkeypatch.setattr(stars, "_compared", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["key"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    sets = [set(zip(w, w[1:], w[2:])) for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i, one in enumerate(sets):
+        joined = {root[i], *(root[j] for j in range(i) if 100 * len(one & sets[j]) >= 85 * len(one | sets[j]))}
+        root = [min(joined) if r in joined else r for r in root]
+    assert [found[i] for i in range(len(texts))] == root
+    assert all(edges < rows for rows, edges in seen)
+
+
+@pytest.mark.parametrize("block", [3, 8])
+def test_blocks_of_a_bucket_lose_no_link(spark, block):
+    rng = np.random.default_rng(block)
+    place = rng.integers(0, 90, 70)
+    rows = [(1, bytes([i]), 1, 70) for i in range(70)] + [(2, bytes([i]), 1, 20) for i in range(20)]
+    buckets = spark.createDataFrame(rows, "bucket long, node binary, size long, held long")
+    traits = spark.createDataFrame([(bytes([i]), int(place[i]), 0) for i in range(70)], "node binary, trait long, wide int")
+
+    def near(held, sizes):
+        at = held.to_numpy()
+        return lambda row, others: (-abs(at[others] - at[row]), abs(at[others] - at[row]) <= 1)
+
+    def verify(pairs):
+        a, b = (traits.select(F.col("node").alias(n), F.col("trait").alias(n + "t")) for n in "ab")
+        return pairs.join(a, "a").join(b, "b").where("abs(at - bt) <= 1").select("a", "b")
+
+    found = {r["node"][0]: r["root"][0] for r in stars.linked_components(buckets, traits, near, verify, block=block).collect()}
+    want = smallest_reachable([(i, j) for i in range(70) for j in range(70) if abs(place[i] - place[j]) <= 1])
+    assert [found.get(i, i) for i in range(70)] == [want[i] for i in range(70)]
