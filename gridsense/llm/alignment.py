@@ -24,7 +24,9 @@ from gridsense.llm.base import columns, settle, slices, text_of
 from gridsense.llm.token_files import from_planes, planes
 from gridsense.llm.tokens import PieceTokenizer
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 3_000_000
+#: Pieces of text whose ids a worker remembers, for each tokenizer.
+MOST_PIECES = 200_000
 #: A link's key is A's id above, B's id in the low bits.
 LOW = 32
 SETTLED = (
@@ -40,7 +42,7 @@ class PlainBytes(PieceTokenizer):
     """A byte-level vocabulary that reads the spelling of a special token as plain text."""
 
     def __init__(self, path: str):
-        super().__init__(path)
+        super().__init__(path, MOST_PIECES)
         self.library.encode_special_tokens = True
         self.added = NEVER
         self.forget()
@@ -59,7 +61,7 @@ class PlainPieces(PieceTokenizer):
     None of its pieces goes on from another character into a blank or a line feed, so its ids too are those of the pieces in a row.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = MOST_PIECES):
         from sentencepiece import SentencePieceProcessor
 
         self.library = SentencePieceProcessor(model_file=path)
@@ -189,9 +191,8 @@ class Block:
         mark[ends - 1] = 3
         names, place = np.unique(ids * 4 + mark, return_inverse=True)
         spelling = [b"%d%s" % (n >> 2, (b",", b"|", b";", b"")[n & 3]) for n in names.tolist()]
-        pieces = list(map(spelling.__getitem__, place.tolist()))
         starts = (ends - self.n_a - self.n_b).tolist()
-        return [b"".join(pieces[x:y]) for x, y in zip(starts, ends.tolist(), strict=True)]
+        return [b"".join(map(spelling.__getitem__, place[x:y].tolist())) for x, y in zip(starts, ends.tolist(), strict=True)]
 
 
 def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
