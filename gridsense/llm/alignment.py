@@ -12,7 +12,6 @@ block's distinct pairs, so the most frequent pair is one row a block, never one
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +21,8 @@ from pyspark.sql import functions as F
 
 from gridsense.llm.base import columns, settle, slices, text_of
 from gridsense.llm.token_files import from_planes, planes
-from gridsense.llm.tokens import PieceTokenizer
 
 BLOCK_BYTES = 3_000_000
-#: Pieces of text whose ids a worker remembers, for each tokenizer.
-MOST_PIECES = 200_000
 #: A link's key is A's id above, B's id in the low bits.
 LOW = 32
 SETTLED = (
@@ -35,51 +31,51 @@ SETTLED = (
 )
 RESULT = "key long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 DOCUMENT = ["key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"]
-NEVER = re.compile(r"(?!)")
+#: Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Spellings of ids with what follows them: a comma, a bar, a semicolon, nothing.
+ENDS = (b",", b"|", b";", b"")
+SPELLED: list[bytes] = []
 
 
-class PlainBytes(PieceTokenizer):
-    """A byte-level vocabulary that reads the spelling of a special token as plain text."""
+class PlainBytes:
+    """A byte-level vocabulary that reads the spelling of a special token as plain text.
+
+    The vocabulary's ids follow its merges, so that they serve as ranks. ``bytes`` holds each id's bytes.
+    """
 
     def __init__(self, path: str):
-        super().__init__(path, MOST_PIECES)
-        self.library.encode_special_tokens = True
-        self.added = NEVER
-        self.forget()
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
         spelled = byte_letters()
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        special = set(self.library.get_added_tokens_decoder())
-        tokens = (self.library.id_to_token(i) for i in range(size))
-        self.bytes = [
-            b"" if t is None else t.encode() if i in special else bytes(spelled[c] for c in t) for i, t in enumerate(tokens)
-        ]
+        special = library.get_added_tokens_decoder()
+        tokens = [library.id_to_token(i) for i in range(library.get_vocab_size(with_added_tokens=True))]
+        self.bytes = [special[i].content.encode() if i in special else bytes(spelled[c] for c in t) for i, t in enumerate(tokens)]
+        ranks = {token: i for i, token in enumerate(self.bytes) if i not in special}
+        self.encoding = tiktoken.Encoding("plain", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(self.encoding.encode_ordinary(text), np.uint32) for text in texts]
 
-class PlainPieces(PieceTokenizer):
-    """A sentencepiece vocabulary for texts that begin with a blank, which it puts before every text by itself.
 
-    None of its pieces goes on from another character into a blank or a line feed, so its ids too are those of the pieces in a row.
-    """
+class PlainPieces:
+    """A sentencepiece vocabulary for texts that begin with a blank, which it puts before every text by itself."""
 
-    def __init__(self, path: str, most: int = MOST_PIECES):
+    def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         self.library = SentencePieceProcessor(model_file=path)
-        self.added = NEVER
-        self.most = most
-        self.forget()
-        size = self.library.get_piece_size()
-        self.bytes = [self._spelling(i) for i in range(size)]
-        self.mark = [int(i) for i in self.whole([" \x01"])[0]]
+        self.bytes = [self._spelling(i) for i in range(self.library.get_piece_size())]
 
     def _spelling(self, number: int) -> bytes:
         piece = self.library.id_to_piece(number)
         return bytes([int(piece[3:-1], 16)]) if self.library.is_byte(number) else piece.replace("▁", " ").encode()
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        led = [t[:1] in (" ", "") for t in texts]
-        found = self.library.encode([t[own:] for t, own in zip(texts, led, strict=True)], num_threads=1)
-        return [np.array(ids if own else ids[1:], np.uint32) for ids, own in zip(found, led, strict=True)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.library.encode([text[1:] for text in texts], num_threads=1)
+        return [np.array(ids, np.uint32) for ids in found]
 
 
 def byte_letters() -> dict[str, int]:
@@ -89,10 +85,10 @@ def byte_letters() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(other)}}
 
 
-_LOADED: dict[tuple[type, str], PieceTokenizer] = {}
+_LOADED: dict[tuple[type, str], PlainBytes | PlainPieces] = {}
 
 
-def _loaded(kind: type, path: str) -> PieceTokenizer:
+def _loaded(kind: type, path: str) -> PlainBytes | PlainPieces:
     if (kind, path) not in _LOADED:
         _LOADED[kind, path] = kind(path)
     return _LOADED[kind, path]
@@ -189,10 +185,10 @@ class Block:
         mark[where_a[self.last_a]], mark[where_b[self.last_b]] = 1, 2
         ends = np.cumsum(self.n_a + self.n_b)
         mark[ends - 1] = 3
-        names, place = np.unique(ids * 4 + mark, return_inverse=True)
-        spelling = [b"%d%s" % (n >> 2, (b",", b"|", b";", b"")[n & 3]) for n in names.tolist()]
+        place = ids * 4 + mark
+        SPELLED.extend(b"%d%s" % (n >> 2, ENDS[n & 3]) for n in range(len(SPELLED), int(place.max()) + 1))
         starts = (ends - self.n_a - self.n_b).tolist()
-        return [b"".join(map(spelling.__getitem__, place[x:y].tolist())) for x, y in zip(starts, ends.tolist(), strict=True)]
+        return [b"".join(map(SPELLED.__getitem__, place[x:y].tolist())) for x, y in zip(starts, ends.tolist(), strict=True)]
 
 
 def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -201,7 +197,7 @@ def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(begin - before, length) + np.arange(int(length.sum()))
 
 
-def aligned_block(texts: list[str], one: PieceTokenizer, two: PieceTokenizer) -> tuple[np.ndarray, Block | None]:
+def aligned_block(texts: list[str], one: PlainBytes, two: PlainPieces) -> tuple[np.ndarray, Block | None]:
     """Which texts have tokens (not empty, all bytes kept by both), and the alignment of these."""
     led = [" " + t if t else "" for t in texts]
     ids_a, ids_b = one.encode(led), two.encode(led)

@@ -102,6 +102,17 @@ def test_galloping_finds_the_first_place_not_below():
         assert alignment.galloping(wanted, ends, first, last, guess).tolist() == np.searchsorted(ends, wanted).tolist()
 
 
-def test_no_piece_goes_on_into_a_blank_or_line_feed():
-    spelled = alignment.PlainPieces(PIECES).bytes
-    assert not [p for p in spelled if b"\n" in p[1:] or any(a != 32 and b == 32 for a, b in zip(p, p[1:], strict=False))]
+def test_ids_are_those_of_the_library(texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTES)
+    library.encode_special_tokens = True
+    found = alignment.PlainBytes(BYTES).encode([" " + t for t in texts if t])
+    assert [f.tolist() for f in found] == [library.encode(" " + t, add_special_tokens=False).ids for t in texts if t]
+
+
+def test_long_runs_are_encoded_whole():
+    one, two = alignment.PlainBytes(BYTES), alignment.PlainPieces(PIECES)
+    for text in (" " * 200_000, "a" * 200_000, "ab \n" * 50_000, "é" * 50_000):
+        fits, block = alignment.aligned_block([text], one, two)
+        assert fits[0] and block.n_links[0] >= max(block.n_a[0], block.n_b[0])
