@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,10 +85,23 @@ def united(tables: list[DataFrame]) -> DataFrame:
 def number_rows(df: DataFrame, name: str = "id") -> DataFrame:
     """Dense row numbers 0..n-1 in file order, as text.
 
-    Numbers are made per partition and shifted by the rows of the partitions before. The
-    tagged rows are checkpointed first, so that counting and shifting see the same rows. The
-    broadcast side has one row per partition.
+    Rows read from files are numbered by path and position, whatever the partitioning: each split's rows are counted, and the sums in
+    path order shift the numbers within splits. Nothing is written, and what is broadcast is one row a split. Other rows are numbered
+    in the order of partitions; they are checkpointed first, so that counting and shifting see the same rows.
     """
+    spot, file, block = F.monotonically_increasing_id(), "_metadata.file_path", "_metadata.file_block_start"
+    try:
+        placed = df.select("*", F.col(file).alias("__file"), F.col(block).alias("__block"), spot.alias("__spot"))
+    except AnalysisException:
+        return _number_by_partition(df, name)
+    splits = placed.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__spot").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__block")) - F.col("__n")
+    starts = splits.select("__file", "__block", (before - F.col("__first")).alias("__shift"))
+    numbered = placed.join(F.broadcast(starts), ["__file", "__block"])
+    return numbered.select(*map(field, df.columns), (F.col("__shift") + F.col("__spot")).cast("string").alias(name))
+
+
+def _number_by_partition(df: DataFrame, name: str) -> DataFrame:
     tagged = checkpointed(df.withColumn("__spot", F.monotonically_increasing_id()))
     part = F.shiftright("__spot", 33)
     counts = tagged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
@@ -101,11 +115,10 @@ def number_rows(df: DataFrame, name: str = "id") -> DataFrame:
     )
 
 
-def flat_rows(df: DataFrame, sheet: str | None = None, dense: bool = False) -> DataFrame:
-    """``sheet`` first if named, and a text ``id``: the table's own id, else a row number.
+def flat_rows(df: DataFrame, sheet: str | None = None, dense: bool = True) -> DataFrame:
+    """``sheet`` first if named, and a text ``id``: the table's own id, else a row number 0..n-1 in file order (``number_rows``).
 
-    Row numbers are increasing in file order; ``dense`` makes them 0..n-1 at the cost of
-    writing the table once.
+    Without ``dense`` numbers are only increasing, and change with the partitioning; that saves counting the rows of each split.
     """
     own = next((c for c in df.columns if c.strip().lower() == "id"), None)
     if own is not None:

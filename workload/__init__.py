@@ -1,8 +1,8 @@
 """Queries over the test tables, each beside the SQL that must give the same rows."""
 
-from workload import filters, grouped, ingest, ordering, scalars, text
+from workload import filters, grouped, ingest, messy, ordering, scalars, text
 
-AREAS = (filters, scalars, grouped, ordering, ingest, text)
+AREAS = (filters, scalars, grouped, ordering, ingest, text, messy)
 
 
 def all_cases():
