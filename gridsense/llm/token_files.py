@@ -30,7 +30,7 @@ from gridsense.sources.storage import scratch_path
 #: Data bytes of the four ids of each control byte, and their sum.
 WIDTHS = 1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
 BLOCK_IDS = 1_000_000
-SETTLED = "row long, key long, n long, ids binary"
+SETTLED = "row long, key long, n long, ids binary, seen binary"
 BLOCKS = "part int, begins long, keys array<long>, counts array<long>, control binary, data binary"
 READ = "key long, part int, begins long, n_tokens long, ids_crc32 long"
 
@@ -63,10 +63,14 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Settle ``(row, key, n, ids)`` for all rows: the ids' byte planes, the end id last."""
+    """Settle ``(row, key, n, ids, seen)`` for all rows: the ids' byte planes, the end id last.
+
+    Each task adds a row without ``row``: its distinct ids and, in ``seen``, how often they occurred.
+    """
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], np.uint32)
+        total = np.zeros(0, np.int64)
         for batch in slices(batches):
             found = [np.append(ids, end) for ids in encoded(vocabulary, batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -75,9 +79,19 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_i
                     batch.column("key"),
                     pa.array([len(ids) for ids in found], pa.int64()),
                     pa.array([planes(ids) for ids in found], pa.binary()),
+                    pa.nulls(len(found), pa.binary()),
                 ],
-                ["row", "key", "n", "ids"],
+                ["row", "key", "n", "ids", "seen"],
             )
+            own = np.bincount(np.concatenate(found), minlength=len(total))
+            own[: len(total)] += total
+            total = own
+        seen = np.flatnonzero(total)
+        if len(seen):
+            counts = total[seen].astype(np.int64).tobytes()
+            row = [None, None, len(seen), planes(seen.astype(np.uint32)), counts]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["row", "key", "n", "ids", "seen"])
 
     named = docs.select(*columns(docs, key=key, text=text))
     rows = named.select(F.monotonically_increasing_id().alias("row"), F.col("key").cast("long"), text_of().alias("text"))
@@ -107,16 +121,13 @@ def ranked_ids(tokens: DataFrame) -> DataFrame:
     """``(id, rank)``; one row for each id of the vocabulary that occurs, so at most the vocabulary's size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in slices(batches, "ids"):
-            ids = ids_in(batch)
-            own = np.bincount(ids, minlength=len(total))
-            own[: len(total)] += total
-            total = own
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+        for batch in batches:
+            for ids, n, seen in zip(*(batch.column(c).to_pylist() for c in ("ids", "n", "seen")), strict=True):
+                found = from_planes(ids, n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.frombuffer(seen, np.int64))], ["id", "n"])
 
-    counts = tokens.select("ids", "n").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    told = tokens.where("row IS NULL").select("ids", "n", "seen")
+    counts = told.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return counts.select("id", (F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).alias("rank"))
 
 
@@ -160,7 +171,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             )
             begins += int(counts.sum())
 
-    ordered = tokens.repartitionByRange("key", "row").sortWithinPartitions("key", "row").select("key", "n", "ids")
+    ordered = tokens.where("row IS NOT NULL").repartitionByRange("key", "row").sortWithinPartitions("key", "row").select("key", "n", "ids")
     blocks = ordered.mapInArrow(write, BLOCKS)
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
 

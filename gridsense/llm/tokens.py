@@ -10,7 +10,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MARK = " \x01"
+#: What parts pieces that are encoded together, and the letter that stands for it in byte-level vocabularies.
+MARK, MARK_LETTER = "\x01", "\u0101"
 GROUP = 100
 _LOADED: dict[str, "PieceTokenizer"] = {}
 
@@ -40,7 +41,10 @@ class PieceTokenizer:
         self.library = Tokenizer.from_file(path)
         added = self.library.get_added_tokens_decoder().values()
         self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)")
-        self.mark = self.library.encode(MARK, add_special_tokens=False).ids
+        # Where no longer token holds the mark it changes nothing beside it; else a blank keeps it apart.
+        alone = [t for t in self.library.get_vocab() if MARK_LETTER in t] == [MARK_LETTER]
+        self.parting = MARK if alone else f" {MARK}"
+        self.mark = self.library.encode(self.parting, add_special_tokens=False).ids
         self.most = most
         self.forget()
 
@@ -86,12 +90,12 @@ class PieceTokenizer:
                 break
             new.append(key)
         new.reverse()
-        together = [i for i, p in enumerate(new) if p[:1] in (" ", "\n") and "\x01" not in p and not p[-1].isspace()]
+        together = [i for i, p in enumerate(new) if p[:1] in (" ", "\n") and MARK not in p and not p[-1].isspace()]
         together = [i for i in together if not self.added.search(new[i])]
         ids: list = [None] * len(new)
         for first in range(0, len(together), GROUP):
             members = together[first : first + GROUP]
-            row = self.whole([MARK.join(new[i] for i in members)])[0]
+            row = self.whole([self.parting.join(new[i] for i in members)])[0]
             cuts = np.flatnonzero(row == self.mark[-1])
             begins = np.concatenate(([0], cuts + 1))
             stops = np.concatenate((cuts - (len(self.mark) - 1), [len(row)]))
