@@ -35,6 +35,16 @@ def columns(df: DataFrame, **named: str) -> list[Column]:
     return [field(source).alias(target) for target, source in named.items()]
 
 
+def packed(df: DataFrame, **named: str) -> DataFrame:
+    """Each whole row as the struct ``row``, beside the named columns; so what is added to it cannot clash with columns of the input."""
+    return df.select(F.struct(*map(field, df.columns)).alias("row"), *columns(df, **named))
+
+
+def unpacked(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns that ``packed`` put away, ``changed`` ones anew."""
+    return df.select(*(changed.get(name, F.col("row").getField(name)).alias(name) for name in names))
+
+
 def text_of(name: str = "text") -> Column:
     """A text column in which null is the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

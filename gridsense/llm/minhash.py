@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsense.functions.names import field
-from gridsense.llm.base import columns, settle, slices, text_of
+from gridsense.llm.base import columns, packed, settle, slices, text_of, unpacked
 from gridsense.llm.stars import Near, crowded, linked_components
 from gridsense.llm.words import mixed, shingle_sets
 
@@ -174,6 +173,7 @@ def one_of_each(docs: DataFrame, width: int = 3, percent: int = 85, key: str = "
     best = F.min(F.struct(F.col("key").isNull().alias("k0"), name.alias("k1"), F.col("check").alias("k2")))
     stays = found.where("root is not null").groupBy("root").agg(best.alias("best")).select("best.*")
     stays = stays.union(found.where("root is null").select(F.col("key").isNull(), name, "check")).distinct()
-    own = field(key).cast("long")
-    marked = docs.withColumns({"k0": own.isNull(), "k1": F.coalesce(own, F.lit(0)), "k2": F.xxhash64(F.coalesce(field(text).cast("string"), F.lit("")))})
-    return marked.join(stays, ["k0", "k1", "k2"], "left_semi").dropDuplicates(["k0", "k1", "k2"]).select(*docs.columns)
+    own = F.col("key").cast("long")
+    names = {"k0": own.isNull(), "k1": F.coalesce(own, F.lit(0)), "k2": F.xxhash64(text_of())}
+    marked = packed(docs, key=key, text=text).withColumns(names).drop("key", "text")
+    return unpacked(marked.join(stays, list(names), "left_semi").dropDuplicates(list(names)), docs.columns)

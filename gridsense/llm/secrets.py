@@ -20,8 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsense.functions.names import field
-from gridsense.llm.base import columns, settle, text_of
+from gridsense.llm.base import columns, packed, settle, text_of, unpacked
 
 #: The base kinds in their order, their patterns, the shortest match that counts and the group measured.
 BASE = (
@@ -255,6 +254,7 @@ def without_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spans = scan(docs, key, text).where(F.size("base") + F.size("found") > 0)
     spans = spans.select(name(F.col("key")).alias("k1"), F.col("check").alias("k2"), F.concat("base", "found").alias("k3"))
     spans = spans.dropDuplicates(["k1", "k2"])
-    marked = docs.withColumns({"k1": name(field(key)), "k2": F.xxhash64(name(field(text)))}).join(spans, ["k1", "k2"], "left")
-    clean = F.when(F.col("k3").isNull(), field(text)).otherwise(redacted(field(text), F.col("k3")))
-    return marked.withColumn(text, clean).select(*docs.columns)
+    own = packed(docs, key=key, text=text)
+    marked = own.withColumns({"k1": name(F.col("key")), "k2": F.xxhash64(name(F.col("text")))}).drop("key", "text").join(spans, ["k1", "k2"], "left")
+    given = F.col("row").getField(text)
+    return unpacked(marked, docs.columns, **{text: F.when(F.col("k3").isNull(), given).otherwise(redacted(given, F.col("k3")))})

@@ -630,3 +630,18 @@ def test_blocks_of_a_bucket_lose_no_link(spark, block):
     found = {r["node"][0]: r["root"][0] for r in stars.linked_components(buckets, traits, near, verify, block=block).collect()}
     want = smallest_reachable([(i, j) for i in range(70) for j in range(70) if abs(place[i] - place[j]) <= 1])
     assert [found.get(i, i) for i in range(70)] == [want[i] for i in range(70)]
+
+
+def test_helpers_of_the_pipeline_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    names = ["k0", "k1", "k2", "k3", "c0", "c1", "c2", "topic", "weight", "kept", "n_tokens", "probability", "draw", "row", "key", "check", "own"]
+    text = "api_key = 'abcdEFGH12345678' " + prose(4, 60)
+    rows = [(1, text, "en", "src0", *names), (2, text, "en", "src0", *names), (3, prose(5, 70), None, None, *names), (None, None, "de", "src1", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for stage in (corpus_pipeline.distinct, corpus_pipeline.without_secrets, corpus_pipeline.mixed):
+        found = stage(spark, docs, "")
+        assert found.columns == docs.columns
+        assert all([r[n] for n in names] == names for r in found.collect())
+    assert {r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, "").collect()} == {1, 3, None}
+    assert "[secret]" in [r["text"] for r in corpus_pipeline.without_secrets(spark, docs, "").collect() if r["doc_id"] == 1][0]
