@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsense.llm import minhash, mixing, packing, quality, secrets
-from gridsense.llm.base import settle, table
+from gridsense.llm.base import packed, settle, table, unpacked
 from gridsense.llm.queries import MIXTURE, MIXTURE_KEPT, WORD_VOCABULARY
 
 
@@ -31,10 +31,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents are drawn by the probabilities fitted to the target shares."""
-    return mixing.mixed(mixing.with_topic(docs), MIXTURE, MIXTURE_KEPT).where("kept").select(*docs.columns)
+    own = packed(docs, doc_id="doc_id", source="source", lang="lang", text="text")
+    return unpacked(mixing.mixed(mixing.with_topic(own), MIXTURE, MIXTURE_KEPT).where("kept"), docs.columns)
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: pieces with their sequence and place."""
     return packing.pack(docs, WORD_VOCABULARY).withColumnRenamed("key", "doc_id")
 
@@ -44,7 +45,7 @@ STAGES = [
     ("minhash_near_dedup", distinct),
     ("secret_scans", without_secrets),
     ("mixing", mixed),
-    ("best_fit_packing", packed),
+    ("best_fit_packing", packed_sequences),
 ]
 
 #: The fitted trees, the candidates of MinHash and the tokenizer have no SQL; tests hold the stages against brute force.
