@@ -57,12 +57,11 @@ def _kept(counted: DataFrame, within: list[str], digit: str) -> DataFrame:
 def _first_level(values: DataFrame, keys: list[str], share: float) -> DataFrame:
     """Kept digits of each key, and a row without a digit for a key without values."""
     counted = values.groupBy(*map(field, keys), DIGITS[0]).agg(F.count(VALUE).alias(COPIES))
-    place = (F.sum(COPIES).over(Window.partitionBy(*map(field, keys))) - 1) * F.lit(share)
-    placed = counted.withColumn("__place", place).select(
-        "*", F.floor("__place").alias(FLOOR), F.ceil("__place").alias(CEILING), (F.col("__place") - F.floor("__place")).alias(PART)
-    )
-    nothing = placed.where("__place < 0").select(*map(field, keys), DIGITS[0], FLOOR, CEILING, PART)
-    return _kept(placed.where("__place >= 0"), keys, DIGITS[0]).unionByName(nothing)
+    whole = counted.withColumn("__rows", F.sum(COPIES).over(Window.partitionBy(*map(field, keys))))
+    place = (F.col("__rows") - 1) * F.lit(share)
+    placed = whole.select("*", F.floor(place).alias(FLOOR), F.ceil(place).alias(CEILING), (place - F.floor(place)).alias(PART))
+    nothing = placed.where("__rows = 0").select(*map(field, keys), DIGITS[0], FLOOR, CEILING, PART)
+    return _kept(placed.where("__rows > 0"), keys, DIGITS[0]).unionByName(nothing)
 
 
 def _next_level(values: DataFrame, kept: DataFrame, keys: list[str], level: int) -> DataFrame:
