@@ -18,6 +18,8 @@ FLOOR, CEILING, PART = "__floor", "__ceiling", "__part"
 DIGITS = ("__leading", "__middle", VALUE)
 #: Up to so many keys, what is kept of a level (two rows a key at most) is sent to all tasks; beyond, it is joined by a shuffle.
 MOST_BROADCAST_KEYS = 10_000
+#: The middle digit is passed over where the leading one holds no more rows than this, by their count; the values are then few.
+FEW_BELOW = 1_000_000
 #: Times this, minus the same less the value, leaves the value's leading 12 of 53 bits.
 _COARSE = 2.0**41 + 1
 
@@ -49,7 +51,7 @@ def _kept(counted: DataFrame, within: list[str], digit: str) -> DataFrame:
         return F.when((own >= 0) & (own < F.col(COPIES)), own)
 
     found = ranked.select(
-        *map(field, within), digit, inside(FLOOR).alias("__in_floor"), inside(CEILING).alias("__in_ceiling"), PART
+        *map(field, within), digit, inside(FLOOR).alias("__in_floor"), inside(CEILING).alias("__in_ceiling"), PART, COPIES
     ).withColumnsRenamed({"__in_floor": FLOOR, "__in_ceiling": CEILING})
     return found.where(F.col(FLOOR).isNotNull() | F.col(CEILING).isNotNull())
 
@@ -60,35 +62,39 @@ def _first_level(values: DataFrame, keys: list[str], share: float) -> DataFrame:
     whole = counted.withColumn("__rows", F.sum(COPIES).over(Window.partitionBy(*map(field, keys))))
     place = (F.col("__rows") - 1) * F.lit(share)
     placed = whole.select("*", F.floor(place).alias(FLOOR), F.ceil(place).alias(CEILING), (place - F.floor(place)).alias(PART))
-    nothing = placed.where("__rows = 0").select(*map(field, keys), DIGITS[0], FLOOR, CEILING, PART)
+    nothing = placed.where("__rows = 0").select(*map(field, keys), DIGITS[0], FLOOR, CEILING, PART, COPIES)
     return _kept(placed.where("__rows > 0"), keys, DIGITS[0]).unionByName(nothing)
 
 
-def _next_level(values: DataFrame, kept: DataFrame, keys: list[str], level: int) -> DataFrame:
+def _next_level(values: DataFrame, kept: DataFrame, keys: list[str], known: tuple[str, ...], digit: str) -> DataFrame:
     """Count the rows below the kept digits by the next one."""
-    within, digit = [*keys, *DIGITS[:level]], DIGITS[level]
-    counted = values.join(kept, within).groupBy(*map(field, within), FLOOR, CEILING, PART, digit).agg(F.count("*").alias(COPIES))
+    within = [*keys, *known]
+    counted = values.join(kept.drop(COPIES), within).groupBy(*map(field, within), FLOOR, CEILING, PART, digit).agg(F.count("*").alias(COPIES))
     return _kept(counted, within, digit)
 
 
-def few_keys(df: DataFrame, keys: list[str]) -> bool:
-    """Whether the keys may be sent to all tasks: none at all, or counted and found to be few."""
-    return not keys or len(df.select(*map(field, keys)).distinct().take(MOST_BROADCAST_KEYS + 1)) <= MOST_BROADCAST_KEYS
-
-
 def quantile(df: DataFrame, keys: list[str], value: Column, share: float, alias: str) -> DataFrame:
     """One row per key with the linearly interpolated quantile, null for a key without values.
 
-    The answer is exact, infinities included, whatever the values; between equal neighbours no arithmetic is done.
+    The answer is exact, infinities included, whatever the values; between equal neighbours no arithmetic is done. The leading digits are
+    counted at once: this job tells how many keys there are and how many rows lie below the digits kept, so what is sent to all
+    tasks is known to be small, and a level that would not narrow anything down is left out.
     """
     given = _values(df, keys, value.cast("double"))
     values = with_digits(given)
-    send = F.broadcast if few_keys(given, keys) else (lambda kept: kept)
-    first = kept = _first_level(values, keys, share)
-    for level in range(1, len(DIGITS)):
-        kept = _next_level(values, send(kept), keys, level)
-    empty = first.where(F.col(DIGITS[0]).isNull()).withColumns({d: F.lit(None).cast("double") for d in DIGITS[1:]})
-    ends = kept.unionByName(empty).groupBy(*map(field, keys)).agg(
+    first = _first_level(values, keys, share)
+    rows = first.take(2 * MOST_BROADCAST_KEYS + 1)
+    few = len(rows) <= 2 * MOST_BROADCAST_KEYS
+    if few:
+        first = df.sparkSession.createDataFrame(rows, first.schema)
+    middle = [] if few and all(row[COPIES] <= FEW_BELOW for row in rows) else [DIGITS[1]]
+    kept, known = first, DIGITS[:1]
+    for digit in [*middle, VALUE]:
+        kept = _next_level(values, F.broadcast(kept) if few else kept, keys, known, digit)
+        known = (*known, digit)
+    empty = first.where(F.col(DIGITS[0]).isNull()).withColumn(VALUE, F.lit(None).cast("double"))
+    ends = [*map(field, keys), VALUE, FLOOR, CEILING, PART]
+    ends = kept.select(*ends).unionByName(empty.select(*ends)).groupBy(*map(field, keys)).agg(
         F.max(F.when(F.col(FLOOR).isNotNull(), F.col(VALUE))).alias("__a"),
         F.max(F.when(F.col(CEILING).isNotNull(), F.col(VALUE))).alias("__b"),
         F.max(PART).alias(PART),

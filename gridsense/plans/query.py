@@ -2,8 +2,8 @@
 
 ``run`` resolves names, looks at the data of columns whose type leaves their meaning open,
 reports everything that cannot be done as one ``QueryIssue``, and otherwise returns lazy
-DataFrames. The only other jobs started here choose the slices for exact quantiles over
-large inputs.
+DataFrames. The only other jobs started here count the leading digits for exact quantiles and
+try regular expressions on an empty text.
 """
 
 from __future__ import annotations
