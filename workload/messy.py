@@ -172,9 +172,9 @@ CASES = {
     ),
     "catalog_registry": Case(
         _registry,
-        "SELECT 'region' AS dataset, count(*) AS rows, (SELECT count(*) FROM information_schema.columns WHERE table_name = 'region') AS cols FROM region "
-        "UNION ALL SELECT 'nation', count(*), (SELECT count(*) FROM information_schema.columns WHERE table_name = 'nation') FROM nation "
-        "UNION ALL SELECT 'part', count(*), (SELECT count(*) FROM information_schema.columns WHERE table_name = 'part') FROM part",
+        "SELECT 'region' AS dataset, count(*) AS rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM region)) AS cols FROM region "
+        "UNION ALL SELECT 'nation', count(*), (SELECT count(*) FROM (DESCRIBE SELECT * FROM nation)) FROM nation "
+        "UNION ALL SELECT 'part', count(*), (SELECT count(*) FROM (DESCRIBE SELECT * FROM part)) FROM part",
     ),
     "v_topk_batch": Case(_neighbours, _NEIGHBOURS_SQL),
 }
