@@ -13,6 +13,7 @@ from gridsense.functions.names import field
 from gridsense.sources.storage import scratch_path
 
 BATCH_BYTES = 4_000_000
+FILTER_BITS = 1 << 25
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +31,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """Most of the rows that a join with ``wanted`` by ``keys`` would drop are dropped, without a shuffle; none that it keeps.
+
+    What is broadcast is a filter of ``FILTER_BITS`` bits, whatever the tables; the more of it is set, the more rows pass.
+    """
+    spot = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS)).alias("spot")
+    marks = wanted.select(spot).groupBy(F.expr("shiftright(spot, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(spot & 63)))").alias("mark"))
+    spotted = rows.withColumn("spot", spot).withColumn("word", F.expr("shiftright(spot, 6)"))
+    return spotted.join(F.broadcast(marks), "word").where("(shiftrightunsigned(mark, int(spot & 63)) & 1L) = 1").select(*rows.columns)
+
+
 def columns(df: DataFrame, **named: str) -> list[Column]:
     """The named columns under the operator's own names; all other columns stay behind, so none can clash."""
     return [field(source).alias(target) for target, source in named.items()]

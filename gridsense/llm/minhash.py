@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsense.llm.base import columns, packed, settle, slices, text_of, unpacked
+from gridsense.llm.base import columns, packed, settle, sifted, slices, text_of, unpacked
 from gridsense.llm.stars import Near, crowded, linked_components
 from gridsense.llm.words import mixed, shingle_sets
 
 BANDS, ROWS = 48, 8
 BINS = BANDS * ROWS
+#: Text whose words are hashed at a time; that takes some 70 bytes of memory for each byte.
+HASHED_BYTES = 1_000_000
 SIGNED = "key long, check long, n long, node binary, bands array<long>"
 
 
@@ -86,7 +88,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     """Each row's set size, set identity and bands; without words no identity."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=HASHED_BYTES):
             sets = shingle_sets(batch.column("text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -103,10 +105,13 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(node, hashes)`` for ``(node, of)``, where ``of`` has key and text hash of a document with that set."""
+    """``(node, hashes)`` for ``(node, of)``, where ``of`` has key and text hash of a document with that set.
+
+    Few texts are wanted, so the others are sifted out before any is shuffled.
+    """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=HASHED_BYTES):
             sets = shingle_sets(batch.column("text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -117,7 +122,8 @@ def full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             )
 
     same = F.col("key").eqNullSafe(F.col("of.key")) & (F.col("check") == F.col("of.check"))
-    texts = rows.join(wanted, same).select("node", "text").dropDuplicates(["node"])
+    sought = sifted(rows, wanted.select("of.key", "of.check"), "key", "check")
+    texts = sought.join(wanted, same).select("node", "text").dropDuplicates(["node"])
     return settle(texts.mapInArrow(hashes, "node binary, hashes array<long>"), "sets")
 
 
@@ -141,7 +147,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str
     nodes = settle(nodes, "nodes")
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node", F.col("n").alias("size"))
     buckets = settle(crowded(buckets), "buckets")
-    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "of")
+    wanted = settle(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "of"), "wanted")
     sets = full_sets(rows, wanted, width)
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsense.llm.base import settle
+from gridsense.llm.base import settle, sifted
 from gridsense.llm.components import components
 
 Verify = Callable[[DataFrame], DataFrame]
@@ -31,9 +31,9 @@ PAIR = "a binary, b binary"
 
 
 def crowded(buckets: DataFrame) -> DataFrame:
-    """The rows whose bucket holds another row, with the bucket's size."""
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
-    return buckets.join(sizes, "bucket")
+    """The rows whose bucket holds another row, with the bucket's size. Most rows are alone and are not shuffled with all they hold."""
+    sizes = settle(buckets.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"), "crowds")
+    return sifted(buckets, sizes, "bucket").join(sizes, "bucket")
 
 
 def candidates(group: np.ndarray, own: np.ndarray, i: int, j: int, nearness) -> Iterator[tuple[int, int]]:
@@ -111,11 +111,29 @@ def _divided(rest: DataFrame) -> DataFrame:
     return rest.join(several.select("bucket"), "bucket", "left_semi")
 
 
+def _unlike(rest: DataFrame, block: int) -> DataFrame:
+    """``_divided`` rows, with the number of blocks of their bucket.
+
+    Of buckets that hold the same nodes (by 128 bits) one stays; the others would give the same pairs again.
+    """
+    hashes = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")) for i in (0, 1)]
+    told = [F.count("*"), F.min("node"), F.max("node"), *hashes]
+    names = [f"t{i}" for i in range(len(told))]
+    ends = [F.min("root").alias("first"), F.max("root").alias("last"), _blocks(F.count("*"), F.sum("size"), block).alias("blocks")]
+    held = rest.groupBy("bucket").agg(*ends, *(t.alias(name) for t, name in zip(told, names, strict=True))).where("first != last")
+    one = held.groupBy(*names).agg(F.min("bucket").alias("bucket"), F.first("blocks").alias("blocks"))
+    return rest.join(one.select("bucket", "blocks"), "bucket")
+
+
 def _within_blocks(rows: DataFrame, block: int) -> DataFrame:
     """Each row in one block of its bucket, which meets no other."""
     held = rows.groupBy("bucket").agg(_blocks(F.count("*"), F.sum("size"), block).alias("blocks"))
+    return _in_blocks(rows.join(held, "bucket"))
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
-    return rows.join(held, "bucket").select("bucket", "node", "size", "root", own).withColumn("i", F.col("own")).withColumn("j", F.col("own"))
+    return rows.select("bucket", "node", "size", "root", own).withColumn("i", F.col("own")).withColumn("j", F.col("own"))
 
 
 def _across_blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -145,10 +163,10 @@ def _across_blocks(rows: DataFrame, block: int) -> DataFrame:
 class _Components:
     """Nodes with the component they are known to belong to; what links are found later join components."""
 
-    def __init__(self, links: DataFrame, rest: DataFrame):
+    def __init__(self, links: DataFrame, rest: DataFrame, block: int):
         self.roots = settle(components(links), "roots")
         known = self.roots.select("node", "root")
-        self.rest = settle(_divided(rest.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))), "rest")
+        self.rest = settle(_unlike(rest.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")), block), "rest")
 
     def join(self, edges: DataFrame) -> bool:
         """Take in links between components; whether there were any."""
@@ -181,10 +199,14 @@ def linked_components(
     stars = stars.where("node != least.node").select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two"))
     pair = [F.col("one.node").alias("a"), F.col("two.node").alias("b"), F.col("one.size").alias("n_a"), F.col("two.size").alias("n_b")]
     links = settle(verify(stars.select(*pair).where(able).distinct()), "links")
-    found = _Components(links, buckets.where("held > 2").select("bucket", "node", "size"))
+    found = _Components(links, buckets.where("held > 2").select("bucket", "node", "size"), block)
+    if found.rest.isEmpty():
+        return found.roots
+    edges = _compared(_in_blocks(found.rest), traits, near)
+    found.rest = found.rest.where("blocks > 1").drop("blocks")  # in a bucket of one block all rows were beside each other
+    found.join(edges)
     if found.rest.isEmpty():
         return found.roots
-    found.join(_compared(_within_blocks(found.rest, block), traits, near))
     while True:
         one_each = found.rest.groupBy("bucket", "root").agg(F.min(F.struct("node", "size")).alias("row")).select("bucket", "row.*", "root")
         many = one_each.groupBy("bucket").count().where(F.col("count") > block)

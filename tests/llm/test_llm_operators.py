@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from gridsense.llm import lattice, licenses, minhash, mixing, packing, quality, secrets, shards, stars, token_files, urls
+from gridsense.llm import base, lattice, licenses, minhash, mixing, packing, quality, secrets, shards, stars, token_files, urls
 from gridsense.llm.boosting import fit
 from gridsense.llm.components import components
 from gridsense.llm.queries import QUERIES, URL_RULES
@@ -645,3 +645,31 @@ def test_helpers_of_the_pipeline_keep_columns_of_any_name(spark):
         assert all([r[n] for n in names] == names for r in found.collect())
     assert {r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, "").collect()} == {1, 3, None}
     assert "[secret]" in [r["text"] for r in corpus_pipeline.without_secrets(spark, docs, "").collect() if r["doc_id"] == 1][0]
+
+
+def test_rows_that_no_join_wants_are_sifted_out_before_it(spark):
+    rows = spark.range(20000).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("key"), F.col("id").alias("check"))
+    wanted = rows.where("check % 1000 < 2")
+    left = base.sifted(rows, wanted, "key", "check")
+    assert left.columns == rows.columns
+    got = set(map(tuple, left.collect()))
+    assert set(map(tuple, wanted.collect())) <= got and len(got) < 200
+
+
+def test_rows_of_one_block_are_beside_each_other_once(spark, monkeypatch):
+    """Buckets with the same rows are compared once, and those of one block do not meet again."""
+    seen = []
+    compared = stars._compared
+    monkeypatch.setattr(stars, "_compared", lambda dealt, *more: seen.append(dealt.select("bucket", "node", "i", "j").collect()) or compared(dealt, *more))
+    held = [(bucket, bytes([n]), 1, 4) for bucket in (1, 2, 3) for n in range(4)] + [(4, bytes([n]), 1, 3) for n in (1, 2, 3)]
+    buckets = spark.createDataFrame(held, "bucket long, node binary, size long, held long")
+    traits = spark.createDataFrame([(bytes([n]), [n // 2], 0) for n in range(4)], "node binary, trait array<long>, wide int")
+
+    def near(trait, sizes):
+        kinds = np.array([t[0] for t in trait.to_pylist()])
+        return lambda row, others: (np.ones(len(others)), kinds[others] == kinds[row])
+
+    found = stars.linked_components(buckets, traits, near, lambda pairs: pairs.select("a", "b").where("a is null"))
+    roots = {row["node"][0]: row["root"][0] for row in found.collect()}
+    assert {roots[0], roots[1]} == {0} and {roots[2], roots[3]} == {2}
+    assert len(seen) == 1 and len(seen[0]) == 7
