@@ -30,6 +30,8 @@ FIRST_WIDTH = 4
 FILTER_BITS = 1 << 23
 UNIT = 1_000_000_000
 CELLS = 1 << 20
+#: Cells (kept terms times groups of their language) that make a part worth its own partial results.
+PART_CELLS = 1 << 18
 #: Letters A-Z count as a-z; a-z and all bytes of characters beyond ASCII belong to terms, the rest parts them.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -426,12 +428,19 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, b
                 yield (int(deal[start]), lang[start].as_py()), bool(is_group[start]), batch.slice(start, stop - start)
 
 
+def parts_for(groups: DataFrame, most: int) -> int:
+    """How many parts the terms are dealt to: at most ``most``, and none without ``PART_CELLS`` cells but the first."""
+    cells = groups.agg(F.sum("kept").alias("cells")).first()["cells"] or 0
+    return max(1, min(most, -(-cells // PART_CELLS)))
+
+
 def _compared(counts: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     """``FOUND`` rows of all terms, dealt by (language, term); each part gets its languages' groups beside its terms.
 
-    The groups of a language are as many as the root of its rows in the result.
+    The groups of a language are as many as the root of its rows in the result. Each part gives partial results for all groups, so there
+    are as many parts as the cells to compare are worth, however many partitions a shuffle has.
     """
-    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(groups, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     nothing = {c: F.lit(None).cast(kind).alias(c) for c, kind in (("term", "binary"), ("sources", "binary"), ("counts", "binary"),
                                                                   ("number", "long"), ("name", "binary"), ("n", "long"), ("kept", "long"))}
     deal = F.pmod(F.xxhash64("lang", "term"), F.lit(parts)).cast("int").alias("deal")

@@ -89,3 +89,12 @@ def test_empty_table(spark):
 def test_shares_are_exact_for_large_counts():
     n, total = np.array([10**13 + 7, 0]), np.array([3 * 10**13])
     assert divergence.shares(n, total).tolist() == [1 + 10**9 * (10**13 + 8) // (3 * 10**13), 1]
+
+
+def test_partial_results_follow_the_terms_not_the_partitions(spark):
+    """Two sources with few terms are one part, whatever the number of partitions; many cells are dealt to all."""
+    groups = "lang string, source string, kept long"
+    small = spark.createDataFrame([("en", "a", 50), ("en", "b", 50)], groups)
+    large = spark.createDataFrame([("en", "a", 10**6), ("en", "b", 10**6)], groups)
+    assert divergence.parts_for(small, 211) == 1 and divergence.parts_for(small.where("false"), 211) == 1
+    assert divergence.parts_for(large, 211) == 8 and divergence.parts_for(large, 4) == 4
