@@ -37,10 +37,18 @@ READ = "key long, part int, begins long, n_tokens long, ids_crc32 long"
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of a run of ranks."""
-    ranks = ranks.astype("<u4")
-    widths = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    raw = ranks.view(np.uint8).reshape(-1, 4)
-    data = raw[np.arange(4) < widths[:, None]]
+    ranks = ranks.astype("<u4", copy=False)
+    widths = np.ones(len(ranks), np.uint8)
+    for most in (0xFF, 0xFFFF, 0xFFFFFF):
+        widths += ranks > most
+    at = np.concatenate(([0], np.cumsum(widths, dtype=np.int64)))
+    data = np.empty(at[-1], np.uint8)
+    data[at[:-1]] = ranks.astype(np.uint8)
+    for byte in (1, 2, 3):
+        wide = np.flatnonzero(widths > byte)
+        if not len(wide):
+            break
+        data[at[wide] + byte] = (ranks[wide] >> np.uint32(8 * byte)).astype(np.uint8)
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = widths - 1
     codes = codes.reshape(-1, 4)
@@ -72,7 +80,7 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_i
         end = np.array([end_id], np.uint32)
         total = np.zeros(0, np.int64)
         for batch in slices(batches):
-            found = [np.append(ids, end) for ids in encoded(vocabulary, batch.column("text").to_pylist())]
+            found = [np.append(ids, end) for ids in encoded(vocabulary, batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"),

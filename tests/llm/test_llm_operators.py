@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,6 +324,19 @@ def test_spellings_of_added_tokens_encode_as_the_library_does(name):
         assert tokens.encode(own[:1])[0].tolist() == [64, 220, 50256, 275]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_are_learnt_once_whatever_sign_follows(name):
+    tokens = PieceTokenizer(public_tokenizers.path(name))
+    words, signs = ["der", "größe", "café", "It"], [",", ".", "'s", "'t", "***", "_", ")'ll", "<\u0338", "|>", "\u2014."]
+    fresh = PieceTokenizer(public_tokenizers.path(name))
+    fresh.encode([" " + " ".join(word + sign for word in words) for sign in signs[:9]])
+    assert fresh.known == len(words) + 9  # each word and each sign, not each pair of them
+    own = [" ".join(word + sign for word in words) for sign in signs] + [f"a{x}b {x}'s é{x}" for x in "×÷'_ß\x01"] + ["", "x", "'s", "<|endoftext|>"]
+    for texts in (own, pa.array(["dropped, too", *own])[1:]):
+        for text, got in zip(own, tokens.encode(texts), strict=True):
+            assert got.tolist() == tokens.library.encode(text, add_special_tokens=False).ids
+
+
 def test_variable_length_coding():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
