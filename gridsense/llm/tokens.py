@@ -64,8 +64,8 @@ class PieceTokenizer:
         self.numbers = Numbers()
         self.store = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.start = np.empty(1 << 14, np.int64)
-        self.length = np.empty(1 << 14, np.int64)
+        self.start = np.empty(1 << 14, np.int32)
+        self.length = np.empty(1 << 14, np.int32)
         self.open = np.empty(1 << 14, bool)
         self.known = 0
 
@@ -85,10 +85,10 @@ class PieceTokenizer:
         self.learn(distinct.filter(pa.array(own >= self.known)))
         each = coded.indices.to_numpy()
         lengths = self.length[own][each]
-        upto = np.concatenate(([0], np.cumsum(lengths)))
+        upto = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
         # Where each id lies in the store: its piece's place there, less the ids before the piece, plus the ids before itself.
-        at = np.repeat(self.start[own][each] - upto[:-1], lengths)
-        at += np.arange(len(at))
+        at = np.repeat((self.start[own][each] - upto[:-1]).astype(np.int32), lengths)
+        at += np.arange(len(at), dtype=np.int32)
         found = np.split(self.store[at], upto[ends[:-1]]) if len(ends) else []
         odd = set()
         if self.open[own].any():
@@ -98,6 +98,9 @@ class PieceTokenizer:
         odd |= set(np.flatnonzero(self.holds_added(texts)).tolist())
         for i in sorted(odd):
             found[i] = self.whole([texts[i].as_py()])[0]
+        # Arrow keeps what its arrays held for the next ones; a worker lives on, and other steps want that memory.
+        del pieces, coded, distinct, each, keys
+        pa.default_memory_pool().release_unused()
         return found
 
     def holds_added(self, texts: pa.Array) -> np.ndarray:
